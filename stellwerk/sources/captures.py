@@ -33,15 +33,9 @@ def first_per_url(cards: Column) -> Column:
     )
 
 
-def html_cards(
-    platform: Column,
-    page: Column,
-    domain: Column | str = "www.stepstone.de",
-    boards: dict = vocab.CARD_SELECTORS,
-) -> Column:
-    """Usable cards of an HTML search page: a title and a link, no link back to a search,
-    and on Xing only the first card per link."""
-    domain = F.lit(domain) if isinstance(domain, str) else domain
+def usable_cards(raw: Column, platform: Column, domain: Column) -> Column:
+    """Cards as listings: canonical link, default place; only those with a title and a
+    link, and on Xing none that leads back to a search."""
     default_location = F.lit("")
     for name, place in vocab.DEFAULT_LOCATION.items():
         default_location = F.when(platform == name, F.lit(place)).otherwise(default_location)
@@ -61,8 +55,19 @@ def html_cards(
         back_to_search = (platform == vocab.XING) & is_search_link(card["url"])
         return (card["title"] != "") & (card["url"] != "") & ~back_to_search
 
-    cards = F.filter(F.transform(page_fields.cards_of(platform, page, boards), listing), usable)
-    return F.when(platform == vocab.XING, first_per_url(cards)).otherwise(cards)
+    return F.filter(F.transform(raw, listing), usable)
+
+
+def html_cards(
+    pages: DataFrame, stepstone_domain: str, boards: dict = vocab.CARD_SELECTORS
+) -> DataFrame:
+    """Add ``cards`` to HTML search pages. Each step is a column of its own, so that later
+    steps read it and do not repeat it."""
+    platform = F.col("platform")
+    raw = pages.withColumn("raw", page_fields.cards_of(platform, F.col("body"), boards))
+    usable = raw.withColumn("usable", usable_cards(F.col("raw"), platform, F.lit(stepstone_domain)))
+    once = F.when(platform == vocab.XING, first_per_url(F.col("usable"))).otherwise(F.col("usable"))
+    return usable.withColumn("cards", once).drop("raw", "usable")
 
 
 def parse_search_pages(captures: DataFrame, stepstone_domain: str = "www.stepstone.de") -> DataFrame:
@@ -79,9 +84,7 @@ def parse_search_pages(captures: DataFrame, stepstone_domain: str = "www.stepsto
         listing_api.payload_cards(body).alias("cards"),
         (F.size(agency) < vocab.BA_PAGE_SIZE).alias("is_last"),
     )
-    from_html = pages.filter(platform != vocab.BA).select(
-        *keep, html_cards(platform, body, stepstone_domain).alias("cards")
-    )
+    from_html = html_cards(pages.filter(platform != vocab.BA), stepstone_domain).select(*keep, "cards")
     return from_html.withColumn("is_last", F.size("cards") == 0).unionByName(from_json)
 
 
