@@ -19,10 +19,10 @@ from stellwerk.sources.files import materialise
 log = logging.getLogger("stellwerk")
 
 
-def model_order(models: list[str], disabled: Column | None = None) -> Column:
-    """Primary model and fallbacks as an ordered array without repeats or blanks."""
-    names = F.array_distinct(F.array(*[F.lit(m) for m in models if m]))
-    return names if disabled is None else F.array_except(names, disabled)
+def ordered_distinct(names: Column, disabled: Column | None = None) -> Column:
+    """Model names in their order, without repeats, blanks and disabled ones."""
+    kept = F.array_distinct(F.filter(names, lambda name: F.coalesce(name, F.lit("")) != ""))
+    return kept if disabled is None else F.array_except(kept, disabled)
 
 
 def with_message(postings: DataFrame) -> DataFrame:
@@ -33,7 +33,7 @@ def with_message(postings: DataFrame) -> DataFrame:
 def request_table(postings: DataFrame, system: Column, models: list[str] = vocab.MODELS) -> DataFrame:
     """One request per posting and model, for a scorer outside Spark."""
     return with_message(postings).select(
-        "job_id", F.posexplode(model_order(models)).alias("model_rank", "model"), "message"
+        "job_id", F.posexplode(ordered_distinct(F.array(*[F.lit(m) for m in models]))).alias("model_rank", "model"), "message"
     ).select(
         "job_id",
         "model_rank",
