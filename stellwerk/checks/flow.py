@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from stellwerk import vocab
 from stellwerk.checks.base import (
@@ -21,6 +21,8 @@ from stellwerk.checks.base import (
     table,
 )
 from stellwerk.checks.scalars import error_text, plain_entry_sql, reply_text
+from stellwerk.functions.predicates import title_relevant
+from stellwerk.functions.replies import is_match, with_reply, with_score
 from stellwerk.operators import digest, frontier, funnel, identity, metrics, scoring
 from stellwerk.plans import daily_run
 from stellwerk.session import new_run_dir
@@ -276,10 +278,8 @@ def join_responses(spark, sf):
       CASE WHEN score IS NULL THEN '{vocab.FALLBACK_REASON}' ELSE model END AS llm_reason FROM attempts""",
 )
 def score_fallback(spark, sf):
-    from stellwerk.functions.replies import is_match, reply_object, score_of
-
-    rows = _attempts(spark, sf).withColumn("score", score_of(reply_object(F.col("raw"))))
-    rows = rows.select("event_id", "score", F.col("model").alias("reason"), is_match(F.col("score")).alias("match"))
+    rows = with_score(with_reply(_attempts(spark, sf))).withColumn("match", is_match(F.col("score")))
+    rows = rows.select("event_id", "score", F.col("model").alias("reason"), "match")
     return scoring.with_fallback(rows)
 
 
@@ -368,8 +368,6 @@ def page_limit(spark, sf):
 )
 def pagination_stop(spark, sf):
     """Events as the pages of a user's search; larger errors end the paging."""
-    from pyspark.sql import Window
-
     number = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
     pages = table(spark, sf, "events").select(
         "user_id", number.alias("page_no"), ((F.col("event_type") == "error") & (F.col("value") > 5)).alias("is_last")
@@ -425,8 +423,6 @@ def unique_matched(spark, sf):
 )
 def platform_counts(spark, sf):
     """Relevant postings, first per board, not sent before, counted per board."""
-    from stellwerk.functions.predicates import title_relevant
-
     relevant = postings(spark, sf).filter(title_relevant(F.col("title"), _BLOCKS))
     narrow = relevant.select("job_id", "platform", "query_idx", "page_no", "card_pos")
     fresh = identity.anti_ledger(identity.first_per_platform(narrow), sent_ledger(spark, sf))
@@ -570,8 +566,6 @@ _CARDS_SQL = """cards AS (
 
 
 def _captures(spark, sf):
-    from pyspark.sql import Window
-
     number = F.substring("source", 4, 9).cast("int")
     place = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1
     # Places are taken from the keys alone, so that no text passes through the window.

@@ -470,15 +470,9 @@ _REPLY_SCORE = "CAST(floor(greatest(1, least(10, value))) AS INTEGER)"
     FROM events""",
 )
 def response_parse(spark, sf):
-    reply = replies.reply_object(F.col("raw"))
     rows = table(spark, sf, "events").select("event_id", reply_text().alias("raw"))
-    rows = rows.withColumn("reply", reply)
-    return rows.select(
-        "event_id",
-        F.col("reply").isNotNull().alias("parsed"),
-        replies.score_of(F.col("reply")).alias("score"),
-        F.when(F.col("reply").isNotNull(), replies.reason_of(F.col("reply"))).alias("reason"),
-    )
+    read = replies.with_score(replies.with_reply(rows))
+    return read.select("event_id", F.col("reply").isNotNull().alias("parsed"), "score", "reason")
 
 
 @query(
@@ -497,8 +491,8 @@ def score_clamp(spark, sf):
         .when(kind == "signup", F.concat(F.lit('{"grade": '), k, F.lit("}")))
         .otherwise(F.concat(F.lit('{"score": '), F.col("value").cast("string"), F.lit("}")))
     )
-    score = replies.score_of(replies.reply_object(raw))
-    return table(spark, sf, "events").select("event_id", score.alias("score"))
+    rows = table(spark, sf, "events").select("event_id", raw.alias("raw"))
+    return replies.with_score(replies.with_reply(rows)).select("event_id", "score")
 
 
 @query("match_flag", f"WITH {SCORED_SQL} SELECT doc_id, llm_score, llm_score >= 9 AS match FROM scored")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from stellwerk import vocab
 from stellwerk.functions.text import WS, strip
@@ -22,18 +22,24 @@ def strict_json(text: Column) -> Column:
     return F.when(as_item.isNotNull(), F.try_variant_get(as_field, "$.v", "variant"))
 
 
-def reply_object(raw: Column) -> Column:
-    """The JSON object in a reply: the whole text, else the inside of a code fence, else
-    the span from the first to the last brace. Null when there is none."""
-    text = strip(F.coalesce(raw, F.lit("")))
-    lines = F.split(text, _LINE_BREAK)
-    fenced = F.when(
-        text.startswith(_FENCE) & (F.size(lines) >= 3),
-        strip(F.array_join(F.slice(lines, F.lit(2), F.size(lines) - 2), "\n")),
+def with_reply(rows: DataFrame, raw: str = "raw", out: str = "reply") -> DataFrame:
+    """Add the JSON object in a reply: the whole text, else the inside of a code fence, else
+    the span from the first to the last brace. Null when there is none.
+
+    Each step is a column that later steps read, so no text is parsed again for every use.
+    """
+    lines = F.split("_text", _LINE_BREAK)
+    inside = strip(F.array_join(F.slice(lines, F.lit(2), F.size(lines) - 2), "\n"))
+    is_fenced = F.col("_text").startswith(_FENCE) & (F.size(lines) >= 3)
+    braces = F.regexp_extract(F.coalesce("_fenced", "_text"), r"(?s)(\{.*\})", 1)
+    value = F.coalesce(strict_json(F.col("_text")), strict_json(F.col("_fenced")), strict_json(braces))
+    return (
+        rows.withColumn("_text", strip(F.coalesce(raw, F.lit(""))))
+        .withColumn("_fenced", F.when(is_fenced, inside))
+        .withColumn("_value", value)
+        .withColumn(out, F.when(F.schema_of_variant("_value").startswith("OBJECT"), F.col("_value")))
+        .drop("_text", "_fenced", "_value")
     )
-    braces = F.regexp_extract(F.coalesce(fenced, text), r"(?s)(\{.*\})", 1)
-    value = F.coalesce(strict_json(text), strict_json(fenced), strict_json(braces))
-    return F.when(F.schema_of_variant(value).startswith("OBJECT"), value)
 
 
 def clamp_score(number: Column) -> Column:
@@ -41,17 +47,12 @@ def clamp_score(number: Column) -> Column:
     return F.floor(F.greatest(F.lit(1.0), F.least(F.lit(10.0), number))).cast("int")
 
 
-def score_of(reply: Column) -> Column:
-    """Score of a reply object: 1 when absent, null when it is not a whole number."""
-    field = F.try_variant_get(reply, "$.score", "variant")
-    kind = F.schema_of_variant(field)
-    number = F.try_variant_get(field, "$", "double")
+def _score_of(field: Column, kind: Column) -> Column:
     text = F.try_variant_get(field, "$", "string")
     digits = F.regexp_replace(strip(text), "_", "")
     return (
-        F.when(reply.isNull(), F.lit(None).cast("int"))
-        .when(field.isNull(), F.lit(1))
-        .when(kind.rlike("^(BIGINT|DECIMAL|FLOAT|DOUBLE)"), clamp_score(number))
+        F.when(field.isNull(), F.lit(1))
+        .when(kind.rlike("^(BIGINT|DECIMAL|FLOAT|DOUBLE)"), clamp_score(F.try_variant_get(field, "$", "double")))
         .when(kind == "BOOLEAN", F.lit(1))
         .when(
             (kind == "STRING") & text.rlike(rf"^{WS}*[+-]?\d+(_\d+)*{WS}*$"),
@@ -60,10 +61,7 @@ def score_of(reply: Column) -> Column:
     )
 
 
-def reason_of(reply: Column) -> Column:
-    """Reason text of a reply object; values that are not text are written out."""
-    field = F.try_variant_get(reply, "$.reason", "variant")
-    kind = F.schema_of_variant(field)
+def _reason_of(field: Column, kind: Column) -> Column:
     text = F.try_variant_get(field, "$", "string")
     return (
         F.when(field.isNull(), F.lit(""))
@@ -74,20 +72,42 @@ def reason_of(reply: Column) -> Column:
     )
 
 
-def verdict_struct(raw: Column, threshold: int = vocab.MATCH_THRESHOLD) -> Column:
-    """Reply text to ``struct(match, score, reason)``; null when the attempt failed."""
-    reply = reply_object(raw)
-    score = score_of(reply)
-    return F.when(
-        score.isNotNull(),
-        F.struct(
-            is_match(score, threshold).alias("match"),
-            score.alias("score"),
-            reason_of(reply).alias("reason"),
-        ),
+def with_score(rows: DataFrame, reply: str = "reply") -> DataFrame:
+    """Add a reply object's ``score`` and ``reason``.
+
+    The score is 1 when absent and null when it is not a whole number; a reason that is not
+    text is written out.
+    """
+    got = F.col(reply).isNotNull()
+    return (
+        rows.withColumns(
+            {
+                "_score": F.try_variant_get(reply, "$.score", "variant"),
+                "_reason": F.try_variant_get(reply, "$.reason", "variant"),
+            }
+        )
+        .withColumns(
+            {"_score_kind": F.schema_of_variant("_score"), "_reason_kind": F.schema_of_variant("_reason")}
+        )
+        .withColumns(
+            {
+                "score": F.when(got, _score_of(F.col("_score"), F.col("_score_kind"))),
+                "reason": F.when(got, _reason_of(F.col("_reason"), F.col("_reason_kind"))),
+            }
+        )
+        .drop("_score", "_reason", "_score_kind", "_reason_kind")
     )
 
 
+def with_verdict(
+    rows: DataFrame, raw: str = "raw", out: str = "verdict", threshold: int = vocab.MATCH_THRESHOLD
+) -> DataFrame:
+    """Add ``struct(match, score, reason)`` for a reply text; null when it cannot be used."""
+    read = with_score(with_reply(rows, raw, "_reply"), "_reply")
+    verdict = F.struct(is_match(F.col("score"), threshold).alias("match"), "score", "reason")
+    return read.withColumn(out, F.when(F.col("score").isNotNull(), verdict)).drop("_reply", "score", "reason")
+
+
 def is_match(score: Column, threshold: int = vocab.MATCH_THRESHOLD) -> Column:
     return score >= threshold
 

@@ -60,7 +60,9 @@ def funnel_flags(
 
 
 def candidates(flagged: DataFrame) -> DataFrame:
-    return flagged.filter("location_ok AND date_ok AND title_ok")
+    """Rows that pass all three tests."""
+    flags = ["location_ok", "date_ok", "title_ok"]
+    return flagged.filter(" AND ".join(flags)).drop(*flags)
 
 
 def cap_details(

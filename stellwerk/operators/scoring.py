@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from stellwerk import vocab
 from stellwerk.functions.predicates import run_blocking_quota
 from stellwerk.functions.prompts import posting_message, request_struct
-from stellwerk.functions.replies import verdict_struct
+from stellwerk.functions.replies import with_verdict
 from stellwerk.operators.identity import first_by
 from stellwerk.sources.files import materialise
 
@@ -63,12 +63,16 @@ def first_valid_response(
     threshold: int = vocab.MATCH_THRESHOLD,
     order: list[str] = ["model_rank", "responded_at"],
 ) -> DataFrame:
-    """Per job the verdict of the first model, in order, whose reply can be read."""
-    read = attempts.filter(F.coalesce("error", F.lit("")) == "").withColumn(
-        "verdict", verdict_struct(F.col("raw"), threshold)
-    )
-    valid = read.filter(F.col("verdict").isNotNull()).select(*keys, *order, "model", "verdict")
-    return first_by(valid, keys, order).select(*keys, "model", "verdict.*")
+    """Per job the verdict of the first model, in order, whose reply can be read.
+
+    Unreadable replies sort last and are dropped after the choice. Filtering them out before
+    it would push the test below the parsing steps and parse every reply again for it.
+    """
+    answered = attempts.filter(F.coalesce("error", F.lit("")) == "")
+    read = with_verdict(answered, "raw", "verdict", threshold)
+    rows = read.select(*keys, *order, "model", "verdict")
+    first = first_by(rows, keys, [F.col("verdict").isNull(), *order])
+    return first.filter(F.col("verdict").isNotNull()).select(*keys, "model", "verdict.*")
 
 
 def with_fallback(rows: DataFrame, score: str = "score", reason: str = "reason") -> DataFrame:
@@ -129,9 +133,8 @@ def score_with(
     rows = rows.withColumn("verdict", F.lit(None).cast("struct<match:boolean,score:int,reason:string>"))
     for scorer in scorers:
         open_message = F.when(F.col("verdict").isNull(), F.col("message"))
-        rows = rows.withColumn("reply", _caller(scorer)(open_message)).withColumn(
-            "verdict", F.coalesce("verdict", verdict_struct(F.col("reply"), threshold))
-        )
+        rows = with_verdict(rows.withColumn("raw", _caller(scorer)(open_message)), "raw", "_new", threshold)
+        rows = rows.withColumn("verdict", F.coalesce("verdict", "_new")).drop("_new", "raw")
     return with_fallback(rows.select(*postings.columns, "verdict.*"))
 
 
