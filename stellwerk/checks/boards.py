@@ -44,9 +44,10 @@ PARTS_SQL = f"""parts AS (
 
 
 def _pages(parts, platform, card, before="<html><body>", after="</body></html>", separator=""):
-    """One captured page per 25 parts."""
+    """One captured page per 25 parts, spread over the cluster as captured files would be."""
     cards = F.sort_array(F.collect_list(F.struct("pos", card.alias("card"))))
-    return parts.groupBy("page_no").agg(cards.alias("cards")).select(
+    tasks = parts.sparkSession.sparkContext.defaultParallelism
+    return parts.groupBy("page_no").agg(cards.alias("cards")).repartition(tasks).select(
         F.lit(platform).alias("platform"),
         F.lit(0).alias("query_idx"),
         "page_no",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
 from stellwerk import vocab
 from stellwerk.checks.base import (
@@ -110,16 +110,15 @@ def ledger_append(spark, sf):
 
 @query(
     "ledger_lookup",
-    f"""WITH {LEDGER_SQL}, asked AS (SELECT job_id FROM postings WHERE doc_id IN (0, 1, 2, 3, 4, 5, 6, 7))
-    SELECT job_id, max(date_sent) AS date_sent, (SELECT count(DISTINCT job_id) FROM ledger) AS records
-    FROM ledger WHERE job_id IN (SELECT job_id FROM asked) GROUP BY job_id""",
+    f"""WITH {LEDGER_SQL} SELECT job_id, max(date_sent) AS date_sent, (SELECT count(DISTINCT job_id) FROM ledger) AS records
+    FROM ledger WHERE job_id IN (SELECT job_id FROM postings WHERE location <> 'en') GROUP BY job_id""",
 )
 def ledger_lookup(spark, sf):
-    """Point lookups of eight ids and the count of the whole ledger."""
+    """Records of the postings that are not English, and the count of the whole ledger."""
     rows = sent_ledger(spark, sf)
-    asked = postings(spark, sf).filter(F.col("doc_id") < 8).select("job_id").collect()
-    found = ledger.lookup(rows, [row.job_id for row in asked]).select("job_id", "date_sent")
-    return found.withColumn("records", F.lit(ledger.total_count(rows).first()[0]).cast("bigint"))
+    found = ledger.lookup(rows, postings(spark, sf).filter(F.col("location") != "en"))
+    records = F.lit(ledger.total_count(rows).first()[0]).cast("bigint")
+    return found.select("job_id", "date_sent").withColumn("records", records)
 
 
 # --- joins --------------------------------------------------------------------------------
@@ -360,17 +359,17 @@ def page_limit(spark, sf):
 
 @query(
     "pagination_stop",
-    """WITH p AS (SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS INTEGER) AS page_no,
-      event_type = 'error' AND value > 5 AS is_last FROM events)
+    """WITH p AS (SELECT user_id, CAST(event_id AS INTEGER) AS page_no, event_type = 'error' AND value > 20 AS is_last FROM events)
     SELECT user_id, page_no FROM p
     QUALIFY coalesce(max(CAST(is_last AS INTEGER)) OVER (PARTITION BY user_id ORDER BY page_no
       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 0""",
 )
 def pagination_stop(spark, sf):
     """Events as the pages of a user's search; larger errors end the paging."""
-    number = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
     pages = table(spark, sf, "events").select(
-        "user_id", number.alias("page_no"), ((F.col("event_type") == "error") & (F.col("value") > 5)).alias("is_last")
+        "user_id",
+        F.col("event_id").cast("int").alias("page_no"),
+        ((F.col("event_type") == "error") & (F.col("value") > 20)).alias("is_last"),
     )
     return funnel.pagination_stop(pages, ["user_id"], F.col("is_last")).select("user_id", "page_no")
 
@@ -557,32 +556,34 @@ def _escaped(text):
     return text
 
 
-# Documents as captures: boards and queries by source, 25 cards to a search page, each
-# document's whole text on a detail page. Titles repeat over queries and boards.
+# Documents as captures: boards by source, a query for every source and thousand documents,
+# each with two search pages; every document's whole text on a detail page. Titles repeat over
+# queries and boards.
 _CARDS_SQL = """cards AS (
-  SELECT doc_id, text, lang, number % 4 AS rank_, number AS query_idx, 'Engineer ' || (n_chars % 150) AS title,
-    n_chars % 5 AS days, row_number() OVER (PARTITION BY number ORDER BY doc_id) - 1 AS place
-  FROM (SELECT *, CAST(substr(source, 4) AS INTEGER) AS number FROM documents))"""
+  SELECT doc_id, text, lang, number % 4 AS rank_, CAST(number + 20 * (doc_id // 1000) AS INTEGER) AS query_idx,
+    'Engineer ' || (n_chars % 150) AS title, n_chars % 5 AS days, CAST((doc_id // 500) % 2 + 1 AS INTEGER) AS page_no
+  FROM (SELECT *, CAST(substr(source, 4) AS INTEGER) AS number FROM documents)),
+seen AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_idx, page_no ORDER BY doc_id) - 1 AS INTEGER) AS card_pos,
+    count(*) OVER (PARTITION BY query_idx, page_no) AS on_page FROM cards),
+short AS (SELECT query_idx, min(page_no) AS end_ FROM seen WHERE rank_ = 3 AND on_page < 25 GROUP BY query_idx),
+reached AS (SELECT seen.* FROM seen LEFT JOIN short USING (query_idx) WHERE end_ IS NULL OR page_no <= end_)"""
 
 
 def _captures(spark, sf):
     number = F.substring("source", 4, 9).cast("int")
-    place = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1
-    # Places are taken from the keys alone, so that no text passes through the window.
-    places = table(spark, sf, "documents").select("doc_id", place.alias("place"))
+    thousand = F.floor(F.col("doc_id") / 1000)
     docs = (
         table(spark, sf, "documents")
-        .join(places, "doc_id")
         .select(
             F.col("doc_id").cast("string").alias("key"),
             "text",
             "lang",
             (number % 4).alias("rank"),
-            number.alias("query_idx"),
+            (number + 20 * thousand).cast("int").alias("query_idx"),
             F.concat(F.lit("Engineer "), (F.col("n_chars") % 150).cast("string")).alias("title"),
             (F.col("n_chars") % 5).cast("string").alias("days"),
-            (F.floor(F.col("place") / 25) + 1).cast("int").alias("page_no"),
-            (F.col("place") % 25).alias("pos"),
+            (F.floor(F.col("doc_id") / 500) % 2 + 1).cast("int").alias("page_no"),
+            F.col("doc_id").alias("pos"),
             F.lit("2024-01-31 00:00:00").cast("timestamp").alias("observed_at"),
         )
         .withColumn("platform", board_of(F.col("rank")))
@@ -639,12 +640,10 @@ def _captures(spark, sf):
 
 
 _RUN_SQL = f"""{_CARDS_SQL},
-seen AS (SELECT *, CAST(place // 25 + 1 AS INTEGER) AS page_no, CAST(place % 25 AS INTEGER) AS card_pos FROM cards
-  WHERE place < 50),
-capped AS (SELECT * FROM seen WHERE rank_ = 2 OR days <= 2
+capped AS (SELECT * FROM reached WHERE rank_ = 2 OR days <= 2
   QUALIFY row_number() OVER (PARTITION BY query_idx ORDER BY page_no, card_pos) <= 20),
 kept AS (SELECT * FROM capped WHERE (rank_ <> 2 OR days <= 2) AND NOT (rank_ = 3 AND lang = 'de')),
-ids AS (SELECT *, sha256(lower(title) || '||' || CASE rank_ WHEN 3 THEN 'berlin' ELSE 'berlin' END) AS job_id FROM kept),
+ids AS (SELECT *, sha256(lower(title) || '||' || 'berlin') AS job_id FROM kept),
 run_postings AS (SELECT * FROM ids QUALIFY row_number() OVER (PARTITION BY rank_, job_id ORDER BY query_idx, page_no, card_pos) = 1)"""
 
 

@@ -32,18 +32,15 @@ _SELF_CLOSING_SIBLINGS = {"li", "option", "dt", "dd", "tr", "td", "th"}
 
 
 class _Element:
-    __slots__ = ("tag", "attrs", "parent", "children")
+    __slots__ = ("tag", "attrs", "parent", "children", "place", "end", "page")
 
-    def __init__(self, tag, attrs, parent):
+    def __init__(self, tag, attrs, parent, page):
         self.tag, self.attrs, self.parent, self.children = tag, attrs, parent, []
+        self.page, self.place = page, len(page)
+        page.append(self)
 
     def descendants(self):
-        stack = self.children[::-1]
-        while stack:
-            child = stack.pop()
-            if isinstance(child, _Element):
-                yield child
-                stack.extend(child.children[::-1])
+        return self.page[self.place + 1 : self.end]
 
     def text(self) -> str:
         """Visible text: runs of whitespace become one space, block tags break the line."""
@@ -60,17 +57,24 @@ class _Element:
 
 
 class _PageTree(HTMLParser):
+    """A page's elements in document order; a subtree is a slice of them."""
+
     def __init__(self, page: str):
         super().__init__(convert_charrefs=True)
-        self.root = self.open = _Element("", {}, None)
+        self.elements = []
+        self.root = self.open = _Element("", {}, None, self.elements)
         self.feed(page)
         self.close()
+        for element in self.elements:
+            element.end = element.place + 1
+        for element in reversed(self.elements[1:]):
+            element.parent.end = max(element.parent.end, element.end)
 
     def handle_starttag(self, tag, attrs):
         same = tag in _SELF_CLOSING_SIBLINGS and self.open.tag == tag
         if same or (self.open.tag == "p" and tag in _BLOCK and tag != "br"):
             self.open = self.open.parent
-        element = _Element(tag, dict(attrs), self.open)
+        element = _Element(tag, dict(attrs), self.open, self.elements)
         self.open.children.append(element)
         if tag not in _VOID:
             self.open = element
@@ -118,34 +122,44 @@ def _test(match: re.Match):
     return lambda e: name in e.attrs
 
 
+def _step_test(step: str):
+    tests = [_test(match) for match in _SIMPLE.finditer(step)]
+    if len(tests) == 1:
+        return tests[0]
+    first, *others = tests
+    return lambda e: first(e) and all(test(e) for test in others)
+
+
+def _inside(outer, is_child: bool, inner):
+    """Test for ``inner`` elements under (or directly under) an ``outer`` one."""
+
+    def test(element):
+        if not inner(element):
+            return False
+        above = element.parent
+        while above is not None and not is_child and not outer(above):
+            above = above.parent
+        return above is not None and outer(above)
+
+    return test
+
+
 @lru_cache(maxsize=None)
 def _compiled(selector: str):
-    """Comma list of step lists, each step ``(is_child_step, tests)``."""
-    alternatives = re.split(r",(?![^()\[]*[\])])", selector)
-    return [
-        [(bool(child), [_test(m) for m in _SIMPLE.finditer(step)]) for child, step in _STEP.findall(alt)]
-        for alt in alternatives
-    ]
-
-
-def _fits(element: _Element, steps) -> bool:
-    is_child, tests = steps[-1]
-    if not all(test(element) for test in tests):
-        return False
-    if len(steps) == 1:
-        return True
-    above = element.parent
-    while above is not None:
-        if _fits(above, steps[:-1]):
-            return True
-        above = None if is_child else above.parent
-    return False
+    alternatives = []
+    for alternative in re.split(r",(?![^()\[]*[\])])", selector):
+        test = None
+        for child, step in _STEP.findall(alternative):
+            test = _step_test(step) if test is None else _inside(test, bool(child), _step_test(step))
+        alternatives.append(test)
+    if len(alternatives) == 1:
+        return alternatives[0]
+    return lambda e: any(test(e) for test in alternatives)
 
 
 def select(scope: _Element, selector: str):
     """Matching descendants in document order."""
-    alternatives = _compiled(selector)
-    return (e for e in scope.descendants() if any(_fits(e, steps) for steps in alternatives))
+    return filter(_compiled(selector), scope.descendants())
 
 
 def _field(card: _Element, rules) -> str:
@@ -184,6 +198,12 @@ def page_detail(page: str | None, board: dict) -> dict:
     return {"description": description, "experience": experience}
 
 
+def _costly(udf):
+    """Marked as non-deterministic, so that the planner never runs it a second time for a
+    filter it derives or moves below it."""
+    return udf.asNondeterministic()
+
+
 def cards_of(platform: Column, page: Column, boards: dict = vocab.CARD_SELECTORS) -> Column:
     """All cards of a search page as an array; boards without selectors give an empty one."""
 
@@ -193,7 +213,7 @@ def cards_of(platform: Column, page: Column, boards: dict = vocab.CARD_SELECTORS
             [page_cards(text, boards[name]) if name in boards else [] for name, text in zip(platforms, pages)]
         )
 
-    return extract(platform, page)
+    return _costly(extract)(platform, page)
 
 
 def detail_of(platform: Column, page: Column, boards: dict = vocab.DETAIL_SELECTORS) -> Column:
@@ -207,7 +227,7 @@ def detail_of(platform: Column, page: Column, boards: dict = vocab.DETAIL_SELECT
         ]
         return pd.DataFrame(rows, columns=["description", "experience"])
 
-    return extract(platform, page)
+    return _costly(extract)(platform, page)
 
 
 def unescape_html(text: Column) -> Column:
@@ -215,4 +235,4 @@ def unescape_html(text: Column) -> Column:
     def unescape(texts: pd.Series) -> pd.Series:
         return texts.map(html.unescape, na_action="ignore")
 
-    return unescape(text)
+    return _costly(unescape)(text)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from stellwerk import vocab
-from stellwerk.functions.text import WS, contains_any, is_blank, strip
+from stellwerk.functions.text import WS, collapse, contains_any, is_blank, strip
 
 
 def title_relevant(
@@ -77,50 +77,47 @@ _MONTH = r"(?:0?[1-9]|1[0-2])"
 _CLOCK = r"(?:[01]?\d|2[0-3]):[0-5]?\d:[0-5]?\d"
 _MONTH_NAME = "(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)"
 
-# A guard per date format, what is added to make the zone explicit, and the parse pattern.
-# Times without a zone are UTC.
+# Per date format: the text it fits, whole but for outer whitespace; what is added to make the
+# zone explicit (times without one are UTC); and the pattern that reads it. The guards run on
+# the raw text, so a text is stripped only in the branch that reads it.
 _DATE_FORMATS = [
-    (rf"^\d{{4}}-{_MONTH}-{_DAY}(?i:T){_CLOCK}{_ZONE}$", "", "yyyy-M-d'T'H:m:s[XXX][XX]"),
-    (rf"^\d{{4}}-{_MONTH}-{_DAY}(?i:T){_CLOCK}$", "Z", "yyyy-M-d'T'H:m:sXXX"),
-    (rf"^\d{{4}}-{_MONTH}-{_DAY}$", " Z", "yyyy-M-d XXX"),
-    (rf"^{_DAY}\.{_MONTH}\.\d{{4}}$", " Z", "d.M.yyyy XXX"),
-    (rf"(?i)^{_DAY} {_MONTH_NAME} \d{{4}}$", " Z", "d MMM yyyy XXX"),
-    (rf"(?i)^{_MONTH_NAME} {_DAY}, \d{{4}}$", " Z", "MMM d, yyyy XXX"),
+    (rf"\d{{4}}-{_MONTH}-{_DAY}(?i:T){_CLOCK}{_ZONE}", "", "yyyy-M-d'T'H:m:s[XXX][XX]"),
+    (rf"\d{{4}}-{_MONTH}-{_DAY}(?i:T){_CLOCK}", "Z", "yyyy-M-d'T'H:m:sXXX"),
+    (rf"\d{{4}}-{_MONTH}-{_DAY}", " Z", "yyyy-M-d XXX"),
+    (rf"{_DAY}\.{_MONTH}\.\d{{4}}", " Z", "d.M.yyyy XXX"),
+    (rf"(?i){_DAY}{WS}+{_MONTH_NAME}{WS}+\d{{4}}", " Z", "d MMM yyyy XXX"),
+    (rf"(?i){_MONTH_NAME}{WS}+{_DAY},{WS}+\d{{4}}", " Z", "MMM d, yyyy XXX"),
 ]
 
 # First match wins. The factor turns the number found into hours; zero means "just now".
+_JUST_NOW = rf"(?i)just{WS}*posted|gerade|^{WS}*(?:heute|today){WS}*$"
 _AGE_UNITS = [
-    (rf"(\d+){WS}*(?:minute|min|minuten?)", 0),
-    (rf"(\d+){WS}*(?:hours?|stunden?|std\.?)", 1),
-    (rf"(\d+){WS}*(?:days?|tagen?|tag)", 24),
-    (rf"(\d+){WS}*(?:weeks?|wochen?|woche)", 168),
+    (rf"(?i)(\d+){WS}*(?:minute|min|minuten?)", 0),
+    (rf"(?i)(\d+){WS}*(?:hours?|stunden?|std\.?)", 1),
+    (rf"(?i)(\d+){WS}*(?:days?|tagen?|tag)", 24),
+    (rf"(?i)(\d+){WS}*(?:weeks?|wochen?|woche)", 168),
 ]
-_JUST_NOW = rf"just{WS}*posted|gerade|^heute$|^today$"
 _LARGEST_AGE = 10**15
 
 
 def relative_age_hours(text: Column) -> Column:
     """Age in hours of phrases such as "2 days ago" or "vor 3 Stunden", else null."""
-    lowered = F.lower(strip(text))
-    age = F.when(lowered.rlike(_JUST_NOW), F.lit(0).cast("bigint"))
+    age = F.when(text.rlike(_JUST_NOW), F.lit(0).cast("bigint"))
     for pattern, factor in _AGE_UNITS:
-        digits = F.regexp_extract(lowered, pattern, 1)
         # A number too long for a bigint is simply a very old posting.
-        number = F.least(
-            F.coalesce(digits.try_cast("bigint"), F.lit(_LARGEST_AGE)), F.lit(_LARGEST_AGE)
-        )
-        age = age.when(digits != "", number * F.lit(factor))
+        number = F.coalesce(F.regexp_extract(text, pattern, 1).try_cast("bigint"), F.lit(_LARGEST_AGE))
+        age = age.when(text.rlike(pattern), F.least(number, F.lit(_LARGEST_AGE)) * F.lit(factor))
     return age
 
 
 def posted_at(text: Column) -> Column:
     """The instant a structured date stands for, or null."""
-    spaced = F.regexp_replace(strip(text), WS + "+", " ")
-    parsed = None
-    for guard, zone, pattern in _DATE_FORMATS:
-        value = F.try_to_timestamp(F.concat(spaced, F.lit(zone)), F.lit(pattern))
-        parsed = F.when(spaced.rlike(guard), value) if parsed is None else parsed.when(spaced.rlike(guard), value)
-    return parsed
+    instant = F.lit(None).cast("timestamp")
+    for pattern, zone, layout in reversed(_DATE_FORMATS):
+        plain = collapse(text) if " " in layout else strip(text)
+        value = F.try_to_timestamp(F.concat(plain, F.lit(zone)), F.lit(layout))
+        instant = F.when(text.rlike(rf"^{WS}*{pattern}{WS}*$"), value).otherwise(instant)
+    return instant
 
 
 def age_status(text: Column) -> Column:

@@ -79,7 +79,8 @@ def deliver(
     parts = digest.digest_assemble(wanted, numbered, date, country)
     write_digest(parts, f"{run_dir}/digest")
     delivered = send is None or send(spark.read.parquet(f"{run_dir}/digest"))
-    summary = metrics.run_summary(ledger, matched)
+    # Written before the ledger grows, since it reports the ledger's size before the run.
+    summary = materialise(metrics.run_summary(ledger, matched), f"{run_dir}/summary")
     if delivered:
         ledgers.append_ledger(matched, ledger_path, run_id, sent_at)
     return summary

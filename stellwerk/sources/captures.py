@@ -25,14 +25,6 @@ def platform_rank(platform: Column) -> Column:
     return rank.cast("int")
 
 
-def first_per_url(cards: Column) -> Column:
-    """Keep the first card of every link within one page's array."""
-    urls = F.transform(cards, lambda card: card["url"])
-    return F.transform(
-        F.array_distinct(urls), lambda url: F.element_at(cards, F.array_position(urls, url).cast("int"))
-    )
-
-
 def usable_cards(raw: Column, platform: Column, domain: Column) -> Column:
     """Cards as listings: canonical link, default place; only those with a title and a
     link, and on Xing none that leads back to a search."""
@@ -66,8 +58,14 @@ def html_cards(
     platform = F.col("platform")
     raw = pages.withColumn("raw", page_fields.cards_of(platform, F.col("body"), boards))
     usable = raw.withColumn("usable", usable_cards(F.col("raw"), platform, F.lit(stepstone_domain)))
-    once = F.when(platform == vocab.XING, first_per_url(F.col("usable"))).otherwise(F.col("usable"))
-    return usable.withColumn("cards", once).drop("raw", "usable")
+    links = usable.withColumn("links", F.transform("usable", lambda card: card["url"]))
+    # One board shows a posting's card several times on a page: the first one per link stays.
+    first_per_link = F.transform(
+        F.array_distinct("links"),
+        lambda link: F.element_at("usable", F.array_position("links", link).cast("int")),
+    )
+    once = F.when(platform == vocab.XING, first_per_link).otherwise(F.col("usable"))
+    return links.withColumn("cards", once).drop("raw", "usable", "links")
 
 
 def parse_search_pages(captures: DataFrame, stepstone_domain: str = "www.stepstone.de") -> DataFrame:

@@ -48,8 +48,10 @@ def append_ledger(postings: DataFrame, path: str, run_id: str, sent_at: Column)
     ledger_rows(postings, sent_at).write.mode("overwrite").parquet(f"{path}/run_id={run_id}")
 
 
-def lookup(ledger: DataFrame, job_ids: list[str]) -> DataFrame:
-    return latest_records(ledger.filter(F.col("job_id").isin(job_ids)))
+def lookup(ledger: DataFrame, asked: DataFrame) -> DataFrame:
+    """The records of the asked-for ``job_id`` values that were delivered."""
+    wanted = asked.select("job_id").distinct()
+    return latest_records(ledger.join(wanted, "job_id", "left_semi"))
 
 
 def total_count(ledger: DataFrame) -> DataFrame:
