@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from stellwerk import vocab
-from stellwerk.functions.text import WS, collapse, contains_any, is_blank, strip
+from stellwerk.functions.text import MAYBE_SPACES, SPACES, collapse, contains_any, is_blank, strip
 
 
 def title_relevant(
@@ -60,7 +60,7 @@ def location_target(
     # \Q…\E quotes each word; a literal country is folded to one constant pattern.
     phrase = F.concat(
         F.lit(r"(?U)\b\Q"),
-        F.array_join(F.split(strip(name), WS + "+"), r"\E\W+\Q"),
+        F.array_join(F.split(strip(name), SPACES), r"\E\W+\Q"),
         F.lit(r"\E\b"),
     )
     elsewhere = (
@@ -85,17 +85,17 @@ _DATE_FORMATS = [
     (rf"\d{{4}}-{_MONTH}-{_DAY}(?i:T){_CLOCK}", "Z", "yyyy-M-d'T'H:m:sXXX"),
     (rf"\d{{4}}-{_MONTH}-{_DAY}", " Z", "yyyy-M-d XXX"),
     (rf"{_DAY}\.{_MONTH}\.\d{{4}}", " Z", "d.M.yyyy XXX"),
-    (rf"(?i){_DAY}{WS}+{_MONTH_NAME}{WS}+\d{{4}}", " Z", "d MMM yyyy XXX"),
-    (rf"(?i){_MONTH_NAME}{WS}+{_DAY},{WS}+\d{{4}}", " Z", "MMM d, yyyy XXX"),
+    (rf"(?i){_DAY}{SPACES}{_MONTH_NAME}{SPACES}\d{{4}}", " Z", "d MMM yyyy XXX"),
+    (rf"(?i){_MONTH_NAME}{SPACES}{_DAY},{SPACES}\d{{4}}", " Z", "MMM d, yyyy XXX"),
 ]
 
 # First match wins. The factor turns the number found into hours; zero means "just now".
-_JUST_NOW = rf"(?i)just{WS}*posted|gerade|^{WS}*(?:heute|today){WS}*$"
+_JUST_NOW = rf"(?i)just{MAYBE_SPACES}posted|gerade|^{MAYBE_SPACES}(?:heute|today){MAYBE_SPACES}$"
 _AGE_UNITS = [
-    (rf"(?i)(\d+){WS}*(?:minute|min|minuten?)", 0),
-    (rf"(?i)(\d+){WS}*(?:hours?|stunden?|std\.?)", 1),
-    (rf"(?i)(\d+){WS}*(?:days?|tagen?|tag)", 24),
-    (rf"(?i)(\d+){WS}*(?:weeks?|wochen?|woche)", 168),
+    (rf"(?i)(\d+){MAYBE_SPACES}(?:minute|min|minuten?)", 0),
+    (rf"(?i)(\d+){MAYBE_SPACES}(?:hours?|stunden?|std\.?)", 1),
+    (rf"(?i)(\d+){MAYBE_SPACES}(?:days?|tagen?|tag)", 24),
+    (rf"(?i)(\d+){MAYBE_SPACES}(?:weeks?|wochen?|woche)", 168),
 ]
 _LARGEST_AGE = 10**15
 
@@ -116,7 +116,7 @@ def posted_at(text: Column) -> Column:
     for pattern, zone, layout in reversed(_DATE_FORMATS):
         plain = collapse(text) if " " in layout else strip(text)
         value = F.try_to_timestamp(F.concat(plain, F.lit(zone)), F.lit(layout))
-        instant = F.when(text.rlike(rf"^{WS}*{pattern}{WS}*$"), value).otherwise(instant)
+        instant = F.when(text.rlike(rf"^{MAYBE_SPACES}{pattern}{MAYBE_SPACES}$"), value).otherwise(instant)
     return instant
 
 

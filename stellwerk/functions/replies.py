@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from stellwerk import vocab
-from stellwerk.functions.text import WS, strip
+from stellwerk.functions.text import MAYBE_SPACES, strip
 
 _LINE_BREAK = r"\r\n|[\n\x0b\x0c\r\x1c-\x1e\x85\u2028\u2029]"
 _FENCE = "```"
@@ -55,7 +55,7 @@ def _score_of(field: Column, kind: Column) -> Column:
         .when(kind.rlike("^(BIGINT|DECIMAL|FLOAT|DOUBLE)"), clamp_score(F.try_variant_get(field, "$", "double")))
         .when(kind == "BOOLEAN", F.lit(1))
         .when(
-            (kind == "STRING") & text.rlike(rf"^{WS}*[+-]?\d+(_\d+)*{WS}*$"),
+            (kind == "STRING") & text.rlike(rf"^{MAYBE_SPACES}[+-]?\d+(_\d+)*{MAYBE_SPACES}$"),
             clamp_score(digits.try_cast("double")),
         )
     )

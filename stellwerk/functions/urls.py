@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from stellwerk import vocab
-from stellwerk.functions.text import WS, strip
+from stellwerk.functions.text import SPACES, strip
 
 
 def percent_encode(text: Column, keep_slash: bool = True) -> Column:
@@ -68,7 +68,7 @@ def search_url(
     """The search page a board shows for a query; ``page_no`` counts from one."""
     page = page_no.cast("string")
     offset = ((page_no - 1) * vocab.LINKEDIN_PAGE_SIZE).cast("string")
-    slug = F.array_join(F.split(strip(query), WS + "+"), "-")
+    slug = F.array_join(F.split(strip(query), SPACES), "-")
     linkedin = F.concat(
         F.lit("https://www.linkedin.com/jobs/search/?keywords="), percent_encode(query),
         F.lit("&location="), percent_encode(country),

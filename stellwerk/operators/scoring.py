@@ -99,17 +99,22 @@ def matched_only(scored: DataFrame) -> DataFrame:
 def _caller(scorer: Callable[[str], str | dict]):
     @F.pandas_udf("string")
     def call(messages: pd.Series) -> pd.Series:
+        errors = []
+
         def one(message):
             if message is None:
                 return None
             try:
                 reply = scorer(message)
-            except Exception:
-                log.warning("scorer failed", exc_info=True)
+            except Exception as error:
+                errors.append(error)
                 return None
             return json.dumps(reply, ensure_ascii=False) if isinstance(reply, dict) else reply
 
-        return pd.Series([one(m) for m in messages], dtype=object)
+        answers = pd.Series([one(m) for m in messages], dtype=object)
+        if errors:
+            log.warning("scorer failed on %d of %d; first: %r", len(errors), len(answers), errors[0])
+        return answers
 
     # A scorer may answer differently each time, so its calls must not be repeated.
     return call.asNondeterministic()

@@ -11,11 +11,17 @@ from stellwerk.functions import embedded, predicates, prompts, replies, text, ur
 
 
 def test_strip_knows_every_whitespace_character(evaluate):
-    looks_blank = "​᠎﻿⁠\xad"
+    looks_blank = "\u200b\u180e\ufeff\u2060\xad"
     texts = [f"{c}x{c}y{c}" for c in text.WHITESPACE + looks_blank]
     assert evaluate(lambda T: text.strip(T), texts) == [t.strip() for t in texts]
 
 
+def test_collapse_knows_every_whitespace_character(evaluate):
+    looks_blank = "\u200b\u180e\ufeff\u2060\xad"
+    texts = [f"{c}x{c}{c}y \n{c}z" for c in text.WHITESPACE + looks_blank] + [None]
+    assert evaluate(lambda T: text.collapse(T), texts) == [" ".join(t.split()) if t is not None else None for t in texts]
+
+
 @pytest.mark.parametrize("title", ["Data Engineer", "\tDATA Engineer\xa0", "İngenieur", "ΟΔΟΣ", "Größe ẞ", ""])
 def test_job_id_is_the_hash_of_folded_fields(evaluate, title):
     folded = f"{title.lower().strip()}|acme|berlin"
