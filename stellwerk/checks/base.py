@@ -65,9 +65,14 @@ def board_sql(number: str) -> str:
 
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as postings. Copies of a text share an id and differ in board and place."""
+    return as_postings(table(spark, sf_dir, "documents"))
+
+
+def as_postings(documents: DataFrame, *more: str) -> DataFrame:
     number = F.substring("source", 4, 9).cast("int")
-    rows = table(spark, sf_dir, "documents").select(
+    rows = documents.select(
         "doc_id",
+        *more,
         F.col("text").alias("title"),
         F.concat(F.lit("Example "), "lang").alias("company"),
         F.col("lang").alias("location"),
@@ -133,7 +138,9 @@ scored AS (
 def sent_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A ledger: postings labelled poor, each recorded once per label."""
     poor = table(spark, sf_dir, "labels").filter("quality = 0")
-    return postings(spark, sf_dir).join(poor, "doc_id").select(
+    # Joined first, so that only labelled texts are hashed.
+    labelled = table(spark, sf_dir, "documents").join(poor, "doc_id")
+    return as_postings(labelled, "toxic").select(
         "job_id",
         "url",
         "platform",

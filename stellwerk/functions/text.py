@@ -45,11 +45,15 @@ def collapse(text: Column) -> Column:
 
 
 def contains_any(text: Column, words: list[str]) -> Column:
-    """True when the text holds one of the words. A chain of substring tests runs about
-    2.5 times as fast here as one alternation pattern."""
+    """True when the text holds one of the words.
+
+    ``exists`` over the text alone names it once for all tests. Written as a plain chain, a
+    filter splits into one predicate per word and lower-cases the text for each of them; one
+    alternation pattern is slower still.
+    """
     if not words:
         return F.lit(False)
-    return reduce(or_, [text.contains(word) for word in words])
+    return F.exists(F.array(text), lambda bound: reduce(or_, [bound.contains(word) for word in words]))
 
 
 def job_id(title: Column, company: Column, location: Column) -> Column:
@@ -57,7 +61,9 @@ def job_id(title: Column, company: Column, location: Column) -> Column:
     title, company, location = (
         strip(F.lower(F.coalesce(part, F.lit("")))) for part in (title, company, location)
     )
-    return F.sha2(F.concat(title, F.lit("|"), company, F.lit("|"), location), 256)
+    digest = F.sha2(F.concat(title, F.lit("|"), company, F.lit("|"), location), 256)
+    # Never null, so that joins on the id need no null test that would hash once more.
+    return F.coalesce(digest, F.lit(""))
 
 
 def summary(description: Column, sentences: int = SUMMARY_SENTENCES) -> Column:
