@@ -25,6 +25,7 @@ from stellwerk.functions.predicates import title_relevant
 from stellwerk.functions.replies import is_match, with_reply, with_score
 from stellwerk.operators import digest, frontier, funnel, identity, metrics, scoring
 from stellwerk.plans import daily_run
+from stellwerk.plans.source_check import check_source
 from stellwerk.session import new_run_dir
 from stellwerk.sources import files, ledger, registry, reports
 from stellwerk.streaming.incremental import incremental_run
@@ -493,7 +494,7 @@ digests AS (SELECT DISTINCT lang AS digest_id FROM documents UNION ALL SELECT 'n
 digest AS (SELECT digest_id, coalesce(part_no, 0) AS part_no,
   CASE WHEN part_no IS NULL THEN 'No new relevant jobs found in this cycle.' || chr(10) || chr(10) || 'Date: 2024-01-31'
   ELSE concat_ws(chr(10), CASE WHEN part_no = 0 THEN 'NEW JOBS FOUND  (2024-01-31)' || chr(10) || repeat('=', 60) || chr(10) END, entries,
-    CASE WHEN last = total THEN 'Total new jobs: ' || total || chr(10) || chr(10) || '-- Germany Job Agent --' END) END AS body
+    CASE WHEN last = total THEN 'Total new jobs: ' || total || chr(10) || chr(10) || '-- Germany job digest --' END) END AS body
   FROM digests LEFT JOIN parts USING (digest_id))"""
 
 
@@ -725,3 +726,42 @@ def incremental(spark, sf):
     rows.write.mode("append").parquet(source)
     run()
     return ledger.read_ledger(spark, run()).select("job_id", "platform", "run_id")
+
+
+_CHECK_SQL = f"""{_RUN_SQL},
+tested AS (SELECT *, rank_ = 2 OR days <= 2 AS date_ok, NOT contains(title, '7') AS title_ok FROM reached),
+described AS (SELECT *, CASE WHEN rank_ = 3 AND lang = 'de' THEN '' WHEN rank_ = 3 THEN {strip_sql('text')}
+    ELSE {strip_sql("regexp_replace(text, '[ ' || chr(9) || chr(10) || chr(13) || ']+', ' ', 'g')")} END AS description FROM tested)"""
+
+
+@query(
+    "source_check",
+    f"""WITH {_CHECK_SQL} SELECT {board_sql('rank_')} AS platform, query_idx, count(*) AS cards, count(*) AS loc,
+      count(*) FILTER (date_ok) AS date, count(*) FILTER (date_ok AND title_ok) AS title, count(*) FILTER (date_ok AND title_ok) AS detail,
+      count(*) FILTER (date_ok AND title_ok AND length(description) % 10 + 1 >= 7) AS matched
+    FROM described GROUP BY rank_, query_idx""",
+)
+def check_funnel(spark, sf):
+    """All boards measured without cap and ledger."""
+    counts, _ = check_source(
+        _captures(spark, sf), new_run_dir(spark, "check"), _by_length, ["all"], F.lit("2024-01-31T00:00:00"),
+        pages_per_query=2, blocks=["7"],
+    )
+    return counts
+
+
+@query(
+    "source_check_unfiltered",
+    f"""WITH {_CHECK_SQL}, hashed AS (SELECT *, sha256(lower(title) || '||berlin') AS job_id FROM described)
+    SELECT job_id, {board_sql('rank_')} AS platform, query_idx, page_no, card_pos, length(description) AS chars FROM hashed
+    QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY rank_, query_idx, page_no, card_pos) = 1""",
+)
+def check_unfiltered(spark, sf):
+    """Every card as a match: the unique postings."""
+    _, unique = check_source(
+        _captures(spark, sf), new_run_dir(spark, "check"), _by_length, ["all"], F.lit("2024-01-31T00:00:00"),
+        apply_filters=False, pages_per_query=2,
+    )
+    return unique.select(
+        "job_id", "platform", "query_idx", "page_no", "card_pos", F.length("description").cast("bigint").alias("chars")
+    )

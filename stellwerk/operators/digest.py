@@ -29,7 +29,10 @@ def subject(country: str, date: Column) -> Column:
 def plain_entry(number: Column) -> Column:
     """One posting's block of the plain digest. The score line is left out at score 0."""
     score, reason = F.coalesce("llm_score", F.lit(0)), F.coalesce("llm_reason", F.lit(""))
-    value = lambda name: F.coalesce(name, F.lit("N/A"))
+
+    def value(name: str) -> Column:
+        return F.coalesce(name, F.lit("N/A"))
+
     return F.concat_ws(
         "\n",
         F.concat(F.lit("["), number.cast("string"), F.lit("]  "), value("title")),
@@ -52,8 +55,13 @@ def escape_html(text: Column) -> Column:
 def html_entry(number: Column) -> Column:
     """One posting's block of the HTML digest, with all values escaped."""
     score, reason = F.coalesce("llm_score", F.lit(0)), F.coalesce("llm_reason", F.lit(""))
-    value = lambda name: escape_html(F.coalesce(F.nullif(F.col(name), F.lit("")), F.lit("N/A")))
-    row = lambda label, name: F.concat(F.lit(f"<li>{label}: "), value(name), F.lit("</li>"))
+
+    def value(name: str) -> Column:
+        return escape_html(F.coalesce(F.nullif(F.col(name), F.lit("")), F.lit("N/A")))
+
+    def row(label: str, name: str) -> Column:
+        return F.concat(F.lit(f"<li>{label}: "), value(name), F.lit("</li>"))
+
     return F.concat_ws(
         "\n",
         F.concat(F.lit("<section><h2>"), number.cast("string"), F.lit(". "), value("title"), F.lit("</h2>")),
@@ -74,21 +82,21 @@ def digest_number(postings: DataFrame, group: list[str] = ["digest_id"]) -> Data
     return number_rows(postings, group, schema.ORDER_COLUMNS, "n", "total")
 
 
-def _plain_frame(date: Column, label: str):
+def _plain_frame(date: Column, label: str) -> tuple[Column, Column, Column]:
+    """Head, foot and the text of a digest without postings."""
     head = F.concat(F.lit("NEW JOBS FOUND  ("), date, F.lit(")\n" + "=" * 60 + "\n"))
-    foot = lambda total: F.concat(F.lit("Total new jobs: "), total, F.lit(f"\n\n-- {label} --"))
+    foot = F.concat(F.lit("Total new jobs: "), F.col("total").cast("string"), F.lit(f"\n\n-- {label} --"))
     empty = F.concat(F.lit(f"{_NOTHING}\n\nDate: "), date)
     return head, foot, empty
 
 
-def _html_frame(date: Column, label: str, country: str):
-    safe_label = label.replace("&", "&amp;").replace("<", "&lt;")
-    title = country.replace("&", "&amp;").replace("<", "&lt;")
-    end = F.concat(F.lit(f"<footer>{safe_label} &bull; "), date, F.lit("</footer></body></html>"))
-    start = F.concat(F.lit(f"<html><body><h1>{title} Job Update &ndash; "), date, F.lit("</h1>"))
-    foot = lambda total: F.concat(F.lit("<p>Total new jobs: "), total, F.lit("</p>\n"), end)
-    empty = F.concat(start, F.lit(f"\n<p>{_NOTHING}</p>\n"), end)
-    return start, foot, empty
+def _html_frame(date: Column, label: str, country: str) -> tuple[Column, Column, Column]:
+    safe_label, title = escape_html(F.lit(label)), escape_html(F.lit(country))
+    end = F.concat(F.lit("<footer>"), safe_label, F.lit(" &bull; "), date, F.lit("</footer></body></html>"))
+    head = F.concat(F.lit("<html><body><h1>"), title, F.lit(" Job Update &ndash; "), date, F.lit("</h1>"))
+    foot = F.concat(F.lit("<p>Total new jobs: "), F.col("total").cast("string"), F.lit("</p>\n"), end)
+    empty = F.concat(head, F.lit(f"\n<p>{_NOTHING}</p>\n"), end)
+    return head, foot, empty
 
 
 def digest_assemble(
@@ -98,15 +106,16 @@ def digest_assemble(
     country: str = "Germany",
     entries_per_part: int = ENTRIES_PER_PART,
     html: bool = False,
+    label: str | None = None,
 ) -> DataFrame:
     """Digest text as ``(digest_id, part_no, body)``.
 
     Parts joined by line breaks are the digest; the first carries the head, the last the
     foot. A part holds a bounded number of entries, so a digest of any length is assembled
     without gathering it in one row. ``digests`` lists the wanted digests, so that one
-    without postings still says so.
+    without postings still says so; ``label`` is the signature in the foot.
     """
-    label = f"{country} Job Agent"
+    label = label or f"{country} job digest"
     head, foot, empty = _html_frame(date, label, country) if html else _plain_frame(date, label)
     entry = (html_entry if html else plain_entry)(F.col("n"))
     parts = (
@@ -132,7 +141,7 @@ def digest_assemble(
             "\n",
             F.when(F.col("part_no") == 0, head),
             text,
-            F.when(F.col("last") == F.col("total"), foot(F.col("total").cast("string"))),
+            F.when(F.col("last") == F.col("total"), foot),
         ).alias("body"),
     )
     wanted = digests.select("digest_id").distinct().join(bodies, "digest_id", "left")

@@ -18,6 +18,24 @@ def funnel_by_query(rows: DataFrame, keys: tuple[str, ...] = ("platform", "query
     return rows.groupBy(*keys).agg(*counts)
 
 
+def source_funnel(
+    pages: DataFrame, flagged: DataFrame, matched: DataFrame, keys: tuple[str, ...] = ("platform", "query_idx")
+) -> DataFrame:
+    """Funnel of a single-source run. Cards are counted as listed on the pages, before
+    unusable ones are dropped; matches after scoring. The three counts have a row per query
+    each and are joined."""
+    listed = pages.groupBy(*keys).agg(F.sum("listed").alias("cards"))
+    passed = flagged.groupBy(*keys).agg(
+        F.count_if("location_ok").alias("loc"),
+        F.count_if(F.expr("location_ok AND date_ok")).alias("date"),
+        F.count_if(F.expr("location_ok AND date_ok AND title_ok")).alias("title"),
+        F.count_if("detailed").alias("detail"),
+    )
+    hits = matched.groupBy(*keys).agg(F.count("*").alias("matched"))
+    joined = listed.join(passed, list(keys), "left").join(hits, list(keys), "left")
+    return joined.select(*keys, *[F.coalesce(stage, F.lit(0)).alias(stage) for stage in STAGES])
+
+
 def funnel_total(funnel: DataFrame) -> DataFrame:
     """Per-query rows, a row per board and a grand total, summed from the funnel rows."""
     sums = [F.sum(stage).alias(stage) for stage in STAGES]

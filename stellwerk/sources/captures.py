@@ -69,7 +69,8 @@ def html_cards(
 
 
 def parse_search_pages(captures: DataFrame, stepstone_domain: str = "www.stepstone.de") -> DataFrame:
-    """One row per search page: its usable cards and whether paging ends with it.
+    """One row per search page: its usable cards, how many there were to begin with, and
+    whether paging ends with it.
 
     The agency's JSON pages never reach Python.
     """
@@ -80,10 +81,13 @@ def parse_search_pages(captures: DataFrame, stepstone_domain: str = "www.stepsto
     from_json = pages.filter(platform == vocab.BA).select(
         *keep,
         listing_api.payload_cards(body).alias("cards"),
+        F.size(agency).alias("listed"),
         (F.size(agency) < vocab.BA_PAGE_SIZE).alias("is_last"),
     )
-    from_html = html_cards(pages.filter(platform != vocab.BA), stepstone_domain).select(*keep, "cards")
-    return from_html.withColumn("is_last", F.size("cards") == 0).unionByName(from_json)
+    from_html = html_cards(pages.filter(platform != vocab.BA), stepstone_domain).select(
+        *keep, "cards", F.size("cards").alias("listed"), (F.size("cards") == 0).alias("is_last")
+    )
+    return from_html.unionByName(from_json)
 
 
 def explode_cards(pages: DataFrame) -> DataFrame:

@@ -196,7 +196,7 @@ def test_plain_digest_text(spark):
         f"  Link      : https://x/j0\n\n  AI Score  : 8/10\n  AI Verdict: fits\n\n{rule}\n\n"
         "[2]  Title j1\n  Company   : C\n  Location  : L\n  Platform  : Xing\n  Experience: \n  Posted    : \n"
         f"  Link      : https://x/j1\n\n  AI Verdict: fits\n\n{rule}\n\n"
-        "Total new jobs: 2\n\n-- Austria Job Agent --"
+        "Total new jobs: 2\n\n-- Austria job digest --"
     )
     assert bodies["empty"] == "No new relevant jobs found in this cycle.\n\nDate: 2024-01-31"
 

@@ -20,7 +20,8 @@ USES_PYTHON = {
 # Queries that write and read back; their plans only show the reading.
 WRITES = {
     "src_pages", "snapshot_read", "source_registry", "ledger_read", "ledger_append", "ledger_lookup", "digest_sink",
-    "report_sink", "bypass_scoring", "acquire_run", "daily_run", "incremental_run",
+    "report_sink", "bypass_scoring", "acquire_run", "daily_run", "incremental_run", "source_check",
+    "source_check_unfiltered",
 }
 
 
