@@ -8,6 +8,7 @@ from stellwerk.functions.page_fields import unescape_html
 from stellwerk.functions.replies import strict_json
 from stellwerk.functions.text import strip
 
+# Where the pages carry their JSON.
 _LD_SCRIPT = r"(?is)<script[^>]*type=[\"']application/ld\+json[\"'][^>]*>(.*?)</script>"
 _STATE_SCRIPT = r"(?is)<script[^>]*id=[\"']ng-state[\"'][^>]*>(.*?)</script>"
 # Up to the first quote with an even number of backslashes before it. Written without a
@@ -26,10 +27,12 @@ def _first(values: Column) -> Column:
 
 
 def jsonld_description(page: Column) -> Column:
-    """First ``description`` string in any JSON-LD block, with its escapes resolved."""
+    """First ``description`` string in any JSON-LD block, with its escapes resolved. Sites
+    leave raw line breaks and stray backslashes in it, which are let through."""
     escaped = _first(F.transform(ld_scripts(page), lambda s: F.regexp_extract(s, _LD_DESCRIPTION, 1)))
-    value = F.try_parse_json(F.concat(F.lit('{"d":"'), escaped, F.lit('"}')))
-    return F.coalesce(strip(F.try_variant_get(value, "$.d", "string")), F.lit(""))
+    lenient = {"allowUnquotedControlChars": "true", "allowBackslashEscapingAnyCharacter": "true"}
+    value = F.from_json(F.concat(F.lit('{"d":"'), escaped, F.lit('"}')), "d string", lenient)
+    return F.coalesce(strip(value["d"]), F.lit(""))
 
 
 def jsonld_posting_date(page: Column) -> Column:

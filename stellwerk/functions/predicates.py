@@ -77,7 +77,7 @@ _MONTH = r"(?:0?[1-9]|1[0-2])"
 _CLOCK = r"(?:[01]?\d|2[0-3]):[0-5]?\d:[0-5]?\d"
 _MONTH_NAME = "(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)"
 
-# Per date format: the text it fits, whole but for outer whitespace; what is added to make the
+# The date formats. Per format: the text it fits, whole but for outer whitespace; what is added to make the
 # zone explicit (times without one are UTC); and the pattern that reads it. The guards run on
 # the raw text, so a text is stripped only in the branch that reads it.
 _DATE_FORMATS = [
@@ -89,7 +89,7 @@ _DATE_FORMATS = [
     (rf"(?i){_MONTH_NAME}{SPACES}{_DAY},{SPACES}\d{{4}}", " Z", "MMM d, yyyy XXX"),
 ]
 
-# First match wins. The factor turns the number found into hours; zero means "just now".
+# Phrases for an age. First match wins. The factor turns the number found into hours; zero means "just now".
 _JUST_NOW = rf"(?i)just{MAYBE_SPACES}posted|gerade|^{MAYBE_SPACES}(?:heute|today){MAYBE_SPACES}$"
 _AGE_UNITS = [
     (rf"(?i)(\d+){MAYBE_SPACES}(?:minute|min|minuten?)", 0),

@@ -65,7 +65,8 @@ def search_url(
     route: Column,
     path: Column,
 ) -> Column:
-    """The search page a board shows for a query; ``page_no`` counts from one."""
+    """The search page a board shows for a query; ``page_no`` counts from one. The address
+    formats are fixed values."""
     page = page_no.cast("string")
     offset = ((page_no - 1) * vocab.LINKEDIN_PAGE_SIZE).cast("string")
     slug = F.array_join(F.split(strip(query), SPACES), "-")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from stellwerk import vocab
 from stellwerk.operators import digest, funnel, identity, metrics, scoring
+from stellwerk.session import page_batches
 from stellwerk.sources import captures as pages
 from stellwerk.sources import ledger as ledgers
 from stellwerk.sources.files import materialise
@@ -31,8 +32,10 @@ def acquire(
     Parsing pages is the costly stage, so its result is written once; the cheap tests and
     the cap run on the small card rows, and only the detail pages they leave are parsed.
     """
+    spark = captures.sparkSession
     limited = captures.filter(F.col("page_no").isNull() | (F.col("page_no") <= pages_per_query))
-    parsed = materialise(pages.parse_search_pages(limited, stepstone_domain), f"{run_dir}/pages")
+    with page_batches(spark):
+        parsed = materialise(pages.parse_search_pages(limited, stepstone_domain), f"{run_dir}/pages")
     listings = pages.explode_cards(funnel.pagination_stop(parsed, QUERY_KEYS, F.col("is_last")))
     flagged = funnel.funnel_flags(listings, country=country, hours=hours, blocks=blocks)
     capped = materialise(
@@ -45,7 +48,8 @@ def acquire(
     rows = funnel.join_detail(capped, details)
     rows = funnel.late_fresh_check(rows, F.col("observed_at"), hours)
     postings = funnel.as_postings(funnel.nonempty_description(rows))
-    return materialise(identity.first_per_platform(postings), f"{run_dir}/postings")
+    with page_batches(spark):
+        return materialise(identity.first_per_platform(postings), f"{run_dir}/postings")
 
 
 def deliver(

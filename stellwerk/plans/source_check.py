@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from stellwerk import vocab
 from stellwerk.operators import funnel, identity, metrics, scoring
 from stellwerk.plans.daily_run import QUERY_KEYS
+from stellwerk.session import page_batches
 from stellwerk.sources import captures as pages
 from stellwerk.sources.files import materialise
 from stellwerk.sources.reports import run_report, write_report
@@ -33,7 +34,9 @@ def check_source(
     to its detail page and counts as a match; the tests are still counted.
     """
     search = captures.filter(F.col("page_no").isNull() | (F.col("page_no") <= pages_per_query))
-    parsed = materialise(pages.parse_search_pages(search), f"{run_dir}/pages")
+    spark = captures.sparkSession
+    with page_batches(spark):
+        parsed = materialise(pages.parse_search_pages(search), f"{run_dir}/pages")
     reached = funnel.pagination_stop(parsed, QUERY_KEYS, F.col("is_last"))
     flagged = funnel.funnel_flags(pages.explode_cards(reached), country=country, hours=hours, blocks=blocks)
     wanted = F.expr("location_ok AND date_ok AND title_ok") if apply_filters else F.lit(True)
@@ -43,7 +46,10 @@ def check_source(
     details = pages.parse_details(
         captures.filter(F.col("kind") != "search").join(needed, ["platform", "url"], "left_semi")
     )
-    enriched = funnel.as_postings(funnel.join_detail(chosen, details))
+    with page_batches(spark):
+        enriched = materialise(
+            funnel.as_postings(funnel.join_detail(chosen, details)), f"{run_dir}/postings"
+        )
     stage = score if apply_filters else scoring.pass_all
     scored = scoring.score_or_pass(enriched, stage, f"{run_dir}/scored", on_score_error)
     matched = scoring.matched_only(scored)

@@ -304,6 +304,7 @@ def test_json_ld(evaluate):
         page("{}", '{"x": {"description" : " deep "}}'): "deep",
         page(f'{{"description": "ends {quotes}", "b": "c"}}'): "ends " + "\\" * 3,
         page('{"description": "' + "line\\n" * 20000 + '"}'): ("line\n" * 20000).strip(),
+        page('{"description": "raw\nbreak\tand \\d"}'): "raw\nbreak\tand d",
         page('{"title": "x"}'): "",
         "": "",
         None: "",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from stellwerk.operators import identity, scoring
-from stellwerk.sources import files
+from stellwerk.sources import files, ledger
 
 SF_DIR = "/root/testdata/sf0.001"
 PYTHON = re.compile(r"\b(ArrowEvalPython|BatchEvalPython|MapInPandas|MapInArrow|FlatMapGroups\w*)\b")
@@ -72,3 +72,20 @@ def test_counting_combines_before_the_shuffle(spark):
     text = plan(entry.queries()["funnel_by_query"](spark, SF_DIR))
     exchange = text.index("Exchange hashpartitioning(platform")
     assert "partial_count" in text[exchange:]
+
+
+def test_bucketed_ledger_is_not_shuffled(spark, tmp_path):
+    rows = spark.range(200).selectExpr(
+        "cast(id % 50 as string) job_id", "'u' url", "'Xing' platform", "timestamp_seconds(id) date_sent", "'r' run_id"
+    )
+    ledger.save_bucketed(rows, "bucketed_ledger", 4, str(tmp_path / "bucketed"))
+    postings = spark.range(100).selectExpr("cast(id as string) job_id", "'x' title")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        left = identity.anti_ledger(postings, spark.table("bucketed_ledger"))
+        assert left.count() == 50
+        assert len(lines_of(left, "Exchange")) == 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        spark.sql("DROP TABLE bucketed_ledger")
