@@ -388,7 +388,8 @@ def first_url_in_page(spark, sf):
     return funnel.first_url_in_page(_nav_cards(spark, sf), ["page_id"], ["pos"]).drop("title")
 
 
-_UNESCAPED = "replace(replace(replace(regexp_replace({}, '<[^>]*>', '', 'g'), '&quot;', '\"'), '&copy;', '©'), '&amp;', '&')"
+# Some headings end in an entity cut short of its semicolon; HTML reads "&amp" as "&" too.
+_UNESCAPED = "regexp_replace(replace(replace(regexp_replace({}, '<[^>]*>', '', 'g'), '&quot;', '\"'), '&copy;', '©'), '&amp;?', '&', 'g')"
 _ARTICLE_SQL = (
     "regexp_replace(regexp_extract(html, '(?s)<article>(.*?)(?:</article>|$)', 1), '</?(?:h1|p|br)>', chr(2), 'g')"
 )
