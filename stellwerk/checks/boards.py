@@ -9,9 +9,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stellwerk import vocab
-from stellwerk.checks.base import POSTINGS_SQL, WS_SQL, collapse_sql, postings, query, strip_sql, table
+from stellwerk.checks.base import POSTINGS_SQL, collapse_sql, postings, query, strip_sql, table
 from stellwerk.functions import embedded, listing_api, page_fields
-from stellwerk.functions.text import collapse
 from stellwerk.operators import funnel
 from stellwerk.session import new_run_dir
 from stellwerk.sources import captures, files, registry

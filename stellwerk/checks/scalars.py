@@ -8,7 +8,6 @@ from stellwerk import vocab
 from stellwerk.checks.base import (
     POSTINGS_SQL,
     SCORED_SQL,
-    WS_SQL,
     any_of_sql,
     collapse_sql,
     postings,

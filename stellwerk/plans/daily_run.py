@@ -41,10 +41,7 @@ def acquire(
     capped = materialise(
         funnel.cap_details(funnel.candidates(flagged), details_per_query), f"{run_dir}/candidates"
     )
-    wanted = capped.select("platform", "url").distinct()
-    details = pages.parse_details(
-        captures.filter(F.col("kind") != "search").join(wanted, ["platform", "url"], "left_semi")
-    )
+    details = pages.parse_details(captures, wanted=capped)
     rows = funnel.join_detail(capped, details)
     rows = funnel.late_fresh_check(rows, F.col("observed_at"), hours)
     postings = funnel.as_postings(funnel.nonempty_description(rows))

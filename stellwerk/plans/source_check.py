@@ -42,10 +42,7 @@ def check_source(
     wanted = F.expr("location_ok AND date_ok AND title_ok") if apply_filters else F.lit(True)
     flagged = materialise(flagged.withColumn("detailed", wanted), f"{run_dir}/listings")
     chosen = flagged.filter("detailed")
-    needed = chosen.select("platform", "url").distinct()
-    details = pages.parse_details(
-        captures.filter(F.col("kind") != "search").join(needed, ["platform", "url"], "left_semi")
-    )
+    details = pages.parse_details(captures, wanted=chosen)
     with page_batches(spark):
         enriched = materialise(
             funnel.as_postings(funnel.join_detail(chosen, details)), f"{run_dir}/postings"

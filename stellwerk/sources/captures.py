@@ -104,21 +104,27 @@ def explode_cards(pages: DataFrame) -> DataFrame:
     )
 
 
-def parse_details(captures: DataFrame) -> DataFrame:
-    """Detail fields per (platform, url); the latest capture of a page counts.
+def latest_details(captures: DataFrame, kind: str, wanted: DataFrame | None = None) -> DataFrame:
+    """The latest capture of every detail page, of the wanted (platform, url) pairs if given.
+
+    Repeated captures are pruned on the map side, before the one shuffle of the pages. The
+    wanted pairs are joined afterwards on the same keys: a semi join would be moved below the
+    pruning and bring all captures of a page into one task.
+    """
+    pages = captures.filter(F.col("kind") == kind).select("platform", "url", "body", "observed_at")
+    latest = first_by(pages, ["platform", "url"], [F.col("observed_at").desc(), F.col("body")])
+    if wanted is not None:
+        latest = latest.join(wanted.select("platform", "url").distinct(), ["platform", "url"])
+    return latest
+
+
+def parse_details(captures: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """Detail fields per (platform, url).
 
     The agency's public page stands in, as a whole, where its API gave no description.
     """
-    details = captures.filter(F.col("kind") != "search").select(
-        "platform", "url", "kind", "body", "observed_at"
-    )
-    latest = first_by(
-        details,
-        ["platform", "url", "kind"],
-        [F.col("observed_at").desc(), F.col("body")],
-    )
     platform, body = F.col("platform"), F.col("body")
-    html = latest.filter(platform != vocab.BA).select(
+    html = latest_details(captures.filter(platform != vocab.BA), "detail", wanted).select(
         "platform",
         "url",
         page_fields.detail_of(platform, body).alias("fields"),
@@ -134,11 +140,11 @@ def parse_details(captures: DataFrame) -> DataFrame:
         F.col("fields.experience").alias("experience_level"),
         F.coalesce("detail_date", F.lit("")).alias("detail_date"),
     )
-    agency = latest.filter(platform == vocab.BA)
-    api = agency.filter(F.col("kind") == "detail").select(
+    agency = captures.filter(platform == vocab.BA)
+    api = latest_details(agency, "detail", wanted).select(
         "platform", "url", listing_api.detail_fields(body).alias("primary")
     )
-    public = agency.filter(F.col("kind") == "detail_public").select(
+    public = latest_details(agency, "detail_public", wanted).select(
         "platform", "url", embedded.embedded_state(body).alias("secondary")
     )
     chosen = listing_api.prefer_described(F.col("primary"), F.col("secondary"))

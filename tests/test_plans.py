@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from stellwerk.operators import identity, scoring
-from stellwerk.sources import files, ledger
+from stellwerk.sources import captures, files, ledger
 
 SF_DIR = "/root/testdata/sf0.001"
 PYTHON = re.compile(r"\b(ArrowEvalPython|BatchEvalPython|MapInPandas|MapInArrow|FlatMapGroups\w*)\b")
@@ -89,3 +89,21 @@ def test_bucketed_ledger_is_not_shuffled(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
         spark.sql("DROP TABLE bucketed_ledger")
+
+
+def test_repeated_captures_are_pruned_before_the_only_shuffle_of_pages(spark):
+    rows = spark.range(10).selectExpr(
+        "if(id % 2 = 0, 'Xing', 'LinkedIn') platform", "cast(id as string) url", "'detail' kind", "'<main>x</main>' body", "timestamp_seconds(id) observed_at"
+    )
+    wanted = spark.range(5).selectExpr("if(id % 2 = 0, 'Xing', 'LinkedIn') platform", "cast(id as string) url")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        latest = captures.latest_details(rows, "detail", wanted)
+        text = plan(latest).splitlines()
+        shuffles = [n for n, line in enumerate(text) if "Exchange hashpartitioning" in line]
+        pruned = [n for n, line in enumerate(text) if "WindowGroupLimit" in line and "Partial" in line]
+        assert len(shuffles) == 2 and pruned[0] == shuffles[0] + 1
+        assert latest.count() == 5
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
