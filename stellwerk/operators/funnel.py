@@ -18,7 +18,8 @@ def pagination_stop(pages: DataFrame, keys: list[str], is_last: Column) -> DataF
     """Drop the pages after the first one that ends a query's paging.
 
     The first such page is found by an aggregate, which combines on the map side; a window
-    over the query would pull all its pages into one task.
+    over the query would pull all its pages into one task. The ends are one narrow row per
+    query, so the join becomes a broadcast at run time as soon as their measured size allows.
     """
     ends = pages.filter(is_last).groupBy(*keys).agg(F.min("page_no").alias("_end"))
     reached = F.col("_end").isNull() | (F.col("page_no") <= F.col("_end"))

@@ -40,19 +40,18 @@ def first_global(postings: DataFrame) -> DataFrame:
     return first_by(has_job_id(postings), ["job_id"], schema.ORDER_COLUMNS)
 
 
-def _sent_ids(ledger: DataFrame) -> DataFrame:
-    # Map-side combining keeps a posting that was recorded many times from piling up.
-    return ledger.select("job_id").distinct()
-
-
 def anti_ledger(postings: DataFrame, ledger: DataFrame) -> DataFrame:
     """Postings not delivered before. The planner broadcasts the ledger only when its
-    measured size allows; beyond that both sides shuffle on the id."""
-    return has_job_id(postings).join(_sent_ids(ledger), "job_id", "left_anti")
+    measured size allows; beyond that both sides shuffle on the id.
+
+    The ledger is joined as it is: it holds an id about once, and an aggregate between its
+    shuffle and the join would keep adaptive execution from splitting a hot id's postings.
+    """
+    return has_job_id(postings).join(ledger.select("job_id"), "job_id", "left_anti")
 
 
 def already_sent(postings: DataFrame, ledger: DataFrame) -> DataFrame:
-    return has_job_id(postings).join(_sent_ids(ledger), "job_id", "left_semi")
+    return has_job_id(postings).join(ledger.select("job_id"), "job_id", "left_semi")
 
 
 def stable_order(df: DataFrame) -> DataFrame:

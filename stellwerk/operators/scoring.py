@@ -88,7 +88,11 @@ def with_fallback(rows: DataFrame, score: str = "score", reason: str = "reason")
 
 
 def join_responses(postings: DataFrame, verdicts: DataFrame, keys: list[str]) -> DataFrame:
-    """Attach each posting's verdict, or the fallback when it has none."""
+    """Attach each posting's verdict, or the fallback when it has none.
+
+    Join verdicts that were written: read from a table, their side is a plain shuffle and a
+    hot id's postings can be split.
+    """
     return with_fallback(postings.join(verdicts.select(*keys, "match", "score", "reason"), keys, "left"))
 
 

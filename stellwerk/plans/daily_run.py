@@ -29,8 +29,8 @@ def acquire(
 ) -> DataFrame:
     """Postings of one run's captures, written to ``run_dir/postings``.
 
-    Parsing pages is the costly stage, so its result is written once; the cheap tests and
-    the cap run on the small card rows, and only the detail pages they leave are parsed.
+    Parsing pages is the costly stage, so its results are written; the cheap tests and the
+    cap run on the small card rows, and only the detail pages they leave are parsed.
     """
     spark = captures.sparkSession
     limited = captures.filter(F.col("page_no").isNull() | (F.col("page_no") <= pages_per_query))
@@ -41,12 +41,12 @@ def acquire(
     capped = materialise(
         funnel.cap_details(funnel.candidates(flagged), details_per_query), f"{run_dir}/candidates"
     )
-    details = pages.parse_details(captures, wanted=capped)
+    with page_batches(spark):
+        details = materialise(pages.parse_details(captures, wanted=capped), f"{run_dir}/details")
     rows = funnel.join_detail(capped, details)
     rows = funnel.late_fresh_check(rows, F.col("observed_at"), hours)
     postings = funnel.as_postings(funnel.nonempty_description(rows))
-    with page_batches(spark):
-        return materialise(identity.first_per_platform(postings), f"{run_dir}/postings")
+    return materialise(identity.first_per_platform(postings), f"{run_dir}/postings")
 
 
 def deliver(

@@ -42,11 +42,9 @@ def check_source(
     wanted = F.expr("location_ok AND date_ok AND title_ok") if apply_filters else F.lit(True)
     flagged = materialise(flagged.withColumn("detailed", wanted), f"{run_dir}/listings")
     chosen = flagged.filter("detailed")
-    details = pages.parse_details(captures, wanted=chosen)
     with page_batches(spark):
-        enriched = materialise(
-            funnel.as_postings(funnel.join_detail(chosen, details)), f"{run_dir}/postings"
-        )
+        details = materialise(pages.parse_details(captures, wanted=chosen), f"{run_dir}/details")
+    enriched = funnel.as_postings(funnel.join_detail(chosen, details))
     stage = score if apply_filters else scoring.pass_all
     scored = scoring.score_or_pass(enriched, stage, f"{run_dir}/scored", on_score_error)
     matched = scoring.matched_only(scored)

@@ -50,7 +50,8 @@ def append_ledger(postings: DataFrame, path: str, run_id: str, sent_at: Column)
 
 def save_bucketed(ledger: DataFrame, table: str, buckets: int, path: str | None = None) -> None:
     """Store the latest records as a table bucketed by id. A ledger read from it joins without
-    being shuffled, which pays once it outgrows a run's postings by far."""
+    being shuffled, which pays once it outgrows a run's postings by far. The postings' side
+    should then hold an id only a few times, as ``first_per_platform`` leaves it."""
     writer = latest_records(ledger).write.mode("overwrite").bucketBy(buckets, "job_id").sortBy("job_id")
     (writer.option("path", path) if path else writer).saveAsTable(table)
 

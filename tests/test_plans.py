@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from stellwerk.operators import identity, scoring
+from stellwerk.operators import funnel, identity, scoring
 from stellwerk.sources import captures, files, ledger
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -107,3 +107,37 @@ def test_repeated_captures_are_pruned_before_the_only_shuffle_of_pages(spark):
         assert latest.count() == 5
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+@pytest.mark.parametrize("step", ["anti_ledger", "join_detail", "join_responses"])
+def test_hot_key_is_split(spark, step):
+    """A third of all postings share one id and one link; the join splits their partition."""
+    hot = "if(id % 3 = 0, 'hot', cast(id as string))"
+    rows = spark.range(0, 200_000, 1, 8).selectExpr(f"{hot} job_id", f"{hot} url", "'Xing' platform", "sha(cast(id as string)) title")
+    few = spark.range(0, 1000).selectExpr("cast(id as string) job_id", "cast(id as string) url", "'Xing' platform")
+    extra = few.selectExpr("job_id", "url", "platform", "'d' description", "true match", "8 score", "'r' reason")
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "400KB",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "200KB",
+        "spark.sql.shuffle.partitions": "16",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    }
+    before = {key: spark.conf.get(key, None) for key in settings}
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        frame = {
+            "anti_ledger": lambda: identity.anti_ledger(rows, few),
+            "join_detail": lambda: funnel.join_detail(
+                rows.withColumn("platform", F.expr("if(length(title) = 0, 'x', platform)")),
+                extra.select(F.expr("if(length(url) = 0, 'x', platform)").alias("platform"), "url", "description"),
+            ),
+            "join_responses": lambda: scoring.join_responses(rows, extra, ["job_id"]),
+        }[step]()
+        assert len(frame.collect()) == 200_000 - (666 if step == "anti_ledger" else 0)
+        assert "skew=true" in plan(frame)
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
