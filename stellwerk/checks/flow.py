@@ -28,6 +28,7 @@ from stellwerk.plans import daily_run
 from stellwerk.plans.source_check import check_source
 from stellwerk.session import new_run_dir
 from stellwerk.sources import files, ledger, registry, reports
+from stellwerk.sources.captures import read_captures
 from stellwerk.streaming.incremental import incremental_run
 
 
@@ -637,7 +638,11 @@ def _captures(spark, sf):
         "platform", F.lit(None).cast("int").alias("query_idx"), F.lit(None).cast("int").alias("page_no"),
         kind.alias("kind"), url.alias("url"), body.alias("body"), "observed_at",
     )
-    return search.unionByName(detail)
+    # Written as a crawler would leave them: many files, one folder per board and kind.
+    path = new_run_dir(spark, "captures")
+    tasks = spark.sparkContext.defaultParallelism
+    search.unionByName(detail).repartition(tasks).write.partitionBy("platform", "kind").parquet(path)
+    return read_captures(spark, path)
 
 
 _RUN_SQL = f"""{_CARDS_SQL},
