@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stellwerk.llm import bpe, url_filter, warc
-from stellwerk.llm.batches import table
+from stellwerk.llm import bpe, langid, quality, url_filter, warc
+from stellwerk.llm.batches import remainder, table
 from stellwerk.session import new_run_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,3 +61,17 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_run_dir(spark, "warc")
     warc.write_archives(table(spark, sf_dir, "pages"), path)
     return warc.page_digests(warc.read_payloads(spark, path))
+
+
+@query("op5_language")
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fold = remainder(F.col("doc_id"), 4)
+    model = langid.train(docs, learn=fold != 2)
+    return langid.identify(spark, docs, model).withColumn("held_out", fold == 2)
+
+
+@query("op7_quality")
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.classify(spark, docs, quality.train(docs))
