@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stellwerk.llm import bpe, langid, quality, url_filter, warc
+from stellwerk.llm import bpe, jaccard, langid, quality, url_filter, warc
 from stellwerk.llm.batches import remainder, table
 from stellwerk.session import new_run_dir
 
@@ -75,3 +75,29 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.classify(spark, docs, quality.train(docs))
+
+
+@query(
+    "op2_ngram_jaccard",
+    r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
+  FROM documents
+),
+sets AS (
+  SELECT doc_id, CASE WHEN words IS NULL OR len(words) = 0 THEN [] WHEN len(words) < 3 THEN [array_to_string(words, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(words) - 1), lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2])) END AS s
+  FROM w
+),
+items AS (SELECT doc_id, len(s) AS n, unnest(s) AS item FROM sets),
+pairs AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, a.n AS nx, b.n AS ny, count(*) AS common
+  FROM items a JOIN items b ON a.item = b.item AND a.doc_id < b.doc_id GROUP BY ALL
+),
+links AS (SELECT x, y FROM pairs WHERE 100 * common >= 90 * (nx + ny - common)),
+sides AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, s.y FROM reach r JOIN sides s ON r.y = s.x)
+SELECT s.doc_id, len(s.s) AS n_shingles, min(r.y) AS component_id FROM sets s JOIN reach r ON s.doc_id = r.x GROUP BY s.doc_id, len(s.s)""",
+)
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(spark, table(spark, sf_dir, "documents"), words=3, similar=(90, 100))
