@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stellwerk.llm import bpe, jaccard, langid, quality, url_filter, warc
+from stellwerk.llm import bpe, decontaminate, jaccard, langid, quality, url_filter, warc
 from stellwerk.llm.batches import remainder, table
 from stellwerk.session import new_run_dir
 
@@ -101,3 +101,8 @@ SELECT s.doc_id, len(s.s) AS n_shingles, min(r.y) AS component_id FROM sets s JO
 )
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(spark, table(spark, sf_dir, "documents"), words=3, similar=(90, 100))
+
+
+@query("op1_decontaminate")
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminations(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
