@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stellwerk.llm import bpe, decontaminate, jaccard, langid, quality, url_filter, warc
+from stellwerk.llm import ann, bpe, decontaminate, jaccard, langid, quality, url_filter, warc
 from stellwerk.llm.batches import remainder, table
 from stellwerk.session import new_run_dir
 
@@ -106,3 +106,8 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_decontaminate")
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminations(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op9_nearest")
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest_neighbours(spark, table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
