@@ -244,9 +244,9 @@ def search(spark: SparkSession, graph: DataFrame, queries: DataFrame, nearest: i
     points = stored(queries.groupBy("embedding").agg(F.min("vec_id").alias("point")), "query-points")
     blocks = -(-points.count() // BLOCK_QUERIES) or 1
     dealt = points.withColumn("block", F.pmod(F.xxhash64("point"), F.lit(blocks)).cast("int")).withColumn("size", F.size("embedding"))
-    shards = graph.select("shard", "size").distinct()
+    shards = graph.select(F.col("shard").alias("to_shard"), F.col("size").alias("to_size")).distinct()
     left = graph.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = dealt.join(shards, "size")
+    right = dealt.join(shards, F.col("size") == F.col("to_size"))
 
     def run(nodes: pa.Table, asked: pa.Table) -> pa.Table:
         schema = pa.schema([("point", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
@@ -278,8 +278,8 @@ def search(spark: SparkSession, graph: DataFrame, queries: DataFrame, nearest: i
             out.append(pa.table([asked.column("point").combine_chunks().take(pa.array(at + row[which][keep])), ids[keep], score[which][keep]], schema=schema))
         return pa.concat_tables(out)
 
-    keys = ("shard", "size", "block")
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, "point bigint, vec_id bigint, score double")
+    pairs = left.groupBy("shard", "size", "block").cogroup(right.groupBy("to_shard", "to_size", "block"))
+    found = pairs.applyInArrow(run, "point bigint, vec_id bigint, score double")
     near = Window.partitionBy("point").orderBy(F.desc("score"), "vec_id")
     # One more than is asked for, since the query itself may be among them.
     found = found.withColumn("place", F.row_number().over(near)).filter(F.col("place") <= nearest + 1)
