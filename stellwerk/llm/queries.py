@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stellwerk.llm import ann, bpe, decontaminate, jaccard, langid, quality, url_filter, warc
+from stellwerk.llm import ann, bpe, ctw, decontaminate, jaccard, langid, quality, url_filter, warc
 from stellwerk.llm.batches import remainder, table
 from stellwerk.session import new_run_dir
 
@@ -111,3 +111,10 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_nearest")
 def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest_neighbours(spark, table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query("op10_language_model")
+def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fold = remainder(F.col("doc_id"), 10)
+    return ctw.score(spark, docs, fold != 0).withColumn("held_out", remainder(F.col("doc_id"), 10) == 0).drop("learn")
