@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stellwerk.llm import ann, bpe, ctw, decontaminate, jaccard, langid, quality, url_filter, warc
+from stellwerk.llm import ann, bpe, ctw, decontaminate, jaccard, langid, quality, toxicity, url_filter, warc
 from stellwerk.llm.batches import remainder, table
 from stellwerk.session import new_run_dir
 
@@ -118,3 +118,11 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     fold = remainder(F.col("doc_id"), 10)
     return ctw.score(spark, docs, fold != 0).withColumn("held_out", remainder(F.col("doc_id"), 10) == 0).drop("learn")
+
+
+@query("op4_toxicity")
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fold = remainder(F.col("doc_id"), 5)
+    model = toxicity.train(spark, docs, table(spark, sf_dir, "labels"), learn=fold != 0)
+    return toxicity.classify(spark, docs, model).withColumn("held_out", remainder(F.col("doc_id"), 5) == 0)
