@@ -50,7 +50,7 @@ LOOK_ALIKES = {
 _SIGNS = "".join(LOOK_ALIKES)
 # A word with a sign in front of a letter, a run of three equal letters, or four letters set apart.
 _DISGUISED = re.compile(
-    rf"(?<!\S)(?:[^\W\d_][ .\-_]){{3,}}[^\W\d_](?!\S)"
+    rf"(?<!\w)(?:[^\W\d_][ .\-_]){{3,}}[^\W\d_](?!\w)"
     rf"|(?<![^\W\d_])(?=[^\s]*(?:[{re.escape(_SIGNS)}][^\W\d_]|([^\W\d_])\1\1))[{re.escape(_SIGNS)}]*[^\W\d_](?:[^\W\d_]|[{re.escape(_SIGNS)}]+(?=[^\W\d_]))*"
 )
 _CLEAN = np.arange(256, dtype=np.uint8)
