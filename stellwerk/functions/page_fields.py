@@ -8,7 +8,9 @@ defaults, tests and dedupe stay Column expressions outside.
 from __future__ import annotations
 
 import html
+import logging
 import re
+from bisect import bisect_left, bisect_right
 from functools import lru_cache
 from html.parser import HTMLParser
 
@@ -17,6 +19,8 @@ from pyspark.sql import Column, functions as F
 
 from stellwerk import vocab
 
+log = logging.getLogger("stellwerk")
+
 CARD_FIELDS = ["title", "company", "location", "href", "posted"]
 CARDS_TYPE = "array<struct<{}>>".format(",".join(f"{name}:string" for name in CARD_FIELDS))
 DETAIL_TYPE = "struct<description:string,experience:string>"
@@ -31,19 +35,108 @@ _BLOCK = {
 _SELF_CLOSING_SIBLINGS = {"li", "option", "dt", "dd", "tr", "td", "th"}
 
 
+class _Page(list):
+    """A page's elements in document order, and what selectors found out about all of them at once."""
+
+    def __init__(self):
+        super().__init__()
+        self.known, self.spans, self.words = {}, None, ""
+
+    def once(self, key, compute):
+        if key not in self.known:
+            self.known[key] = compute()
+        return self.known[key]
+
+    def places(self, test) -> list[int]:
+        """Places of the elements that pass a test."""
+        return self.once(("places", test), lambda: [e.place for e in self[1:] if test(e)])
+
+    def below(self, outer) -> list[bool]:
+        """For every element, whether one that passes ``outer`` stands anywhere above it."""
+
+        def compute():
+            flags = [False] * len(self)
+            for element in self[1:]:
+                above = element.parent
+                flags[element.place] = flags[above.place] or bool(outer(above))
+            return flags
+
+        return self.once(("below", outer), compute)
+
+    def above(self, inner) -> set[int]:
+        """Places of all elements that hold one that passes ``inner``."""
+
+        def compute():
+            marked = set()
+            for place in self.places(inner):
+                element = self[place].parent
+                while element is not None and element.place not in marked:
+                    marked.add(element.place)
+                    element = element.parent
+            return marked
+
+        return self.once(("above", inner), compute)
+
+    def with_words(self, words: str) -> list[int]:
+        """Where the page's running text has these words."""
+
+        def compute():
+            if self.spans is None:
+                self._run_text()
+            return [m.start() for m in re.finditer(f"(?={re.escape(words)})", self.words)]
+
+        return self.once(("words", words), compute)
+
+    def _run_text(self):
+        """The page's visible text in one line, lower-cased, and each element's part of it."""
+        self.spans, out, length, gap = [(0, 0)] * len(self), [], 0, False
+        starts, stack = {}, [self[0]]
+        while stack:
+            item = stack.pop()
+            if isinstance(item, tuple):
+                element = item[0]
+                self.spans[element.place] = (starts[element.place], length)
+                gap = gap or element.tag in _BLOCK
+            elif isinstance(item, str):
+                parts = item.lower().split()
+                gap = gap or item[:1].isspace()
+                if parts:
+                    text = (" " if gap and length else "") + " ".join(parts)
+                    out.append(text)
+                    length += len(text)
+                    gap = item[-1:].isspace()
+                elif item:
+                    gap = True
+            elif item.tag not in _HIDDEN:
+                gap = gap or item.tag in _BLOCK
+                starts[item.place] = length
+                stack.append((item,))
+                stack.extend(item.children[::-1])
+        self.words = "".join(out)
+
+
 class _Element:
-    __slots__ = ("tag", "attrs", "parent", "children", "place", "end", "page")
+    __slots__ = ("tag", "attrs", "parent", "children", "place", "end", "page", "lines")
 
     def __init__(self, tag, attrs, parent, page):
         self.tag, self.attrs, self.parent, self.children = tag, attrs, parent, []
-        self.page, self.place = page, len(page)
+        self.page, self.place, self.lines = page, len(page), None
         page.append(self)
 
-    def descendants(self):
-        return self.page[self.place + 1 : self.end]
-
     def text(self) -> str:
         """Visible text: runs of whitespace become one space, block tags break the line."""
+        if self.lines is None:
+            self.lines = self._text()
+        return self.lines
+
+    def has_words(self, words: str) -> bool:
+        """Whether the text, in one line, has these words."""
+        found = self.page.with_words(words)
+        start, end = self.page.spans[self.place]
+        at = bisect_left(found, start)
+        return at < len(found) and found[at] + len(words) <= end
+
+    def _text(self) -> str:
         out, stack = [], [self]
         while stack:
             item = stack.pop()
@@ -61,7 +154,7 @@ class _PageTree(HTMLParser):
 
     def __init__(self, page: str):
         super().__init__(convert_charrefs=True)
-        self.elements = []
+        self.elements = _Page()
         self.root = self.open = _Element("", {}, None, self.elements)
         self.feed(page)
         self.close()
@@ -70,6 +163,13 @@ class _PageTree(HTMLParser):
         for element in reversed(self.elements[1:]):
             element.parent.end = max(element.parent.end, element.end)
 
+    def parse_html_declaration(self, i):
+        """Broken declarations are comments; the parser itself would give up on the page."""
+        try:
+            return super().parse_html_declaration(i)
+        except AssertionError:
+            return self.parse_bogus_comment(i)
+
     def handle_starttag(self, tag, attrs):
         same = tag in _SELF_CLOSING_SIBLINGS and self.open.tag == tag
         if same or (self.open.tag == "p" and tag in _BLOCK and tag != "br"):
@@ -111,9 +211,10 @@ def _test(match: re.Match):
         return lambda e: e.attrs.get("id") == part["id"]
     if part["words"] is not None:
         words = " ".join(part["words"].split()).lower()
-        return lambda e: words in " ".join(e.text().split()).lower()
+        return lambda e: e.has_words(words)
     if part["inner"]:
-        return lambda e: next(select(e, part["inner"]), None) is not None
+        inner = _compiled(part["inner"])
+        return lambda e: e.place in e.page.above(inner)
     name, op, value = part["attr"], part["op"], part["value"]
     if op == "*=":
         return lambda e: value in (e.attrs.get(name) or "")
@@ -134,12 +235,10 @@ def _inside(outer, is_child: bool, inner):
     """Test for ``inner`` elements under (or directly under) an ``outer`` one."""
 
     def test(element):
-        if not inner(element):
-            return False
         above = element.parent
-        while above is not None and not is_child and not outer(above):
-            above = above.parent
-        return above is not None and outer(above)
+        if above is None or not inner(element):
+            return False
+        return bool(outer(above)) if is_child else element.page.below(outer)[element.place]
 
     return test
 
@@ -158,8 +257,11 @@ def _compiled(selector: str):
 
 
 def select(scope: _Element, selector: str):
-    """Matching descendants in document order."""
-    return filter(_compiled(selector), scope.descendants())
+    """Matching descendants in document order. A page is searched once per selector."""
+    page = scope.page
+    places = page.places(_compiled(selector))
+    for at in range(bisect_right(places, scope.place), bisect_left(places, scope.end)):
+        yield page[places[at]]
 
 
 def _field(card: _Element, rules) -> str:
@@ -172,12 +274,21 @@ def _field(card: _Element, rules) -> str:
     return ""
 
 
+def _card(card: _Element, board: dict) -> dict | None:
+    """A card's fields; None for one that can't be read."""
+    try:
+        return {name: _field(card, board[name]) for name in CARD_FIELDS}
+    except Exception:
+        log.exception("a card can't be read")
+        return None
+
+
 def page_cards(page: str | None, board: dict) -> list[dict]:
     tree = _PageTree(page or "").root
     for selector in board["card"]:
         cards = list(select(tree, selector))
         if cards:
-            return [{name: _field(card, board[name]) for name in CARD_FIELDS} for card in cards]
+            return [fields for fields in (_card(card, board) for card in cards) if fields]
     return []
 
 
@@ -198,6 +309,15 @@ def page_detail(page: str | None, board: dict) -> dict:
     return {"description": description, "experience": experience}
 
 
+def _guarded(read, text, board, otherwise):
+    """A page that can't be read gives ``otherwise`` and doesn't stop the others."""
+    try:
+        return read(text, board)
+    except Exception:
+        log.exception("a page can't be read")
+        return otherwise
+
+
 def _costly(udf):
     """Marked as non-deterministic, so that the planner never runs it a second time for a
     filter it derives or moves below it."""
@@ -205,24 +325,31 @@ def _costly(udf):
 
 
 def cards_of(platform: Column, page: Column, boards: dict = vocab.CARD_SELECTORS) -> Column:
-    """All cards of a search page as an array; boards without selectors give an empty one."""
+    """All cards of a search page as an array; boards without selectors give an empty one.
+
+    Null for a page that can't be read.
+    """
 
     @F.pandas_udf(CARDS_TYPE)
     def extract(platforms: pd.Series, pages: pd.Series) -> pd.Series:
         return pd.Series(
-            [page_cards(text, boards[name]) if name in boards else [] for name, text in zip(platforms, pages)]
+            [
+                _guarded(page_cards, text, boards[name], None) if name in boards else []
+                for name, text in zip(platforms, pages)
+            ]
         )
 
     return _costly(extract)(platform, page)
 
 
 def detail_of(platform: Column, page: Column, boards: dict = vocab.DETAIL_SELECTORS) -> Column:
-    """Description and experience of a detail page."""
+    """Description and experience of a detail page; both empty for one that can't be read."""
+    nothing = {"description": "", "experience": ""}
 
     @F.pandas_udf(DETAIL_TYPE)
     def extract(platforms: pd.Series, pages: pd.Series) -> pd.DataFrame:
         rows = [
-            page_detail(text, boards[name]) if name in boards else {"description": "", "experience": ""}
+            _guarded(page_detail, text, boards[name], nothing) if name in boards else nothing
             for name, text in zip(platforms, pages)
         ]
         return pd.DataFrame(rows, columns=["description", "experience"])

@@ -181,7 +181,7 @@ def test_cap_counts_rows_that_are_dropped_later(spark, tmp_path):
     items = [{"refnr": str(n), "titel": f"Engineer {n}"} for n in range(25)]
     rows = [_search(vocab.BA, 1, _agency(*items)), _search(vocab.BA, 2, _agency(*items))]
     rows += [_detail(vocab.BA, f"{vocab.BA_DETAIL_PREFIX}{n}", '{"beschreibung": "x"}') for n in range(10, 25)]
-    found = daily_run.acquire(spark.createDataFrame(rows, schema.CAPTURES), str(tmp_path)).collect()
+    found = daily_run.acquire(spark.createDataFrame(rows, schema.CAPTURES), str(tmp_path), details_per_query=20).collect()
     assert sorted(int(r.title.split()[1]) for r in found) == list(range(10, 20))
 
 
@@ -200,3 +200,39 @@ def test_latest_capture_of_a_detail_page_counts(spark):
     ]
     details = captures.parse_details(spark.createDataFrame(rows, schema.CAPTURES)).collect()
     assert [d.description for d in details] == ["new"]
+
+
+def test_a_broken_declaration_is_a_comment():
+    from stellwerk.functions import page_fields
+
+    board = {"description": ["main"], "experience": ["h1"], "stop": "text"}
+    for broken in ("<![foo[y]]>", "<![ foo>", "<!ELEMENT x>", "<![CDATA[ x ]]>", "<![if IE]>"):
+        assert page_fields.page_detail(f"{broken}<h1>a</h1><main>b</main>", board) == {"description": "b", "experience": "a"}
+    assert page_fields.page_detail("<h1>a</h1><main>b</main><![ foo", board)["experience"] == "a"
+
+
+def test_selectors_are_linear_in_nested_pages():
+    import time
+
+    from stellwerk.functions import page_fields
+
+    page = "<div>" * 8000 + "<a href='/jobs/1'>x</a><h2>Title</h2>" + "</div>" * 8000
+    board = {
+        "card": ["section", "div:has(a[href*='/jobs/']):has-text('title')"],
+        "title": [("h2", None)], "company": [("article span", None)], "location": [("div > p", None)],
+        "href": [("a[href*='/jobs/']", "href")], "posted": [("time", "datetime")],
+    }
+    started = time.process_time()
+    cards = page_fields.page_cards(page, board)
+    assert len(cards) == 8000 and cards[0]["title"] == cards[-1]["title"] == "Title" and cards[7]["href"] == "/jobs/1"
+    assert time.process_time() - started < 2
+
+
+def test_words_are_found_inside_an_element_only():
+    from stellwerk.functions import page_fields
+
+    tree = page_fields._PageTree("<p>Full <b>Ti</b>me <i>job</i></p><p>time</p><script>full time</script><p> job </p>").root
+    found = lambda selector: [e.tag for e in page_fields.select(tree, selector)]
+    assert found("p:has-text('full time')") == ["p"] and found("p:has-text('time job')") == ["p"]
+    assert found("i:has-text('job')") == ["i"] and found("b:has-text('time')") == [] and found("script:has-text('full')") == []
+    assert len(found("p:has-text('time')")) == 2 and len(found("p:has-text('job')")) == 2
