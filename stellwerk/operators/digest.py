@@ -112,8 +112,8 @@ def digest_assemble(
 
     Parts joined by line breaks are the digest; the first carries the head, the last the
     foot. A part holds a bounded number of entries, so a digest of any length is assembled
-    without gathering it in one row. ``digests`` lists the wanted digests, so that one
-    without postings still says so; ``label`` is the signature in the foot.
+    without gathering it in one row. ``digests`` names digests that are wanted even without
+    postings, and then say so; ``label`` is the signature in the foot.
     """
     label = label or f"{country} job digest"
     head, foot, empty = _html_frame(date, label, country) if html else _plain_frame(date, label)
@@ -144,7 +144,9 @@ def digest_assemble(
             F.when(F.col("last") == F.col("total"), foot),
         ).alias("body"),
     )
-    wanted = digests.select("digest_id").distinct().join(bodies, "digest_id", "left")
-    return wanted.select(
-        "digest_id", F.coalesce("part_no", F.lit(0)).alias("part_no"), F.coalesce("body", empty).alias("body")
+    # Digests without postings, found on their ids alone; no join touches a body.
+    marks = digests.select("digest_id", F.lit(False).alias("filled")).unionByName(
+        numbered.filter("n = 1").select("digest_id", F.lit(True).alias("filled"))
     )
+    unfilled = marks.groupBy("digest_id").agg(F.max("filled").alias("filled")).filter("NOT filled")
+    return bodies.unionByName(unfilled.select("digest_id", F.lit(0).alias("part_no"), empty.alias("body")))

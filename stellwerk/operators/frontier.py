@@ -16,6 +16,20 @@ def platform_country_table(spark: SparkSession) -> DataFrame:
     )
 
 
+def served_boards(country: str, disabled: list[str] | None = None) -> dict[str, str]:
+    """The boards that are on and serve a country, with their domains."""
+    fits = {
+        "any": lambda key: True,
+        "exact": lambda key: country == key,
+        "ignore_case": lambda key: country.lower() == key.lower(),
+    }
+    return {
+        board: domain
+        for board, key, rule, domain, _, _ in vocab.PLATFORM_COUNTRY
+        if fits[rule](key) and board not in (disabled or [])
+    }
+
+
 def search_query_table(spark: SparkSession, queries: dict = vocab.SEARCH_QUERIES) -> DataFrame:
     rows = [(name, idx, query) for name, list_ in queries.items() for idx, query in enumerate(list_)]
     return spark.createDataFrame(rows, "platform string, query_idx int, query string")

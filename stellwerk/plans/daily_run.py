@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from stellwerk import vocab
 from stellwerk.operators import digest, funnel, identity, metrics, scoring
+from stellwerk.operators.frontier import served_boards
 from stellwerk.session import page_batches
 from stellwerk.sources import captures as pages
 from stellwerk.sources import ledger as ledgers
@@ -17,30 +18,43 @@ from stellwerk.sources.reports import write_digest
 QUERY_KEYS = ["platform", "query_idx"]
 
 
+def limited_pages(captures: DataFrame, pages_per_query: int | None) -> DataFrame:
+    """Captures without the search pages behind the limit, if there is one."""
+    if pages_per_query is None:
+        return captures
+    return captures.filter(F.col("page_no").isNull() | (F.col("page_no") <= pages_per_query))
+
+
 def acquire(
     captures: DataFrame,
     run_dir: str,
     country: str = "Germany",
-    pages_per_query: int = vocab.PAGES_PER_QUERY,
-    details_per_query: int = vocab.DETAILS_PER_QUERY,
+    pages_per_query: int | None = None,
+    details_per_query: int | None = None,
     hours: int = vocab.MAX_AGE_HOURS,
     blocks: list[str] = vocab.TITLE_BLOCKS,
-    stepstone_domain: str = "www.stepstone.de",
+    disabled: list[str] | None = None,
 ) -> DataFrame:
     """Postings of one run's captures, written to ``run_dir/postings``.
 
+    Only boards that serve the country and are not ``disabled`` are read. All captured pages
+    and candidates count, unless ``pages_per_query`` or ``details_per_query`` set a limit.
+
     Parsing pages is the costly stage, so its results are written; the cheap tests and the
     cap run on the small card rows, and only the detail pages they leave are parsed.
     """
     spark = captures.sparkSession
-    limited = captures.filter(F.col("page_no").isNull() | (F.col("page_no") <= pages_per_query))
+    boards = served_boards(country, disabled)
+    captures = captures.filter(F.col("platform").isin(list(boards)))
+    search = limited_pages(captures, pages_per_query)
     with page_batches(spark):
-        parsed = materialise(pages.parse_search_pages(limited, stepstone_domain), f"{run_dir}/pages")
+        parsed = materialise(pages.parse_search_pages(search, boards.get(vocab.STEPSTONE)), f"{run_dir}/pages")
     listings = pages.explode_cards(funnel.pagination_stop(parsed, QUERY_KEYS, F.col("is_last")))
     flagged = funnel.funnel_flags(listings, country=country, hours=hours, blocks=blocks)
-    capped = materialise(
-        funnel.cap_details(funnel.candidates(flagged), details_per_query), f"{run_dir}/candidates"
-    )
+    candidates = funnel.candidates(flagged)
+    if details_per_query is not None:
+        candidates = funnel.cap_details(candidates, details_per_query)
+    capped = materialise(candidates, f"{run_dir}/candidates")
     with page_batches(spark):
         details = materialise(pages.parse_details(captures, wanted=capped), f"{run_dir}/details")
     rows = funnel.join_detail(capped, details)
@@ -57,15 +71,16 @@ def deliver(
     run_id: str,
     sent_at: Column,
     country: str = "Germany",
-    send: Callable[[DataFrame], bool] | None = None,
+    send: Callable[[DataFrame, DataFrame], bool] | None = None,
     on_score_error: str = "fail",
 ) -> DataFrame:
     """Score what is new, write the digest and, once it is delivered, the ledger.
 
     Postings sent before are taken out ahead of scoring; that changes nothing but the work,
     as the ledger test depends on the id alone. First occurrences are chosen after scoring,
-    among matches. ``score`` adds ``llm_score``, ``llm_reason`` and ``match``. Returns the
-    one-row run summary.
+    among matches. ``score`` adds ``llm_score``, ``llm_reason`` and ``match``. The digest is
+    written plain to ``digest`` and as HTML to ``digest-html``, both with their subject; ``send``
+    is given both tables. Returns the one-row run summary.
     """
     spark = postings.sparkSession
     ledger = ledgers.read_ledger(spark, ledger_path, except_run=run_id)
@@ -74,12 +89,16 @@ def deliver(
     matched = materialise(
         identity.first_global(scoring.matched_only(scored)), f"{run_dir}/matched"
     )
-    numbered = digest.digest_number(matched.withColumn("digest_id", F.lit(run_id)))
+    numbered = materialise(
+        digest.digest_number(matched.withColumn("digest_id", F.lit(run_id))), f"{run_dir}/numbered"
+    )
     wanted = spark.createDataFrame([(run_id,)], "digest_id string")
     date = F.date_format(sent_at, "yyyy-MM-dd")
-    parts = digest.digest_assemble(wanted, numbered, date, country)
-    write_digest(parts, f"{run_dir}/digest")
-    delivered = send is None or send(spark.read.parquet(f"{run_dir}/digest"))
+    title = digest.subject(country, date)
+    for html, folder in ((False, "digest"), (True, "digest-html")):
+        parts = digest.digest_assemble(wanted, numbered, date, country, html=html)
+        write_digest(parts.withColumn("subject", title), f"{run_dir}/{folder}")
+    delivered = send is None or send(*(spark.read.parquet(f"{run_dir}/{f}") for f in ("digest", "digest-html")))
     # Written before the ledger grows, since it reports the ledger's size before the run.
     summary = materialise(metrics.run_summary(ledger, matched), f"{run_dir}/summary")
     if delivered:

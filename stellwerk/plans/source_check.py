@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from stellwerk import vocab
 from stellwerk.operators import funnel, identity, metrics, scoring
-from stellwerk.plans.daily_run import QUERY_KEYS
+from stellwerk.operators.frontier import served_boards
+from stellwerk.plans.daily_run import QUERY_KEYS, limited_pages
 from stellwerk.session import page_batches
 from stellwerk.sources import captures as pages
 from stellwerk.sources.files import materialise
@@ -22,21 +23,25 @@ def check_source(
     queries: list[str],
     test_run: Column,
     apply_filters: bool = True,
-    pages_per_query: int = 1,
+    pages_per_query: int | None = None,
     country: str = "Germany",
     hours: int = vocab.MAX_AGE_HOURS,
     blocks: list[str] = vocab.TITLE_BLOCKS,
     on_score_error: str = "fail",
+    disabled: list[str] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Funnel counts per query, and the unique matched postings.
 
-    Neither the cap on detail pages nor the ledger apply. Without filters every card goes on
+    Neither the cap on detail pages nor the ledger apply, and all captured pages count unless
+    ``pages_per_query`` limits them. Boards are those that serve the country. Without filters every card goes on
     to its detail page and counts as a match; the tests are still counted.
     """
-    search = captures.filter(F.col("page_no").isNull() | (F.col("page_no") <= pages_per_query))
+    boards = served_boards(country, disabled)
+    captures = captures.filter(F.col("platform").isin(list(boards)))
+    search = limited_pages(captures, pages_per_query)
     spark = captures.sparkSession
     with page_batches(spark):
-        parsed = materialise(pages.parse_search_pages(search), f"{run_dir}/pages")
+        parsed = materialise(pages.parse_search_pages(search, boards.get(vocab.STEPSTONE)), f"{run_dir}/pages")
     reached = funnel.pagination_stop(parsed, QUERY_KEYS, F.col("is_last"))
     flagged = funnel.funnel_flags(pages.explode_cards(reached), country=country, hours=hours, blocks=blocks)
     wanted = F.expr("location_ok AND date_ok AND title_ok") if apply_filters else F.lit(True)

@@ -7,9 +7,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from stellwerk import schema, vocab
 from stellwerk.functions import embedded, listing_api, page_fields
 from stellwerk.functions.predicates import is_search_link
-from stellwerk.functions.text import is_blank
+from stellwerk.functions.text import is_blank, platform_rank
 from stellwerk.functions.urls import canonical_url
-from stellwerk.operators.identity import first_by
 
 PAGE_KEYS = ["platform", "query_idx", "page_no"]
 
@@ -18,13 +17,6 @@ def read_captures(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema.CAPTURES).parquet(path)
 
 
-def platform_rank(platform: Column) -> Column:
-    rank = F.lit(len(vocab.PLATFORM_RANK))
-    for name, value in vocab.PLATFORM_RANK.items():
-        rank = F.when(platform == name, F.lit(value)).otherwise(rank)
-    return rank.cast("int")
-
-
 def usable_cards(raw: Column, platform: Column, domain: Column) -> Column:
     """Cards as listings: canonical link, default place; only those with a title and a
     link, and on Xing none that leads back to a search."""
@@ -57,6 +49,7 @@ def html_cards(
     steps read it and do not repeat it."""
     platform = F.col("platform")
     raw = pages.withColumn("raw", page_fields.cards_of(platform, F.col("body"), boards))
+    raw = raw.withColumn("unreadable", F.col("raw").isNull()).withColumn("raw", F.coalesce("raw", F.array()))
     usable = raw.withColumn("usable", usable_cards(F.col("raw"), platform, F.lit(stepstone_domain)))
     links = usable.withColumn("links", F.transform("usable", lambda card: card["url"]))
     # One board shows a posting's card several times on a page: the first one per link stays.
@@ -68,11 +61,12 @@ def html_cards(
     return links.withColumn("cards", once).drop("raw", "usable", "links")
 
 
-def parse_search_pages(captures: DataFrame, stepstone_domain: str = "www.stepstone.de") -> DataFrame:
-    """One row per search page: its usable cards, how many there were to begin with, and
-    whether paging ends with it.
+def parse_search_pages(captures: DataFrame, stepstone_domain: str | None = None) -> DataFrame:
+    """One row per search page: its usable cards, how many there were to begin with, whether
+    paging ends with it, and whether it could not be read at all.
 
-    The agency's JSON pages never reach Python.
+    The agency's JSON pages never reach Python. A page that can't be read has no cards, but
+    doesn't end its query's paging.
     """
     pages = captures.filter(F.col("kind") == "search")
     body, platform = F.col("body"), F.col("platform")
@@ -83,9 +77,14 @@ def parse_search_pages(captures: DataFrame, stepstone_domain: str = "www.stepsto
         listing_api.payload_cards(body).alias("cards"),
         F.size(agency).alias("listed"),
         (F.size(agency) < vocab.BA_PAGE_SIZE).alias("is_last"),
+        F.lit(False).alias("unreadable"),
     )
-    from_html = html_cards(pages.filter(platform != vocab.BA), stepstone_domain).select(
-        *keep, "cards", F.size("cards").alias("listed"), (F.size("cards") == 0).alias("is_last")
+    from_html = html_cards(pages.filter(platform != vocab.BA), stepstone_domain or "www.stepstone.de").select(
+        *keep,
+        "cards",
+        F.size("cards").alias("listed"),
+        ((F.size("cards") == 0) & ~F.col("unreadable")).alias("is_last"),
+        "unreadable",
     )
     return from_html.unionByName(from_json)
 
@@ -107,15 +106,19 @@ def explode_cards(pages: DataFrame) -> DataFrame:
 def latest_details(captures: DataFrame, kind: str, wanted: DataFrame | None = None) -> DataFrame:
     """The latest capture of every detail page, of the wanted (platform, url) pairs if given.
 
-    Repeated captures are pruned on the map side, before the one shuffle of the pages. The
-    wanted pairs are joined afterwards on the same keys: a semi join would be moved below the
-    pruning and bring all captures of a page into one task.
+    Which capture that is, is found on narrow columns: time and a hash of the body, which
+    decides between captures of the same time. Bodies are only fetched for the chosen ones, by
+    a hash join whose small side are the keys, so that no body is sorted.
     """
-    pages = captures.filter(F.col("kind") == kind).select("platform", "url", "body", "observed_at")
-    latest = first_by(pages, ["platform", "url"], [F.col("observed_at").desc(), F.col("body")])
+    pages = captures.filter(F.col("kind") == kind).select("platform", "url", "observed_at", "body")
+    keys = ["platform", "url"]
+    marked = pages.withColumn("digest", F.xxhash64("body"))
+    chosen = marked.groupBy(*keys).agg(F.max(F.struct("observed_at", "digest")).alias("c")).select(*keys, "c.*")
     if wanted is not None:
-        latest = latest.join(wanted.select("platform", "url").distinct(), ["platform", "url"])
-    return latest
+        chosen = chosen.join(wanted.select(*keys).distinct(), keys)
+    found = marked.join(chosen.hint("shuffle_hash"), [*keys, "observed_at", "digest"])
+    # The same capture kept several times: all have one body.
+    return found.groupBy(*keys, "observed_at").agg(F.collect_set("body")[0].alias("body"))
 
 
 def parse_details(captures: DataFrame, wanted: DataFrame | None = None) -> DataFrame:

@@ -6,13 +6,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 
 def run_report(
-    postings: DataFrame, queries: list[str], pages_per_query: int, filters_applied: bool, test_run: Column
+    postings: DataFrame, queries: list[str], pages_per_query: int | None, filters_applied: bool, test_run: Column
 ) -> DataFrame:
     """The one-row summary of a run; its postings stay a table of their own."""
     return postings.agg(F.count("*").alias("total_matched")).select(
         test_run.alias("test_run"),
         F.array(*[F.lit(q) for q in queries]).alias("queries"),
-        F.lit(pages_per_query).alias("pages_per_query"),
+        F.lit(pages_per_query).cast("int").alias("pages_per_query"),
         F.lit(filters_applied).alias("filters_applied"),
         "total_matched",
     )
