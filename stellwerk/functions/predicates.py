@@ -97,16 +97,27 @@ _AGE_UNITS = [
     (rf"(?i)(\d+){MAYBE_SPACES}(?:days?|tagen?|tag)", 24),
     (rf"(?i)(\d+){MAYBE_SPACES}(?:weeks?|wochen?|woche)", 168),
 ]
-_LARGEST_AGE = 10**15
+
+
+def _names_age(text: Column) -> Column:
+    """Whether the text is a phrase for an age, however large."""
+    named = text.rlike(_JUST_NOW)
+    for pattern, _ in _AGE_UNITS:
+        named = named | text.rlike(pattern)
+    return named
 
 
 def relative_age_hours(text: Column) -> Column:
-    """Age in hours of phrases such as "2 days ago" or "vor 3 Stunden", else null."""
+    """Age in hours of phrases such as "2 days ago" or "vor 3 Stunden", else null.
+
+    Also null for an age too large for a bigint; ``age_status`` still calls it relative, and
+    ``posting_fresh`` takes it for older than any window.
+    """
     age = F.when(text.rlike(_JUST_NOW), F.lit(0).cast("bigint"))
     for pattern, factor in _AGE_UNITS:
-        # A number too long for a bigint is simply a very old posting.
-        number = F.coalesce(F.regexp_extract(text, pattern, 1).try_cast("bigint"), F.lit(_LARGEST_AGE))
-        age = age.when(text.rlike(pattern), F.least(number, F.lit(_LARGEST_AGE)) * F.lit(factor))
+        number = F.regexp_extract(text, pattern, 1).try_cast("bigint")
+        hours = F.try_multiply(number, F.lit(factor).cast("bigint")) if factor else F.lit(0).cast("bigint")
+        age = age.when(text.rlike(pattern), hours)
     return age
 
 
@@ -124,7 +135,7 @@ def age_status(text: Column) -> Column:
     return (
         F.when(is_blank(text), F.lit("blank"))
         .when(posted_at(text).isNotNull(), F.lit("dated"))
-        .when(relative_age_hours(text).isNotNull(), F.lit("relative"))
+        .when(_names_age(text), F.lit("relative"))
         .otherwise(F.lit("unknown"))
     )
 
@@ -133,7 +144,7 @@ def posting_fresh(text: Column, as_of: Column, hours: int = vocab.MAX_AGE_HOURS)
     """Inside the age window? Blank and unreadable dates count as fresh."""
     cutoff = as_of - F.make_dt_interval(hours=F.lit(hours))
     return F.when(is_blank(text), F.lit(True)).otherwise(
-        F.coalesce(posted_at(text) >= cutoff, relative_age_hours(text) <= hours, F.lit(True))
+        F.coalesce(posted_at(text) >= cutoff, relative_age_hours(text) <= hours, ~_names_age(text))
     )
 
 

@@ -9,6 +9,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from stellwerk.plans.daily_run import deliver
 
 
+def stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id a checkpoint gave its stream when it was made."""
+    return spark.read.schema("id string").json(f"{checkpoint}/metadata").first()["id"]
+
+
 def incremental_run(
     spark: SparkSession,
     source_dir: str,
@@ -25,12 +30,15 @@ def incremental_run(
     The stream's checkpoint knows which files were taken; the ledger is the only other state
     and never expires. A batch that is repeated after a failure finds its ledger rows under
     its own id, ignores them and writes them again, so nothing is lost or sent as new twice.
+    That id holds the stream's id, which the checkpoint keeps over restarts: a new checkpoint
+    over an old ledger counts its batches from 0 again, but under another id, and what the
+    earlier stream sent stays sent.
     All new files form one batch, since a query's pages must not be split over batches.
     """
-    ledger = f"{state_dir}/ledger"
+    ledger, checkpoint = f"{state_dir}/ledger", f"{state_dir}/checkpoint"
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        run_id = f"batch-{batch_id:010d}"
+        run_id = f"{stream_id(spark, checkpoint)}-batch-{batch_id:010d}"
         run_dir = f"{state_dir}/runs/{run_id}"
         postings = to_postings(batch, run_dir)
         deliver(postings, score, ledger, run_dir, run_id, sent_at, country, send)
@@ -39,7 +47,7 @@ def incremental_run(
         spark.readStream.schema(source_schema)
         .parquet(source_dir)
         .writeStream.foreachBatch(handle)
-        .option("checkpointLocation", f"{state_dir}/checkpoint")
+        .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
