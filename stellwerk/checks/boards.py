@@ -306,11 +306,13 @@ def _detail_payload():
 @query(
     "src_detail_json",
     """SELECT doc_id, CASE WHEN lang = 'en' THEN text WHEN lang = 'es' THEN NULL ELSE ' ' END AS stellenbeschreibung,
+      CASE WHEN lang = 'de' THEN text END AS beschreibung, CASE WHEN lang = 'fr' THEN text END AS nested,
       CASE WHEN lang = 'es' THEN NULL ELSE CAST(doc_id AS VARCHAR) END AS qualifikationsniveau FROM documents""",
 )
 def src_detail_json(spark, sf):
     docs = table(spark, sf, "documents").withColumn("d", listing_api.read_detail(_detail_payload()))
-    return docs.select("doc_id", "d.stellenbeschreibung", "d.qualifikationsniveau")
+    nested = F.col("d.stellenangebot.beschreibung").alias("nested")
+    return docs.select("doc_id", "d.stellenbeschreibung", "d.beschreibung", nested, "d.qualifikationsniveau")
 
 
 @query(
@@ -394,19 +396,29 @@ _ARTICLE_SQL = (
 )
 
 
-@query(
-    "detail_html",
-    f"""SELECT page_id, {collapse_sql(_UNESCAPED.format("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)"))} AS heading,
+_DETAIL_HTML_SQL = f"""SELECT page_id, {collapse_sql(_UNESCAPED.format("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)"))} AS heading,
       array_to_string(list_filter(list_transform(string_split({_UNESCAPED.format(_ARTICLE_SQL)}, chr(2)),
         lambda x: {collapse_sql('x')}), lambda x: x <> ''), chr(10)) AS description
-    FROM pages""",
-)
-def detail_html(spark, sf):
-    fields = page_fields.detail_of(F.lit("site"), F.col("html"), _SITE_BOARD)
-    rows = table(spark, sf, "pages").select("page_id", fields.alias("f"))
+    FROM pages"""
+
+
+def _site_details(pages):
+    rows = pages.select("page_id", page_fields.detail_of(F.lit("site"), F.col("html"), _SITE_BOARD).alias("f"))
     return rows.select("page_id", F.col("f.experience").alias("heading"), "f.description")
 
 
+@query("detail_html", _DETAIL_HTML_SQL)
+def detail_html(spark, sf):
+    return _site_details(table(spark, sf, "pages"))
+
+
+@query("detail_html_broken", _DETAIL_HTML_SQL)
+def detail_html_broken(spark, sf):
+    """Every page with declarations that are none: they are comments and change nothing."""
+    broken = F.concat(F.lit("<![foo[y]]><![ x><!ELEMENT y>"), F.col("html"))
+    return _site_details(table(spark, sf, "pages").withColumn("html", broken))
+
+
 # --- snapshots and sources ----------------------------------------------------------------
 
 
@@ -420,10 +432,10 @@ def snapshot_read(spark, sf):
 
 @query(
     "source_registry",
-    f"WITH {POSTINGS_SQL} SELECT doc_id, platform, CASE platform WHEN 'LinkedIn' THEN 0 ELSE 1 END AS platform_rank FROM postings WHERE platform IN ('LinkedIn', 'BA Jobbörse')",
+    f"WITH {POSTINGS_SQL} SELECT doc_id, platform, CASE platform WHEN 'LinkedIn' THEN 0 WHEN 'StepStone' THEN 1 ELSE 3 END AS platform_rank FROM postings WHERE platform <> 'Xing'",
 )
 def source_registry(spark, sf):
-    """Of three sources one fails while it runs; the other two are whole."""
+    """Of four sources one fails while it runs; the others are whole and keep their ranks."""
 
     def board(name):
         return lambda session: postings(session, sf).filter(F.col("platform") == name).select("doc_id", "platform")
@@ -431,6 +443,8 @@ def source_registry(spark, sf):
     def failing(session):
         return board(vocab.XING)(session).withColumn("platform", F.raise_error(F.lit("page did not load")).cast("string"))
 
-    sources = {"linkedin": board(vocab.LINKEDIN), "xing": failing, "ba": board(vocab.BA)}
+    sources = {
+        "linkedin": board(vocab.LINKEDIN), "stepstone": board(vocab.STEPSTONE), "xing": failing, "ba": board(vocab.BA)
+    }
     done = registry.materialise_sources(spark, sources, new_run_dir(spark, "sources"))
     return registry.union_platforms(done)

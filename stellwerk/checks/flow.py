@@ -94,33 +94,34 @@ def ledger_read(spark, sf):
 
 @query(
     "ledger_append",
-    f"""WITH {LEDGER_SQL}, newer AS (SELECT job_id, platform_rank, {_ORDER} FROM postings WHERE location = 'en')
-    SELECT job_id, CASE WHEN job_id IN (SELECT job_id FROM newer) THEN TIMESTAMP '2024-02-01 00:00:00' ELSE max(date_sent) END AS date_sent
-    FROM (SELECT job_id, date_sent FROM ledger UNION ALL SELECT job_id, NULL FROM newer) GROUP BY job_id""",
+    f"""WITH {LEDGER_SQL}, newer AS (SELECT job_id FROM postings WHERE platform_rank < 2), later AS (SELECT job_id FROM postings WHERE platform_rank >= 2)
+    SELECT job_id, max(date_sent) AS date_sent FROM (
+      SELECT job_id, date_sent FROM ledger UNION ALL SELECT job_id, TIMESTAMP '2024-02-01 00:00:00' FROM newer
+      UNION ALL SELECT job_id, TIMESTAMP '2024-02-02 00:00:00' FROM later) GROUP BY job_id""",
 )
 def ledger_append(spark, sf):
-    """An earlier ledger, then a run that is recorded twice: the second try replaces it."""
+    """An earlier ledger, then two runs, a pair of boards each. The first is recorded twice: the
+    second try replaces it."""
     path = new_run_dir(spark, "ledger")
     sent_ledger(spark, sf).drop("run_id").write.parquet(f"{path}/run_id=first")
-    newer = postings(spark, sf).filter(F.col("location") == "en")
-    nameless = newer.withColumn("job_id", F.lit(""))
-    sent_at = F.lit("2024-02-01 00:00:00").cast("timestamp")
-    for _ in range(2):
-        ledger.append_ledger(newer.unionByName(nameless), path, "second", sent_at)
+    found = postings(spark, sf)
+    found = found.unionByName(found.withColumn("job_id", F.lit("")))
+    runs = [("second", "platform_rank < 2", "2024-02-01"), ("second", "platform_rank < 2", "2024-02-01"), ("third", "platform_rank >= 2", "2024-02-02")]
+    for run_id, boards, day in runs:
+        ledger.append_ledger(found.filter(boards), path, run_id, F.lit(f"{day} 00:00:00").cast("timestamp"))
     return ledger.latest_records(ledger.read_ledger(spark, path)).select("job_id", "date_sent")
 
 
 @query(
     "ledger_lookup",
     f"""WITH {LEDGER_SQL} SELECT job_id, max(date_sent) AS date_sent, (SELECT count(DISTINCT job_id) FROM ledger) AS records
-    FROM ledger WHERE job_id IN (SELECT job_id FROM postings WHERE location <> 'en') GROUP BY job_id""",
+    FROM ledger WHERE job_id IN (SELECT job_id FROM postings) GROUP BY job_id""",
 )
 def ledger_lookup(spark, sf):
-    """Records of the postings that are not English, and the count of the whole ledger."""
+    """Records of all postings that were sent, and the count of the whole ledger."""
     rows = sent_ledger(spark, sf)
-    found = ledger.lookup(rows, postings(spark, sf).filter(F.col("location") != "en"))
-    records = F.lit(ledger.total_count(rows).first()[0]).cast("bigint")
-    return found.select("job_id", "date_sent").withColumn("records", records)
+    found = ledger.lookup(rows, postings(spark, sf))
+    return found.select("job_id", "date_sent", ledger.total_count(rows).scalar().alias("records"))
 
 
 # --- joins --------------------------------------------------------------------------------
@@ -437,13 +438,13 @@ def match_rate(spark, sf):
 
 @query(
     "run_summary",
-    f"""WITH {LEDGER_SQL}, delivered AS (SELECT DISTINCT job_id FROM postings WHERE location = 'en' AND job_id NOT IN (SELECT job_id FROM ledger))
+    f"""WITH {LEDGER_SQL}, delivered AS (SELECT DISTINCT job_id FROM postings WHERE job_id NOT IN (SELECT job_id FROM ledger))
     SELECT (SELECT count(*) FROM delivered) AS new_jobs, (SELECT count(DISTINCT job_id) FROM ledger) AS ledger_before,
       (SELECT count(*) FROM delivered) + (SELECT count(DISTINCT job_id) FROM ledger) AS ledger_after""",
 )
 def run_summary(spark, sf):
     sent = sent_ledger(spark, sf)
-    fresh = identity.anti_ledger(postings(spark, sf).filter(F.col("location") == "en"), sent)
+    fresh = identity.anti_ledger(postings(spark, sf), sent)
     return metrics.run_summary(sent, fresh)
 
 
@@ -559,11 +560,11 @@ def _escaped(text):
 
 
 # Documents as captures: boards by source, a query for every source and thousand documents,
-# each with two search pages; every document's whole text on a detail page. Titles repeat over
-# queries and boards.
+# each with two search pages; every document's whole text on a detail page. A title comes from
+# the whole text, so that ids repeat where texts do.
 _CARDS_SQL = """cards AS (
   SELECT doc_id, text, lang, number % 4 AS rank_, CAST(number + 20 * (doc_id // 1000) AS INTEGER) AS query_idx,
-    'Engineer ' || (n_chars % 150) AS title, n_chars % 5 AS days, CAST((doc_id // 500) % 2 + 1 AS INTEGER) AS page_no
+    'Engineer ' || sha256(text) AS title, n_chars % 5 AS days, CAST((doc_id // 500) % 2 + 1 AS INTEGER) AS page_no
   FROM (SELECT *, CAST(substr(source, 4) AS INTEGER) AS number FROM documents)),
 seen AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_idx, page_no ORDER BY doc_id) - 1 AS INTEGER) AS card_pos,
     count(*) OVER (PARTITION BY query_idx, page_no) AS on_page FROM cards),
@@ -582,7 +583,7 @@ def _captures(spark, sf):
             "lang",
             (number % 4).alias("rank"),
             (number + 20 * thousand).cast("int").alias("query_idx"),
-            F.concat(F.lit("Engineer "), (F.col("n_chars") % 150).cast("string")).alias("title"),
+            F.concat(F.lit("Engineer "), F.sha2("text", 256)).alias("title"),
             (F.col("n_chars") % 5).cast("string").alias("days"),
             (F.floor(F.col("doc_id") / 500) % 2 + 1).cast("int").alias("page_no"),
             F.col("doc_id").alias("pos"),
@@ -646,8 +647,7 @@ def _captures(spark, sf):
 
 
 _RUN_SQL = f"""{_CARDS_SQL},
-capped AS (SELECT * FROM reached WHERE rank_ = 2 OR days <= 2
-  QUALIFY row_number() OVER (PARTITION BY query_idx ORDER BY page_no, card_pos) <= 20),
+capped AS (SELECT * FROM reached WHERE rank_ = 2 OR days <= 2),
 kept AS (SELECT * FROM capped WHERE (rank_ <> 2 OR days <= 2) AND NOT (rank_ = 3 AND lang = 'de')),
 ids AS (SELECT *, sha256(lower(title) || '||' || 'berlin') AS job_id FROM kept),
 run_postings AS (SELECT * FROM ids QUALIFY row_number() OVER (PARTITION BY rank_, job_id ORDER BY query_idx, page_no, card_pos) = 1)"""
@@ -678,20 +678,22 @@ def _by_length(rows):
 
 @query(
     "daily_run",
-    f"""WITH {_RUN_SQL}, scored AS (SELECT *, length(CASE rank_ WHEN 3 THEN {strip_sql('text')}
+    f"""WITH {_RUN_SQL}, earlier AS (SELECT sha256('engineer ' || sha256(text) || '||berlin') AS job_id FROM documents JOIN labels USING (doc_id)),
+    scored AS (SELECT *, length(CASE rank_ WHEN 3 THEN {strip_sql('text')}
         ELSE {strip_sql("regexp_replace(text, '[ ' || chr(9) || chr(10) || chr(13) || ']+', ' ', 'g')")} END) % 10 + 1 AS score
-      FROM run_postings WHERE job_id NOT IN (SELECT sha256('engineer ' || doc_id || '||berlin') FROM labels)),
+      FROM run_postings WHERE job_id NOT IN (SELECT job_id FROM earlier)),
     delivered AS (SELECT * FROM scored WHERE score >= 7
       QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY rank_, query_idx, page_no, card_pos) = 1)
     SELECT job_id, {board_sql('rank_')} AS platform, (SELECT count(*) FROM delivered) AS new_jobs,
-      (SELECT count(*) FROM labels) AS ledger_before FROM delivered""",
+      (SELECT count(DISTINCT job_id) FROM earlier) AS ledger_before FROM delivered""",
 )
 def whole_run(spark, sf):
     """Captures to digest and ledger, over a ledger made from the labels."""
     run_dir = new_run_dir(spark, "run")
     path = f"{run_dir}/ledger"
-    earlier = table(spark, sf, "labels").select(
-        F.sha2(_text("engineer ", F.col("doc_id").cast("string"), "||berlin"), 256).alias("job_id"),
+    labelled = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left_semi")
+    earlier = labelled.select(
+        F.sha2(_text("engineer ", F.sha2("text", 256), "||berlin"), 256).alias("job_id"),
         F.lit("").alias("url"),
         F.lit("").alias("platform"),
     )
@@ -711,7 +713,7 @@ def whole_run(spark, sf):
     f"""WITH {POSTINGS_SQL}, drops AS (SELECT *, location = 'en' AS early FROM postings WHERE length(description) % 10 + 1 >= 7),
     firsts AS (SELECT job_id, platform, early FROM drops
       QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY early DESC, platform_rank, {_ORDER}) = 1)
-    SELECT job_id, platform, CASE WHEN early THEN 'batch-0000000000' ELSE 'batch-0000000001' END AS run_id FROM firsts""",
+    SELECT job_id, platform, CASE WHEN early THEN 'batch-0000000000' ELSE 'batch-0000000001' END AS batch FROM firsts""",
 )
 def incremental(spark, sf):
     """Two arrivals of files, three calls: the English postings, then all of them, then
@@ -730,11 +732,12 @@ def incremental(spark, sf):
     run()
     rows.write.mode("append").parquet(source)
     run()
-    return ledger.read_ledger(spark, run()).select("job_id", "platform", "run_id")
+    batch = F.regexp_extract("run_id", r"batch-\d+$", 0)
+    return ledger.read_ledger(spark, run()).select("job_id", "platform", batch.alias("batch"))
 
 
 _CHECK_SQL = f"""{_RUN_SQL},
-tested AS (SELECT *, rank_ = 2 OR days <= 2 AS date_ok, NOT contains(title, '7') AS title_ok FROM reached),
+tested AS (SELECT *, rank_ = 2 OR days <= 2 AS date_ok, NOT contains(title, '77') AS title_ok FROM reached),
 described AS (SELECT *, CASE WHEN rank_ = 3 AND lang = 'de' THEN '' WHEN rank_ = 3 THEN {strip_sql('text')}
     ELSE {strip_sql("regexp_replace(text, '[ ' || chr(9) || chr(10) || chr(13) || ']+', ' ', 'g')")} END AS description FROM tested)"""
 
@@ -750,7 +753,7 @@ def check_funnel(spark, sf):
     """All boards measured without cap and ledger."""
     counts, _ = check_source(
         _captures(spark, sf), new_run_dir(spark, "check"), _by_length, ["all"], F.lit("2024-01-31T00:00:00"),
-        pages_per_query=2, blocks=["7"],
+        blocks=["77"],
     )
     return counts
 
@@ -765,8 +768,77 @@ def check_unfiltered(spark, sf):
     """Every card as a match: the unique postings."""
     _, unique = check_source(
         _captures(spark, sf), new_run_dir(spark, "check"), _by_length, ["all"], F.lit("2024-01-31T00:00:00"),
-        apply_filters=False, pages_per_query=2,
+        apply_filters=False,
     )
     return unique.select(
         "job_id", "platform", "query_idx", "page_no", "card_pos", F.length("description").cast("bigint").alias("chars")
     )
+
+
+# --- other countries, broken pages, replays ---------------------------------------------------
+
+
+@query(
+    "country_run",
+    f"""WITH {_RUN_SQL}, served AS (SELECT * FROM kept WHERE rank_ IN (0, 1))
+    SELECT DISTINCT sha256(lower(title) || '||' || 'berlin') AS job_id, {board_sql('rank_')} AS platform,
+      CASE rank_ WHEN 0 THEN 'https://www.linkedin.com' ELSE 'https://www.stepstone.at' END AS site,
+      {strip_sql("regexp_replace(text, '[ ' || chr(9) || chr(10) || chr(13) || ']+', ' ', 'g')")} AS description FROM served""",
+)
+def country_run(spark, sf):
+    """Captures taken for Austria: StepStone's links lead to its Austrian site, and the boards that
+    do not serve the country are left out."""
+    url = F.replace("url", F.lit("www.stepstone.de"), F.lit("www.stepstone.at"))
+    # The first test of a place is on Germany; here every card's place is in Austria.
+    body = F.replace("body", F.lit(">Berlin<"), F.lit(">Wien, Austria<"))
+    captures = _captures(spark, sf).withColumns({"url": url, "body": body})
+    found = daily_run.acquire(captures, new_run_dir(spark, "run"), country="Austria")
+    named = F.sha2(F.concat(F.lower("title"), F.lit("||berlin")), 256)
+    site = F.regexp_extract("url", "^https://[^/]+", 0)
+    return found.select(named.alias("job_id"), "platform", site.alias("site"), "description")
+
+
+@query(
+    "digest_html",
+    f"""WITH {_NUMBERED_SQL}, digests AS (SELECT DISTINCT lang AS digest_id FROM documents UNION ALL SELECT 'none')
+    SELECT d.digest_id, count(n.doc_id) AS entries, coalesce(max(n.total), 0) AS stated,
+      'Germany AI/Robotics Job Update – 2024-01-31' AS subject
+    FROM digests d LEFT JOIN numbered n ON n.digest_id = d.digest_id GROUP BY d.digest_id""",
+)
+def digest_html(spark, sf):
+    """HTML digests with their subject: entries counted in the bodies, and the total they state."""
+    wanted = table(spark, sf, "documents").select(F.explode(F.array("lang", F.lit("none"))).alias("digest_id"))
+    parts = digest.digest_assemble(wanted, _numbered(spark, sf), F.lit("2024-01-31"), entries_per_part=_PER_PART, html=True)
+    entries = F.size(F.split("body", "<section>")) - 1
+    stated = F.regexp_extract("body", r"<p>Total new jobs: (\d+)</p>", 1).try_cast("bigint")
+    counted = parts.groupBy("digest_id").agg(
+        F.sum(entries).alias("entries"), F.coalesce(F.max(stated), F.lit(0)).alias("stated")
+    )
+    return counted.withColumn("subject", digest.subject("Germany", F.lit("2024-01-31")))
+
+
+def _as_cache(rows, path):
+    """Postings as indented JSON files, a file for each thousand, in the order of their ids."""
+    names = ["title", "company", "location", "url", "posting_date", "platform", "experience_level", "description", "job_id"]
+    fields = [F.concat(F.lit(f'    "{n}": '), F.expr(f"substring(to_json(array({n})), 2, length(to_json(array({n}))) - 2)")) for n in names]
+    entry = F.concat(F.lit("  {\n"), F.concat_ws(",\n", *fields), F.lit("\n  }"))
+    entries = F.sort_array(F.collect_list(F.struct("doc_id", entry.alias("entry"))))
+    whole = F.concat(F.lit("[\n"), F.array_join(F.transform("entries", lambda e: e["entry"]), ",\n"), F.lit("\n]"))
+    files_ = rows.groupBy(F.floor(F.col("doc_id") / 1000).alias("thousand")).agg(entries.alias("entries"))
+    files_.select("thousand", whole.alias("value")).repartition("thousand").write.partitionBy("thousand").text(path)
+
+
+@query(
+    "cache_replay",
+    f"""WITH {POSTINGS_SQL}, matched AS (SELECT * FROM postings WHERE length(description) % 10 + 1 >= 7),
+    delivered AS (SELECT * FROM matched QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY platform_rank, doc_id) = 1)
+    SELECT job_id, platform, (SELECT count(*) FROM delivered) AS new_jobs FROM delivered""",
+)
+def cache_replay(spark, sf):
+    """A JSON cache of all postings, read back and delivered."""
+    run_dir = new_run_dir(spark, "replay")
+    _as_cache(postings(spark, sf), f"{run_dir}/cache")
+    found = files.materialise(files.read_scrape_cache(spark, f"{run_dir}/cache"), f"{run_dir}/postings")
+    summary = daily_run.deliver(found, _by_length, f"{run_dir}/ledger", run_dir, "today", _as_of())
+    sent = ledger.read_ledger(spark, f"{run_dir}/ledger").select("job_id", "platform")
+    return sent.withColumn("new_jobs", summary.select("new_jobs").scalar())

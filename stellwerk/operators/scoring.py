@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import logging
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -18,6 +19,8 @@ from stellwerk.sources.files import materialise
 
 log = logging.getLogger("stellwerk")
 
+CALLS_PER_TASK = 6
+
 
 def ordered_distinct(names: Column, disabled: Column | None = None) -> Column:
     """Model names in their order, without repeats, blanks and disabled ones."""
@@ -30,11 +33,33 @@ def with_message(postings: DataFrame) -> DataFrame:
     return postings.withColumn("message", posting_message(*[F.col(f) for f in fields]))
 
 
-def request_table(postings: DataFrame, system: Column, models: list[str] = vocab.MODELS) -> DataFrame:
-    """One request per posting and model, for a scorer outside Spark."""
+def model_list(text: str | None) -> list[str]:
+    """The names of a comma list, without blanks."""
+    return [name.strip() for name in (text or "").split(",") if name.strip()]
+
+
+def exhausted_models(attempts: DataFrame) -> DataFrame:
+    """``model`` names that ran out of quota in these attempts: few rows."""
+    return attempts.filter(run_blocking_quota(F.col("error"))).select("model").distinct()
+
+
+def request_table(
+    postings: DataFrame, system: Column, models: list[str] = vocab.MODELS, exhausted: DataFrame | None = None
+) -> DataFrame:
+    """One request per posting and model, for a scorer outside Spark.
+
+    Models in ``exhausted`` (``exhausted_models``) are not asked; ranks stay those of the list.
+    """
+    names = postings.sparkSession.range(1).select(
+        F.posexplode(ordered_distinct(F.array(*[F.lit(m) for m in models]))).alias("model_rank", "model")
+    )
+    if exhausted is not None:
+        names = names.join(exhausted, "model", "left_anti")
+    # The list of models is a constant of the run's configuration.
+    asked = names.agg(F.array_sort(F.collect_list(F.struct("model_rank", "model"))).alias("asked"))
     return with_message(postings).select(
-        "job_id", F.posexplode(ordered_distinct(F.array(*[F.lit(m) for m in models]))).alias("model_rank", "model"), "message"
-    ).select(
+        "job_id", F.explode(asked.scalar()).alias("m"), "message"
+    ).select("job_id", "m.model_rank", "m.model", "message").select(
         "job_id",
         "model_rank",
         "model",
@@ -100,7 +125,7 @@ def matched_only(scored: DataFrame) -> DataFrame:
     return scored.filter("match")
 
 
-def _caller(scorer: Callable[[str], str | dict]):
+def _caller(scorer: Callable[[str], str | dict], at_once: int):
     @F.pandas_udf("string")
     def call(messages: pd.Series) -> pd.Series:
         errors = []
@@ -115,7 +140,8 @@ def _caller(scorer: Callable[[str], str | dict]):
                 return None
             return json.dumps(reply, ensure_ascii=False) if isinstance(reply, dict) else reply
 
-        answers = pd.Series([one(m) for m in messages], dtype=object)
+        with ThreadPoolExecutor(at_once) as pool:
+            answers = pd.Series(list(pool.map(one, messages)), dtype=object)
         if errors:
             log.warning("scorer failed on %d of %d; first: %r", len(errors), len(answers), errors[0])
         return answers
@@ -129,12 +155,13 @@ def score_with(
     scorers: list[Callable[[str], str | dict]],
     threshold: int = vocab.MATCH_THRESHOLD,
     concurrency: int | None = None,
+    calls_per_task: int = CALLS_PER_TASK,
 ) -> DataFrame:
     """Score postings with plain Python callables, tried in order until one gives a readable
     reply. Write the result before using it twice.
 
-    ``concurrency`` bounds how many calls run at once, by the number of tasks; without it the
-    current partitions are used.
+    A task makes ``calls_per_task`` calls at once, so scorers must allow calls from several
+    threads. ``concurrency`` sets the number of tasks; without it the current partitions are used.
     """
     rows = with_message(postings)
     if concurrency:
@@ -142,7 +169,7 @@ def score_with(
     rows = rows.withColumn("verdict", F.lit(None).cast("struct<match:boolean,score:int,reason:string>"))
     for scorer in scorers:
         open_message = F.when(F.col("verdict").isNull(), F.col("message"))
-        rows = with_verdict(rows.withColumn("raw", _caller(scorer)(open_message)), "raw", "_new", threshold)
+        rows = with_verdict(rows.withColumn("raw", _caller(scorer, calls_per_task)(open_message)), "raw", "_new", threshold)
         rows = rows.withColumn("verdict", F.coalesce("verdict", "_new")).drop("_new", "raw")
     return with_fallback(rows.select(*postings.columns, "verdict.*"))
 

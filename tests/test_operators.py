@@ -297,11 +297,12 @@ def test_undelivered_run_leaves_the_ledger_alone(spark, tmp_path):
     rows = make_postings(spark, [("a", vocab.XING, 0, 0, 0)])
     path, sent = str(tmp_path / "ledger"), F.lit(NOW)
     run = lambda send: daily_run.deliver(rows, all_match, path, str(tmp_path / "run"), "r1", sent, send=send)
-    run(lambda parts: False)
+    run(lambda parts, html: False)
     assert ledger.read_ledger(spark, path).count() == 0
     seen = []
-    summary = run(lambda parts: seen.append(parts.first().body) or True).first()
-    assert (summary.new_jobs, summary.ledger_before, summary.ledger_after) == (1, 0, 1) and "[1]  Title a" in seen[0]
+    summary = run(lambda parts, html: seen.extend([parts.first(), html.first()]) or True).first()
+    assert (summary.new_jobs, summary.ledger_before, summary.ledger_after) == (1, 0, 1) and "[1]  Title a" in seen[0].body
+    assert "<h2>1. Title a</h2>" in seen[1].body and seen[0].subject == seen[1].subject != ""
     # the same run again gives the same ledger; another run has nothing left to send
     assert run(None).first().new_jobs == 1 and ledger.read_ledger(spark, path).count() == 1
     later = daily_run.deliver(rows, all_match, path, str(tmp_path / "run2"), "r2", sent).first()
@@ -314,7 +315,7 @@ def test_incremental_run_survives_a_failed_batch(spark, tmp_path):
     sends = []
 
     def run(fail=False):
-        def send(parts):
+        def send(parts, html):
             if fail:
                 raise OSError("mail server down")
             sends.append(sorted(line.split()[-1] for line in "\n".join(r.body for r in parts.collect()).split("\n") if line.startswith("[")))
@@ -332,3 +333,72 @@ def test_incremental_run_survives_a_failed_batch(spark, tmp_path):
     assert sends == [["a", "b"], ["c"]]
     got = sorted((r.job_id, r.run_id[-1]) for r in ledger.read_ledger(spark, path).collect())
     assert got == [("a", "0"), ("b", "0"), ("c", "1")]
+
+
+def test_new_checkpoint_over_an_old_ledger_keeps_every_row(spark, tmp_path):
+    source, state = str(tmp_path / "in"), tmp_path / "state"
+    make_postings(spark, [(j, vocab.XING, 0, 0, n) for n, j in enumerate("abc")]).write.parquet(source)
+    run = lambda: incremental_run(spark, source, schema.POSTINGS, str(state), lambda df, _: df, all_match, F.lit(NOW))
+    path = run()
+    (state / "checkpoint").rename(tmp_path / "old-checkpoint")
+    make_postings(spark, [("d", vocab.XING, 0, 0, 3)]).write.mode("append").parquet(source)
+    run()
+    rows = ledger.read_ledger(spark, path).collect()
+    assert sorted(r.job_id for r in rows) == ["a", "b", "c", "d"] and len({r.run_id for r in rows}) == 2
+
+
+def test_no_source_left(spark):
+    none = registry.union_platforms({}, spark)
+    assert none.count() == 0 and "platform_rank" in none.columns
+
+
+def test_failed_source_does_not_shift_ranks(spark, tmp_path):
+    def broken(session):
+        raise OSError("down")
+
+    sources = {"a": broken, "b": lambda session: session.range(2)}
+    union = registry.union_platforms(registry.materialise_sources(spark, sources, str(tmp_path)))
+    assert {r.platform_rank for r in union.collect()} == {1}
+
+
+def test_no_limit_means_no_cut():
+    assert frontier.served_boards("Austria") == {vocab.LINKEDIN: "www.linkedin.com", vocab.STEPSTONE: "www.stepstone.at"}
+    assert set(frontier.served_boards("germany")) == {vocab.LINKEDIN, vocab.XING, vocab.BA}
+    assert vocab.XING not in frontier.served_boards("Germany", [vocab.XING])
+
+
+def test_calls_run_at_once(spark):
+    rows = make_postings(spark, [(str(n), vocab.XING, 0, 0, n) for n in range(8)]).coalesce(1)
+    assert {r.llm_score for r in scoring.score_with(rows, [make_scorer()], calls_per_task=4).collect()} == {9}
+
+
+def make_scorer():
+    """A scorer that only answers while four calls are under way."""
+
+    def scorer(message):
+        import threading
+
+        state = globals().setdefault("_calls", {"barrier": threading.Barrier(4)})
+        state["barrier"].wait(timeout=20)
+        return {"score": 9, "reason": "r"}
+
+    return scorer
+
+
+def test_exhausted_models_are_not_asked(spark):
+    postings = make_postings(spark, [("a", vocab.XING, 0, 0, 0)])
+    gone = spark.createDataFrame([("m1",)], "model string")
+    rows = scoring.request_table(postings, F.lit("s"), scoring.model_list(" m1, m2,,m3 "), gone).collect()
+    assert sorted((r.model_rank, r.model) for r in rows) == [(1, "m2"), (2, "m3")]
+
+
+def test_digest_has_no_join(spark):
+    rows = make_postings(spark, [("a", vocab.XING, 0, 0, 0)]).transform(all_match)
+    for name in (F.lit("d"), F.col("platform")):
+        numbered = digest.digest_number(rows.withColumn("digest_id", name))
+        parts = digest.digest_assemble(spark.createDataFrame([("d",)], "digest_id string"), numbered, F.lit("x"))
+        text = parts._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in text
+        above = text[: text.index("collect_list")]
+        assert "Join" not in above
+    assert {r.digest_id for r in parts.collect()} == {"d", vocab.XING}
