@@ -31,6 +31,8 @@ DIMENSIONS = 16
 # Bounds of the training sample: rows for each language, and languages.
 ROWS_PER_LANGUAGE = 1_000
 MOST_LANGUAGES = 400
+BATCH = 32
+LEAST_STEPS = 1_500
 # The rejection threshold loses at most this share of rightly labelled texts.
 MOST_LOST = 0.001
 
@@ -121,12 +123,14 @@ def train(
     embeddings = generator.normal(0, 0.1, (1 << BITS, DIMENSIONS)).astype(np.float32)
     weights = generator.normal(0, 0.1, (DIMENSIONS, len(languages))).astype(np.float32)
     bias = np.zeros(len(languages), np.float32)
+    # Few rows are gone through more often, so that the model always takes enough steps.
+    epochs = max(epochs, -(-LEAST_STEPS * BATCH // max(len(learners), 1)))
     # Means over hundreds of n-grams are small; the embeddings' steps are larger in proportion.
     for epoch in range(epochs):
         rate = 1.0 - epoch / epochs
         learners = generator.permutation(learners)
-        for first in range(0, len(learners), 32):
-            chosen = learners[first : first + 32]
+        for first in range(0, len(learners), BATCH):
+            chosen = learners[first : first + BATCH]
             x = dense(chosen)
             used = np.flatnonzero(x.any(axis=0))
             x = x[:, used]
