@@ -50,6 +50,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """A small file is one row group, hence one task; deal its rows out before costly steps."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key)
+
+
 BOARDS = list(vocab.PLATFORM_RANK)
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stellwerk import vocab
-from stellwerk.checks.base import POSTINGS_SQL, collapse_sql, postings, query, strip_sql, table
+from stellwerk.checks.base import POSTINGS_SQL, collapse_sql, postings, query, spread, strip_sql, table
 from stellwerk.functions import embedded, listing_api, page_fields
 from stellwerk.operators import funnel
 from stellwerk.session import new_run_dir
@@ -228,7 +228,7 @@ def detail_description(spark, sf):
     "SELECT doc_id, CASE lang WHEN 'de' THEN 'Berufserfahrung: ' || source WHEN 'en' THEN source ELSE '' END AS experience FROM documents",
 )
 def detail_experience(spark, sf):
-    docs = table(spark, sf, "documents")
+    docs = spread(table(spark, sf, "documents"), "doc_id")
     source, lang = F.col("source"), F.col("lang")
     linkedin = _text(
         '<ul class="description__job-criteria-list"><li><h3>Employment</h3><span>no</span></li>'
@@ -257,14 +257,14 @@ def _ld_page(text, lang):
 
 @query("jsonld_description", f"SELECT doc_id, {strip_sql('text')} AS description FROM documents")
 def jsonld_description(spark, sf):
-    docs = table(spark, sf, "documents")
+    docs = spread(table(spark, sf, "documents"), "doc_id")
     page = _ld_page(F.col("text"), F.col("lang"))
     return docs.select("doc_id", embedded.jsonld_description(page).alias("description"))
 
 
 @query("jsonld_posting_date", "SELECT doc_id, CASE WHEN lang = 'es' THEN '' ELSE '2024-01-2' END AS posted FROM documents")
 def jsonld_posting_date(spark, sf):
-    docs = table(spark, sf, "documents")
+    docs = spread(table(spark, sf, "documents"), "doc_id")
     page = _ld_page(F.col("text"), F.col("lang"))
     return docs.select("doc_id", embedded.jsonld_posting_date(page).alias("posted"))
 
@@ -283,7 +283,7 @@ def embedded_state(spark, sf):
     )
     page = _text('<p></p><SCRIPT id="ng-state" type="x">', _html(F.to_json(F.struct(detail.alias("jobdetail")))), "</SCRIPT>")
     state = embedded.embedded_state(page)
-    docs = table(spark, sf, "documents").withColumn("state", state)
+    docs = spread(table(spark, sf, "documents"), "doc_id").withColumn("state", state)
     return docs.select("doc_id", "state.description", "state.experience")
 
 

@@ -17,6 +17,7 @@ from stellwerk.checks.base import (
     quoted,
     scored_postings,
     sent_ledger,
+    spread,
     strip_sql,
     table,
 )
@@ -328,7 +329,7 @@ _LENGTH_SQL = f"length(concat_ws(chr(10), 'Job Title: ' || title, 'Company: ' ||
     FROM s""",
 )
 def score_with(spark, sf):
-    scored = scoring.score_with(postings(spark, sf), [_length_scorer, _spare_scorer])
+    scored = scoring.score_with(spread(postings(spark, sf), "doc_id"), [_length_scorer, _spare_scorer])
     return scored.select("doc_id", "llm_score", "match", "llm_reason")
 
 

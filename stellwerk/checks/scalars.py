@@ -14,6 +14,7 @@ from stellwerk.checks.base import (
     query,
     quoted,
     scored_postings,
+    spread,
     strip_sql,
     table,
 )
@@ -65,6 +66,7 @@ def prompt_build(spark, sf):
     return scoring.with_message(postings(spark, sf)).select("doc_id", "message")
 
 
+# The profile's lines that are rewritten, and what they become.
 _PROFILE_LINES = (
     "\nGermany only. Remote positions are acceptable if the employer is clearly a German company or the "
     "role is contractually based in Germany.\nLooking for full-time permanent positions in Germany, "
@@ -469,7 +471,7 @@ _REPLY_SCORE = "CAST(floor(greatest(1, least(10, value))) AS INTEGER)"
     FROM events""",
 )
 def response_parse(spark, sf):
-    rows = table(spark, sf, "events").select("event_id", reply_text().alias("raw"))
+    rows = spread(table(spark, sf, "events"), "event_id").select("event_id", reply_text().alias("raw"))
     read = replies.with_score(replies.with_reply(rows))
     return read.select("event_id", F.col("reply").isNotNull().alias("parsed"), "score", "reason")
 

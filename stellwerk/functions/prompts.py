@@ -48,6 +48,7 @@ def posting_message(
 ) -> Column:
     experience = F.coalesce(F.nullif(experience, F.lit("")), F.lit("N/A"))
     description = F.coalesce(description, F.lit(vocab.NO_DESCRIPTION))
+    # The message's labels.
     return F.concat_ws(
         "\n",
         F.concat(F.lit("Job Title: "), _or_na(title)),

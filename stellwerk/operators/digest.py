@@ -23,6 +23,7 @@ _NOTHING = "No new relevant jobs found in this cycle."
 
 
 def subject(country: str, date: Column) -> Column:
+    # Fixed value: the subject's wording.
     return F.concat(F.lit(f"{country} AI/Robotics Job Update – "), date)
 
 
