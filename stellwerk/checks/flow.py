@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stellwerk import vocab
+from stellwerk import schema, vocab
 from stellwerk.checks.base import (
     LEDGER_SQL,
     POSTINGS_SQL,
@@ -30,7 +30,7 @@ from stellwerk.plans.source_check import check_source
 from stellwerk.session import new_run_dir
 from stellwerk.sources import files, ledger, registry, reports
 from stellwerk.sources.captures import read_captures
-from stellwerk.streaming.incremental import incremental_run
+from stellwerk.streaming.incremental import from_captures, incremental_run
 
 
 def _as_of():
@@ -843,3 +843,26 @@ def cache_replay(spark, sf):
     summary = daily_run.deliver(found, _by_length, f"{run_dir}/ledger", run_dir, "today", _as_of())
     sent = ledger.read_ledger(spark, f"{run_dir}/ledger").select("job_id", "platform")
     return sent.withColumn("new_jobs", summary.select("new_jobs").scalar())
+
+
+@query(
+    "incremental_captures",
+    f"""WITH {_RUN_SQL}, scored AS (SELECT *, length(CASE rank_ WHEN 3 THEN {strip_sql('text')}
+        ELSE {strip_sql("regexp_replace(text, '[ ' || chr(9) || chr(10) || chr(13) || ']+', ' ', 'g')")} END) % 10 + 1 AS score FROM run_postings)
+    SELECT job_id, {board_sql('rank_')} AS platform, 'batch-0000000001' AS batch FROM scored WHERE score >= 7
+    QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY rank_, query_idx, page_no, card_pos) = 1""",
+)
+def incremental_captures(spark, sf):
+    """Search pages first, their detail pages in the next batch, then nothing new."""
+    state = new_run_dir(spark, "incremental")
+    source, found = f"{state}/captures", _captures(spark, sf)
+
+    def run():
+        return incremental_run(spark, source, schema.CAPTURES, state, from_captures(), _by_length, _as_of())
+
+    found.filter("kind = 'search'").write.parquet(source)
+    run()
+    found.filter("kind <> 'search'").write.mode("append").parquet(source)
+    run()
+    batch = F.regexp_extract("run_id", r"batch-\d+$", 0)
+    return ledger.read_ledger(spark, run()).select("job_id", "platform", batch.alias("batch"))

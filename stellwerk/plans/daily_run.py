@@ -34,9 +34,15 @@ def acquire(
     hours: int = vocab.MAX_AGE_HOURS,
     blocks: list[str] = vocab.TITLE_BLOCKS,
     disabled: list[str] | None = None,
+    wait: bool = False,
+    waited: DataFrame | None = None,
 ) -> DataFrame:
     """Postings of one run's captures, written to ``run_dir/postings``.
 
+    With ``wait``, candidates without a detail page are left out and written to
+    ``run_dir/waiting``. Given to the next run as ``waited`` they go on there: with their detail
+    page if it has come by then, without it if not.
+
     Only boards that serve the country and are not ``disabled`` are read. All captured pages
     and candidates count, unless ``pages_per_query`` or ``details_per_query`` set a limit.
 
@@ -55,9 +61,15 @@ def acquire(
     if details_per_query is not None:
         candidates = funnel.cap_details(candidates, details_per_query)
     capped = materialise(candidates, f"{run_dir}/candidates")
+    wanted = capped if waited is None else capped.unionByName(waited)
     with page_batches(spark):
-        details = materialise(pages.parse_details(captures, wanted=capped), f"{run_dir}/details")
-    rows = funnel.join_detail(capped, details)
+        details = materialise(pages.parse_details(captures, wanted=wanted), f"{run_dir}/details")
+    if wait:
+        page = ["platform", "url"]
+        materialise(capped.join(details.select(*page), page, "left_anti"), f"{run_dir}/waiting")
+        ready = capped.join(details.select(*page), page, "left_semi")
+        wanted = ready if waited is None else ready.unionByName(waited)
+    rows = funnel.join_detail(wanted, details)
     rows = funnel.late_fresh_check(rows, F.col("observed_at"), hours)
     postings = funnel.as_postings(funnel.nonempty_description(rows))
     return materialise(identity.first_per_platform(postings), f"{run_dir}/postings")

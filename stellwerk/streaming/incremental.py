@@ -6,7 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 
-from stellwerk.plans.daily_run import deliver
+from stellwerk.plans.daily_run import acquire, deliver
+
+
+def from_captures(**options) -> Callable[[DataFrame, str], DataFrame]:
+    """``to_postings`` for a stream of captures; ``options`` go to ``acquire``.
+
+    A detail page often arrives after its search page. A candidate without one waits for the next
+    batch, and goes on then with or without it.
+    """
+
+    def to_postings(batch: DataFrame, run_dir: str) -> DataFrame:
+        head, number = run_dir.rsplit("-", 1)
+        waited = None
+        if int(number):
+            waited = batch.sparkSession.read.parquet(f"{head}-{int(number) - 1:010d}/waiting")
+        return acquire(batch, run_dir, wait=True, waited=waited, **options)
+
+    return to_postings
 
 
 def stream_id(spark: SparkSession, checkpoint: str) -> str:
