@@ -9,6 +9,7 @@ from stellwerk.functions.text import MAYBE_SPACES, strip
 
 _LINE_BREAK = r"\r\n|[\n\x0b\x0c\r\x1c-\x1e\x85\u2028\u2029]"
 _FENCE = "```"
+_JSON_START = r'^[\[{"\-0-9tfnNI]'
 
 
 def strict_json(text: Column) -> Column:
@@ -31,8 +32,11 @@ def with_reply(rows: DataFrame, raw: str = "raw", out: str = "reply") -> DataFra
     lines = F.split("_text", _LINE_BREAK)
     inside = strip(F.array_join(F.slice(lines, F.lit(2), F.size(lines) - 2), "\n"))
     is_fenced = F.col("_text").startswith(_FENCE) & (F.size(lines) >= 3)
-    braces = F.regexp_extract(F.coalesce("_fenced", "_text"), r"(?s)(\{.*\})", 1)
-    value = F.coalesce(strict_json(F.col("_text")), strict_json(F.col("_fenced")), strict_json(braces))
+    whole = F.coalesce("_fenced", "_text")
+    braces = F.regexp_extract(whole, r"(?s)(\{.*\})", 1)
+    # Only what begins like a JSON value is parsed, and nothing that has just failed.
+    likely = lambda name: F.when(F.col(name).rlike(_JSON_START), strict_json(F.col(name)))
+    value = F.coalesce(likely("_text"), likely("_fenced"), F.when(braces != whole, strict_json(braces)))
     return (
         rows.withColumn("_text", strip(F.coalesce(raw, F.lit(""))))
         .withColumn("_fenced", F.when(is_fenced, inside))
