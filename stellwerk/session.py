@@ -4,14 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
-_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
-PAGES_PER_BATCH = 500
-
 # Applied only when the caller builds a session here; a cluster's own settings are left alone
 # by passing its session straight to the operators.
 _DEFAULTS = {
@@ -20,7 +15,9 @@ _DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    _BATCH_ROWS: str(PAGES_PER_BATCH),
+    # Pages can be large: Arrow batches are bounded by bytes, and never change while jobs run.
+    "spark.sql.execution.arrow.maxBytesPerBatch": "16m",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "500",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -35,21 +32,6 @@ def build_session(app: str = "stellwerk", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
-@contextmanager
-def page_batches(spark: SparkSession, rows: int = PAGES_PER_BATCH) -> Iterator[None]:
-    """Keep Arrow batches small while pages are parsed, in whatever session this runs.
-
-    Pages can be large, and a batch of thousands would not fit a Python worker.
-    """
-    before = spark.conf.get(_BATCH_ROWS)
-    if int(before) <= 0 or int(before) > rows:
-        spark.conf.set(_BATCH_ROWS, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(_BATCH_ROWS, before)
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can see: ``spark.checkpoint.dir`` where the cluster names one.
 
