@@ -72,8 +72,7 @@ def duplicate_rows(seed, n=260):
     return rows + [(1, None), (2, ""), (4, " \t"), rows[0], (None, texts[1]), (7, hot.upper())]
 
 
-@pytest.mark.parametrize("seed", range(4))
-@pytest.mark.parametrize("words, similar", [(3, (90, 100)), (5, (80, 100))])
+@pytest.mark.parametrize("seed, words, similar", [(0, 3, (90, 100)), (1, 3, (90, 100)), (2, 5, (80, 100)), (3, 5, (80, 100))])
 def test_components_against_all_pairs(spark, documents, seed, words, similar):
     rows = duplicate_rows(seed)
     found = jaccard.near_duplicates(spark, documents(rows), words, similar).collect()
