@@ -38,6 +38,8 @@ LONGEST = 8
 # Shingles in a packed block, and in a range of hashes.
 BLOCK = 1 << 20
 RANGE = 1 << 20
+# Longs of parity bits that a class is compared by before its pairs are gathered.
+PARITY = 8
 _REST_BITS = 40
 
 
@@ -136,7 +138,7 @@ def _ceil_share(n: Column, similar: tuple[int, int]) -> Column:
 
 
 def prefixes(shared: DataFrame, sizes: DataFrame, similar: tuple[int, int]) -> DataFrame:
-    """``key, n, own, tokens, entries, need``: classes that can be that similar to another one.
+    """``key, n, own, tokens, parity, entries, need``: classes that can be that similar to another one.
 
     ``own`` counts the shingles that no other class has. ``entries`` are the prefix's shared shingles with
     the smallest L whose prefix holds them; ``need`` is the class's L.
@@ -159,24 +161,41 @@ def prefixes(shared: DataFrame, sizes: DataFrame, similar: tuple[int, int]) -> D
         # Entries met, and for each pair that meets often enough one verification of about n steps.
         return F.struct((met + met / length * F.col("n") / 16).alias("cost"), F.lit(length).alias("need"))
 
+    tokens = F.transform("ordered", lambda x: x["token"])
+    bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.floor(t / PARITY) % 64).cast("int"))
+    # For each of 64 * PARITY places, whether an odd number of the shared shingles falls on it.
+    parity = [
+        F.aggregate(
+            F.filter(tokens, lambda t: t % PARITY == k), F.lit(0).cast("bigint"), lambda bits, t: bits.bitwiseXOR(bit(t))
+        )
+        for k in range(PARITY)
+    ]
     best = F.array_min(F.array(*[cost(length) for length in range(1, LONGEST + 1)]))
     return rows.withColumn("need", best["need"]).select(
         "key",
         "n",
         "own",
         "need",
-        F.array_sort(F.transform("ordered", lambda x: x["token"])).alias("tokens"),
+        F.array_sort(tokens).alias("tokens"),
+        F.array(*parity).alias("parity"),
         F.filter("near", lambda x: x["level"] <= F.col("need")).alias("entries"),
     )
 
 
 def _could_link(a: str, b: str, similar: tuple[int, int]) -> Column:
-    """By sizes, and by how many shingles the two have that are not their own."""
+    """By sizes, by how many shingles the two have that are not their own, and by what they don't share.
+
+    What only one of them has is its own shingles and, of the shared ones, at least as many as parity
+    bits differ. None of the tests drops a pair that is similar enough.
+    """
     num, den = similar
-    overlap = F.expr(f"ceil(({a}.n + {b}.n) * {num} / ({num} + {den}) - 1e-9)")
-    return F.expr(
-        f"least({a}.n, {b}.n) * {den} >= greatest({a}.n, {b}.n) * {num}"
-    ) & (F.expr(f"least({a}.n - {a}.own, {b}.n - {b}.own)") >= overlap)
+    overlap = f"ceil(({a}.n + {b}.n) * {num} / ({num} + {den}) - 1e-9)"
+    differ = " + ".join(f"bit_count({a}.parity[{k}] ^ {b}.parity[{k}])" for k in range(PARITY))
+    return (
+        F.expr(f"least({a}.n, {b}.n) * {den} >= greatest({a}.n, {b}.n) * {num}")
+        & F.expr(f"least({a}.n - {a}.own, {b}.n - {b}.own) >= {overlap}")
+        & F.expr(f"{a}.own + {b}.own + {differ} <= {a}.n + {b}.n - 2 * {overlap}")
+    )
 
 
 def verify(pairs: DataFrame, classes: DataFrame, similar: tuple[int, int]) -> DataFrame:
@@ -193,8 +212,8 @@ def _hub_pairs(classes: DataFrame, entries: DataFrame, similar: tuple[int, int])
 
     A shingle's hub is its class with the fewest own shingles: the likeliest origin of copies.
     """
-    first = entries.filter("level = 1").select("token", "key", "n", "own")
-    hubs = first.groupBy("token").agg(F.min(F.struct("own", "key", "n")).alias("h"), F.count("*").alias("c")).filter("c > 1")
+    first = entries.filter("level = 1").select("token", "key", "n", "own", "parity")
+    hubs = first.groupBy("token").agg(F.min(F.struct("own", "key", "n", "parity")).alias("h"), F.count("*").alias("c")).filter("c > 1")
     met = first.alias("a").join(hubs.select("token", "h.*").alias("b"), "token").filter("a.key <> b.key")
     met = met.filter(_could_link("a", "b", similar)).groupBy(F.col("a.key").alias("u"), F.col("b.key").alias("v")).count()
     return met.groupBy("u").agg(F.max(F.struct("count", "v"))["v"].alias("v"))
@@ -218,7 +237,8 @@ def class_links(docs: DataFrame, sizes: DataFrame, shingles: int, words: int, si
     """``u, v`` (class keys): links that connect the same classes as all links would."""
     bits = min(max(int(np.ceil(np.log2(max(shingles, 1) / RANGE))), 4), 20)
     classes = stored(prefixes(shared_shingles(docs, words, bits), sizes, similar), "classes")
-    entries = classes.select("key", "n", "own", "need", F.explode("entries").alias("e")).select("key", "n", "own", "need", "e.token", "e.level")
+    about = ("key", "n", "own", "need", "parity")
+    entries = classes.select(*about, F.explode("entries").alias("e")).select(*about, "e.token", "e.level")
     hub_pairs = stored(_hub_pairs(classes, entries, similar), "hub-pairs")
     first = stored(verify(hub_pairs, classes, similar), "hub-links")
     roots = components(first)
@@ -254,10 +274,11 @@ def keep_one(spark: SparkSession, docs: DataFrame, words: int = WORDS, similar:
     Rows with empty sets or without an id are kept. Of repeated rows with that id one stays.
     """
     found = near_duplicates(spark, docs, words, similar)
-    stay = found.filter("doc_id = component_id AND n_shingles > 0").select(F.col("doc_id").alias("_stay")).distinct()
-    linked = found.filter("n_shingles > 0 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_linked")).distinct()
-    rows = docs.join(stay, docs["doc_id"] == F.col("_stay"), "left").join(linked, docs["doc_id"] == F.col("_linked"), "left")
-    copy = F.row_number().over(Window.partitionBy("_stay").orderBy(F.xxhash64(docs["text"])))
-    single = rows.filter("_stay IS NOT NULL").withColumn("_copy", copy).filter("_copy = 1").select(*[docs[c] for c in docs.columns])
-    free = rows.filter("_stay IS NULL AND _linked IS NULL").select(*[docs[c] for c in docs.columns])
-    return single.unionByName(free)
+    stay = found.filter("doc_id = component_id AND n_shingles > 0").select(F.col("doc_id").alias("stay")).distinct()
+    linked = found.filter("n_shingles > 0 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("linked")).distinct()
+    # Whole rows in one column, apart from the columns joined to them.
+    rows = docs.select(F.struct("*").alias("doc"))
+    rows = rows.join(stay, F.col("doc.doc_id") == F.col("stay"), "left").join(linked, F.col("doc.doc_id") == F.col("linked"), "left")
+    copy = F.row_number().over(Window.partitionBy("stay").orderBy(F.xxhash64("doc.text")))
+    single = rows.filter("stay IS NOT NULL").withColumn("copy", copy).filter("copy = 1").select("doc.*")
+    return single.unionByName(rows.filter("stay IS NULL AND linked IS NULL").select("doc.*"))
