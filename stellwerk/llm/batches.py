@@ -12,7 +12,7 @@ from stellwerk.session import new_run_dir
 
 # Texts are worked on in slices of about this many bytes, so that a batch of long texts does not
 # multiply its size in temporary arrays. A longer single text is a slice of its own.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def text_slices(column: pa.Array, max_bytes: int = SLICE_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
