@@ -73,30 +73,35 @@ def _digest_ids(ids: list[int]) -> str:
 def encode(
     docs: DataFrame, ranks: Broadcast, pattern: str, chunk_chars: int = CHUNK_CHARS, overlap: int = OVERLAP
 ) -> DataFrame:
-    """Return ``doc_id, piece, ids``: the pieces of every text in order, with their token ids.
+    """``doc_id, ids``: the token ids of every text.
 
-    ``ranks`` is a broadcast rank file. A null or empty text has one piece without ids. Repeated
-    rows are encoded each by itself (``row`` tells them apart); other columns are not looked at.
+    ``ranks`` is a broadcast rank file. A null or empty text has no ids. Repeated rows are encoded
+    each by itself; other columns are not looked at. Texts of one chunk are encoded where they are read.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    short = rows.filter(F.length("text") <= chunk_chars).select(
-        "doc_id", F.lit(None).cast("bigint").alias("row"), F.lit(0).alias("piece"), "text"
-    )
-    long = _pieces(rows.filter(F.length("text") > chunk_chars), pattern, chunk_chars, overlap)
+    short = rows.filter(F.length("text") <= chunk_chars)
+    pieces = _pieces(rows.filter(F.length("text") > chunk_chars), pattern, chunk_chars, overlap)
+    # No more than one text meets in a group.
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("piece", "ids"))), lambda x: x["ids"])
+    joined = _encoded(pieces, ranks, pattern).groupBy("doc_id", "row").agg(F.flatten(in_order).alias("ids"))
+    return _encoded(short, ranks, pattern).select("doc_id", "ids").unionByName(joined.select("doc_id", "ids"))
+
+
+def _encoded(texts: DataFrame, ranks: Broadcast, pattern: str) -> DataFrame:
+    """Replace ``text`` by the ``ids`` of its tokens."""
+    others = [field for field in texts.schema.fields if field.name != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = _encoding(ranks.value, pattern)
         for batch in batches:
-            texts = batch.column("text")
-            for start in range(0, len(texts), 256):
+            for start in range(0, len(batch), 256):
                 part = batch.slice(start, 256)
                 ids = [encoding.encode_ordinary(text.as_py()) for text in part.column("text")]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("row"), part.column("piece"), pa.array(ids, pa.list_(pa.int32()))],
-                    ["doc_id", "row", "piece", "ids"],
+                    [*(part.column(f.name) for f in others), pa.array(ids, pa.list_(pa.int32()))], [*(f.name for f in others), "ids"]
                 )
 
-    return short.unionByName(long).mapInArrow(run, "doc_id bigint, row bigint, piece int, ids array<int>")
+    return texts.mapInArrow(run, ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in others), "ids array<int>"]))
 
 
 def _pieces(rows: DataFrame, pattern: str, chunk_chars: int, overlap: int) -> DataFrame:
@@ -163,18 +168,6 @@ def _pieces(rows: DataFrame, pattern: str, chunk_chars: int, overlap: int) -> Da
     )
 
 
-def join_pieces(pieces: DataFrame) -> DataFrame:
-    """``doc_id, ids``: one row per text, its pieces' ids in order. No more than one text meets in a group."""
-    whole = pieces.filter("row IS NULL").select("doc_id", "ids")
-    cut = (
-        pieces.filter("row IS NOT NULL")
-        .groupBy("doc_id", "row")
-        .agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("piece", "ids"))), lambda x: x["ids"])).alias("ids"))
-        .select("doc_id", "ids")
-    )
-    return whole.unionByName(cut)
-
-
 def decode(encoded: DataFrame, ranks: Broadcast, pattern: str) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256, decoded``: the bytes of the ids, joined."""
 
@@ -209,5 +202,4 @@ def encode_documents(
     Every row gives one row, repeated rows and null ids included; a null text counts as empty.
     """
     ranks = spark.sparkContext.broadcast(read_ranks(rank_path))
-    ids = join_pieces(encode(docs, ranks, pattern, chunk_chars, overlap))
-    return decode(ids, ranks, pattern).drop("decoded")
+    return decode(encode(docs, ranks, pattern, chunk_chars, overlap), ranks, pattern).drop("decoded")
