@@ -41,6 +41,9 @@ MOST_TRIGRAMS = 200_000
 # Labels up to this many rows are sent to the tasks; beyond it the texts are shuffled to them.
 BROADCAST_LABELS = 1_000_000
 LONGEST_WORD = 32
+# Three n-gram sizes at once make many temporary arrays: shorter slices than elsewhere.
+_SLICE = 1 << 19
+_EMITTED = 1 << 18
 
 # Which letters a sign can stand for.
 LOOK_ALIKES = {
@@ -159,7 +162,7 @@ def restored(texts: pa.Array, spelling: SpellingModel) -> pa.Array:
 
 def _present(texts: pa.Array, spelling: SpellingModel) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, rows, row, bucket) of all n-grams per slice, not yet distinct."""
-    for start, offsets, data in text_slices(restored(texts, spelling)):
+    for start, offsets, data in text_slices(restored(texts, spelling), _SLICE):
         yield start, len(offsets) - 1, *ngram_buckets(offsets, _CLEAN[data], SIZES, BITS)
 
 
@@ -210,17 +213,20 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, learn: Column
         for batch in batches:
             toxic = batch.column("toxic").to_numpy(zero_copy_only=False).astype(np.int64)
             for start, n, row, bucket in _present(batch.column("text"), model):
-                order = np.unique((row.astype(np.int64) << BITS) | bucket)
+                present = np.unique((row.astype(np.int64) << BITS) | bucket)
                 label = toxic[start : start + n]
-                at = label[order >> BITS]
+                at = label[present >> BITS]
+                present &= (1 << BITS) - 1
                 for kind in (0, 1):
-                    seen[kind] += np.bincount((order & ((1 << BITS) - 1))[at == kind], minlength=1 << BITS).astype(np.int32)
+                    np.add.at(seen[kind], present[at == kind], 1)
                     docs_of[kind] += (label == kind).sum()
-        found = np.flatnonzero(seen[1] + seen[0])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate([[-1], found])), *(pa.array(np.concatenate([[docs_of[k]], seen[k][found]]).astype(np.int64)) for k in (0, 1))],
-            ["bucket", "clean", "toxic"],
-        )
+        names = ["bucket", "clean", "toxic"]
+        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), *(pa.array(docs_of[k : k + 1]) for k in (0, 1))], names)
+        for first in range(0, 1 << BITS, _EMITTED):
+            part = seen[:, first : first + _EMITTED]
+            found = np.flatnonzero(part.any(axis=0))
+            counts = part[:, found].astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(found + first), pa.array(counts[0]), pa.array(counts[1])], names)
 
     counted = (
         rows.select("text", "toxic")
