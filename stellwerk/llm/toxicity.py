@@ -1,10 +1,12 @@
 """Toxicity of texts: noisy-channel restoration of disguised words, then a linear score.
 
 Disguised words are letters mixed with look-alike digits and signs, single letters set apart, and letters
-repeated three times or more. Each is a lattice: a look-alike stands for one of several letters or
-for itself, a run for one, two or all of its letters. A Viterbi search over the lattice picks the
-spelling that channel and character language model (trigrams of words, counted in the learned texts)
-together find likeliest. Everything else of a text stays as it is.
+repeated three times or more. Each is a lattice: a look-alike stands for one of several letters or for
+itself and then separates words, a run for one, two or all of its letters, and a gap between
+letters set apart is left out or the border of two words. A Viterbi search over the lattice picks the spelling
+that channel and character language model (trigrams of words, counted in the learned texts)
+together find likeliest, in time linear in the token's runs, however long it is. One letter again and
+again has no word behind it and stays, as does everything else of a text.
 
 The restored text is scored by a logistic regression on hashed character n-grams (present or not).
 Which n-grams count is decided over all labelled rows, by the association of their presence with the
@@ -40,7 +42,6 @@ LANGUAGE_ROWS = 4_000
 MOST_TRIGRAMS = 200_000
 # Labels up to this many rows are sent to the tasks; beyond it the texts are shuffled to them.
 BROADCAST_LABELS = 1_000_000
-LONGEST_WORD = 32
 # Three n-gram sizes at once make many temporary arrays: shorter slices than elsewhere.
 _SLICE = 1 << 19
 _EMITTED = 1 << 18
@@ -53,16 +54,33 @@ LOOK_ALIKES = {
 _SIGNS = "".join(LOOK_ALIKES)
 # A word with a sign in front of a letter, a run of three equal letters, or four letters set apart.
 _DISGUISED = re.compile(
-    rf"(?<!\w)(?:[^\W\d_][ .\-_]){{3,}}[^\W\d_](?!\w)"
-    rf"|(?<![^\W\d_])(?=[^\s]*(?:[{re.escape(_SIGNS)}][^\W\d_]|([^\W\d_])\1\1))[{re.escape(_SIGNS)}]*[^\W\d_](?:[^\W\d_]|[{re.escape(_SIGNS)}]+(?=[^\W\d_]))*"
+    rf"(?<!\w)(?P<apart>(?:[^\W\d_][ .\-_]){{3,}}[^\W\d_])(?!\w)"
+    rf"|(?<![^\W\d_])(?=[^\s]*(?:[{re.escape(_SIGNS)}][^\W\d_]|([^\W\d_])\2\2))[{re.escape(_SIGNS)}]*[^\W\d_](?:[^\W\d_]|[{re.escape(_SIGNS)}]+(?=[^\W\d_]))*"
 )
+_HAS_LETTER = re.compile(r"[^\W\d_]")
 _CLEAN = np.arange(256, dtype=np.uint8)
 _CLEAN[[b for b in range(128) if not chr(b).isalnum()]] = 32
 _IS_LETTER = np.zeros(256, bool)
 _IS_LETTER[[b for b in range(256) if b >= 128 or chr(b).isalpha()]] = True
 _IS_SIGN = np.zeros(256, bool)
 _IS_SIGN[[b for s in _SIGNS for b in s.encode()[-1:]]] = True
-_KEEP_SIGN, _REPLACE, _SHORTEN = -6.0, -1.0, -0.5
+# Log costs of the channel: a sign stands for itself (less behind another one, or at the edge of a word
+# for punctuation, least for "!", "(" and emphasis of three), a sign stands for a letter, a run is shortened;
+# letters set apart are one word at all, and a gap between them is real.
+_KEEP_SIGN, _KEEP_NEXT, _KEEP_EDGE, _KEEP_EMPHASIS = -8.0, -2.0, -4.0, -1.0
+_REPLACE, _SHORTEN, _APART, _SPLIT = -1.0, -0.5, -2.0, -5.0
+_PUNCTUATION, _OFTEN, _EMPHASIS = frozenset("|+*#"), frozenset("!("), frozenset("!|+*(#$")
+_BEGIN, _AFTER_SIGN = "^^", "^"
+_LONGEST_REMEMBERED = 64
+
+
+def _keep(sign: str, times: int) -> float:
+    """What it costs that signs at the edge of a word stand for themselves."""
+    if sign in _OFTEN or (times > 2 and sign in _EMPHASIS):
+        return _KEEP_EMPHASIS
+    if sign in _PUNCTUATION:
+        return _KEEP_EDGE
+    return _KEEP_SIGN if sign.isdigit() else _KEEP_SIGN * min(times, 2)
 
 
 @dataclass
@@ -74,6 +92,7 @@ class SpellingModel:
     pairs: Counter = field(default_factory=Counter)
     single: Counter = field(default_factory=Counter)
     memo: dict[str, str] = field(default_factory=dict)
+    steps: dict[tuple, tuple[float, str]] = field(default_factory=dict)
 
     def __post_init__(self):
         for gram, n in self.trigrams.items():
@@ -88,38 +107,103 @@ class SpellingModel:
         p1 = (self.single[letter] + 0.1) / (self.total + 10)
         return math.log(0.7 * p3 + 0.25 * p2 + 0.05 * p1)
 
-    def restore(self, word: str) -> str:
-        """The likeliest spelling of a disguised word."""
-        if len(word) > LONGEST_WORD:
+    def restore(self, word: str, apart: bool = False) -> str:
+        """The likeliest spelling of a disguised word, or of letters set apart by single characters."""
+        if not _HAS_LETTER.search(word):
             return word
+        if len(word) > _LONGEST_REMEMBERED:
+            return self._decode(word, apart)
         if word not in self.memo:
             if len(self.memo) > 200_000:
                 self.memo.clear()
-            self.memo[word] = self._decode(word)
+            self.memo[word] = self._decode(word, apart)
         return self.memo[word]
 
-    def _decode(self, word: str) -> str:
-        if re.fullmatch(r"(?:[^\W\d_][ .\-_])+[^\W\d_]", word):
-            word = re.sub(r"[ .\-_]", "", word)
-        # best[last two letters] = (log probability, spelling)
-        best = {"^^": (0.0, "")}
-        for run in re.finditer(r"(.)\1*", word):
-            char, size = run[1], len(run[0])
-            options = [(char, _KEEP_SIGN if char in LOOK_ALIKES else 0.0)]
-            options += [(letter, _REPLACE) for letter in LOOK_ALIKES.get(char, "")]
-            lengths = {size: 0.0} if size < 3 else {1: _SHORTEN, 2: _SHORTEN, size: 0.0}
-            step: dict[str, tuple[float, str]] = {}
-            for letter, channel in options:
-                for length, shorter in lengths.items():
-                    for state, (score, text) in best.items():
-                        value, last = score + shorter, state
-                        for _ in range(length):
-                            value += channel + self.log(last, letter)
-                            last = last[1] + letter
-                        if value > step.get(last, (-math.inf, ""))[0]:
-                            step[last] = (value, text + letter * length)
-            best = step
-        return max((score + self.log(state, "$"), text) for state, (score, text) in best.items())[1]
+    def _append(self, state: str, letter: str, length: int) -> tuple[float, str]:
+        """(log probability, new state) of ``length`` times a letter; all from the third on are alike."""
+        known = self.steps.get((state, letter, length))
+        if known is None:
+            value, last = 0.0, _BEGIN if state == _AFTER_SIGN else state
+            for _ in range(min(length, 3)):
+                more = self.log(last, letter)
+                value, last = value + more, last[1] + letter
+            if length > 3:
+                value += (length - 3) * more
+            known = value, last
+            if len(self.steps) > 1_000_000:
+                self.steps.clear()
+            self.steps[state, letter, length] = known
+        return known
+
+    def _single(self, letter: str) -> float:
+        value, state = self._append(_BEGIN, letter, 1)
+        return value + self._end(state)
+
+    def _end(self, state: str) -> float:
+        return 0.0 if state in (_BEGIN, _AFTER_SIGN) else self._append(state, "$", 1)[0]
+
+    def _decode(self, word: str, apart: bool) -> str:
+        if apart:
+            runs, gaps = [(c, 1) for c in word[::2]], word[1::2]
+        else:
+            runs, gaps = [(m[1], len(m[0])) for m in re.finditer(r"(.)\1*", word)], ""
+            # One letter again and again has no word behind it.
+            if len(runs) == 1:
+                return word
+        tail = len(runs)
+        while tail and runs[tail - 1][0] in LOOK_ALIKES:
+            tail -= 1
+        # best[i][state]: (log probability, what led there) of the first i runs; the state is the last two
+        # letters. What led there is a chain of (chain, piece), so that no spelling is copied.
+        best: list[dict] = [{} for _ in range(len(runs) + 1)]
+        best[0] = {_BEGIN: (0.0, None)}
+        equal_until = 0
+        for i, (char, size) in enumerate(runs):
+            sign = char in LOOK_ALIKES
+            letters = LOOK_ALIKES[char] if sign else char
+            channel = _REPLACE if sign else 0.0
+            # (runs taken, letters, cost)
+            spans = [(1, size, 0.0)]
+            if size > 2:
+                spans += [(1, 1, _SHORTEN), (1, 2, _SHORTEN)]
+            elif apart and i >= equal_until:
+                equal_until = i + 1
+                while equal_until < len(runs) and runs[equal_until][0] == char:
+                    equal_until += 1
+                taken = equal_until - i
+                if taken > 2:
+                    spans += [(taken, length, _SHORTEN) for length in (1, 2)]
+            starts = best[i]
+            best[i] = {}
+            if gaps and i:
+                # A gap is kept as the border of two words, or left out.
+                starts_with_gap = {state: found for state, found in starts.items() if state != _AFTER_SIGN}
+                for state, (score, chain) in starts.items():
+                    value, begin = score + self._end(state) + _SPLIT, _AFTER_SIGN if state == _AFTER_SIGN else _BEGIN
+                    if value > starts_with_gap.get(begin, (-math.inf,))[0]:
+                        starts_with_gap[begin] = (value, (chain, gaps[i - 1]))
+                starts = starts_with_gap
+            keep = _keep(char, size) if i == 0 or i >= tail else _KEEP_SIGN
+            for state, (score, chain) in starts.items():
+                if sign:
+                    value = score + self._end(state) + (_KEEP_NEXT if state == _AFTER_SIGN else keep)
+                    if value > best[i + 1].get(_AFTER_SIGN, (-math.inf,))[0]:
+                        best[i + 1][_AFTER_SIGN] = (value, (chain, char * size))
+                for taken, length, cost in spans:
+                    step = best[i + taken]
+                    for letter in letters:
+                        more, last = self._append(state, letter, length)
+                        value = score + channel + cost + more
+                        if value > step.get(last, (-math.inf,))[0]:
+                            step[last] = (value, (chain, letter * length))
+        value, _, chain = max((score + self._end(state), state, chain) for state, (score, chain) in best[-1].items())
+        if apart and value + _APART <= sum(_KEEP_NEXT if c in LOOK_ALIKES else self._single(c) for c, _ in runs):
+            return word
+        pieces = []
+        while chain:
+            chain, piece = chain
+            pieces.append(piece)
+        return "".join(reversed(pieces))
 
 
 def disguised_rows(offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
@@ -149,7 +233,7 @@ def restored(texts: pa.Array, spelling: SpellingModel) -> pa.Array:
     for start, offsets, data in text_slices(lower):
         for row in disguised_rows(offsets, data).tolist():
             text = lower[start + row].as_py()
-            new = _DISGUISED.sub(lambda m: spelling.restore(m[0]), text)
+            new = _DISGUISED.sub(lambda m: spelling.restore(m[0], m["apart"] is not None), text)
             if new != text:
                 changed[start + row] = new
     if not changed:

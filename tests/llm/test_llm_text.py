@@ -156,6 +156,21 @@ def test_disguised_words_are_restored():
     assert toxicity.restored(pa.array([None, "A"]), spelling).to_pylist() == ["", "a"]
 
 
+def spelling_of(words):
+    trigrams = Counter(f"^^{w}$"[i : i + 3] for w in words.split() for i in range(len(w) + 1))
+    return toxicity.SpellingModel(dict(trigrams))
+
+
+def test_long_disguised_words_are_restored():
+    spelling = spelling_of("idiot stupid moron trash worthless pathetic clown loser look at this the green letter book")
+    cases = {"idi" + "o" * 30 + "t": "idiot", "st" + "u" * 500_000 + "p1d": "stupid", "l" + "0" * 40 + "ser": "loser", "m o o o r o n": "moron"}
+    cases[" ".join("pathetic" + "worthless")] = "pathetic worthless"
+    for disguised, word in cases.items():
+        assert toxicity.restored(pa.array([f"see {disguised}, ok"]), spelling)[0].as_py().replace(" ", "") == f"see{word},ok".replace(" ", "")
+    many = "1d10t" * 20_000
+    assert toxicity.restored(pa.array([many]), spelling)[0].as_py() == "idiot" * 20_000
+
+
 def test_toxicity_generalises_to_disguised_words(spark, documents):
     generator = random.Random(5)
     vocabulary = ["".join(generator.choices("aeioustlr", k=generator.randint(3, 8))) for _ in range(400)]
