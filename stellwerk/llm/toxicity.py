@@ -1,7 +1,7 @@
 """Toxicity of texts: noisy-channel restoration of disguised words, then a linear score.
 
-Disguised words are letters mixed with look-alike digits and signs, single letters set apart, and letters
-repeated three times or more. Each is a lattice: a look-alike stands for one of several letters or for
+Disguised words are letters mixed with look-alike digits and signs (in front, inside or behind), three or
+more single letters or signs set apart, and letters repeated three times or more. Each is a lattice: a look-alike stands for one of several letters or for
 itself and then separates words, a run for one, two or all of its letters, and a gap between
 letters set apart is left out or the border of two words. A Viterbi search over the lattice picks the spelling
 that channel and character language model (trigrams of words, counted in the learned texts)
@@ -52,23 +52,29 @@ LOOK_ALIKES = {
     "@": "a", "$": "s", "!": "il", "|": "li", "+": "t", "*": "aeiou", "€": "e", "£": "l", "(": "c", "#": "h",
 }
 _SIGNS = "".join(LOOK_ALIKES)
-# A word with a sign in front of a letter, a run of three equal letters, or four letters set apart.
+_LETTER, _MARK = r"[^\W\d_]", f"[{re.escape(_SIGNS)}]"
+_ANY = rf"(?:{_LETTER}|{_MARK})"
+# Three letters or signs set apart; a token of letters and signs, or of letters with a run of three equal ones.
 _DISGUISED = re.compile(
-    rf"(?<!\w)(?P<apart>(?:[^\W\d_][ .\-_]){{3,}}[^\W\d_])(?!\w)"
-    rf"|(?<![^\W\d_])(?=[^\s]*(?:[{re.escape(_SIGNS)}][^\W\d_]|([^\W\d_])\2\2))[{re.escape(_SIGNS)}]*[^\W\d_](?:[^\W\d_]|[{re.escape(_SIGNS)}]+(?=[^\W\d_]))*"
+    rf"(?<!\w)(?P<apart>(?:{_ANY}[ .\-_]){{2,}}{_ANY})(?!\w)"
+    rf"|(?<!{_LETTER})(?<!{_MARK})(?:(?={_LETTER}++{_MARK})|(?={_MARK}++{_LETTER})|(?={_LETTER}*?({_LETTER})\2\2)){_ANY}++"
 )
-_HAS_LETTER = re.compile(r"[^\W\d_]")
+_HAS_LETTER = re.compile(_LETTER)
 _CLEAN = np.arange(256, dtype=np.uint8)
 _CLEAN[[b for b in range(128) if not chr(b).isalnum()]] = 32
 _IS_LETTER = np.zeros(256, bool)
 _IS_LETTER[[b for b in range(256) if b >= 128 or chr(b).isalpha()]] = True
 _IS_SIGN = np.zeros(256, bool)
 _IS_SIGN[[b for s in _SIGNS for b in s.encode()[-1:]]] = True
+# First bytes of letters of two, three and four bytes start here.
+_LEADS = np.array([0xC0, 0xE0, 0xF0], np.uint8)
+_IS_GAP = np.zeros(256, bool)
+_IS_GAP[[ord(c) for c in " .-_"]] = True
 # Log costs of the channel: a sign stands for itself (less behind another one, or at the edge of a word
 # for punctuation, least for "!", "(" and emphasis of three), a sign stands for a letter, a run is shortened;
 # letters set apart are one word at all, and a gap between them is real.
 _KEEP_SIGN, _KEEP_NEXT, _KEEP_EDGE, _KEEP_EMPHASIS = -8.0, -2.0, -4.0, -1.0
-_REPLACE, _SHORTEN, _APART, _SPLIT = -1.0, -0.5, -2.0, -5.0
+_REPLACE, _SHORTEN, _APART, _SPLIT = -1.0, -0.5, -5.0, -5.0
 _PUNCTUATION, _OFTEN, _EMPHASIS = frozenset("|+*#"), frozenset("!("), frozenset("!|+*(#$")
 _BEGIN, _AFTER_SIGN = "^^", "^"
 _LONGEST_REMEMBERED = 64
@@ -207,22 +213,35 @@ class SpellingModel:
 
 
 def disguised_rows(offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
-    """Rows that may hold a disguised word: a sign in front of a letter, three equal letters, letters set apart."""
-    if len(data) < 3:
+    """Rows that may hold a disguised word: a sign beside a letter, three equal letters, three letters or signs set apart."""
+    n = len(data)
+    if n < 2:
         return np.empty(0, np.int64)
-    letter = _IS_LETTER[data]
-    hit = np.zeros(len(data), bool)
-    hit[:-1] |= _IS_SIGN[data[:-1]] & letter[1:]
-    # Byte by byte for ASCII, by two bytes for the letters of two.
+    letter, sign = _IS_LETTER[data], _IS_SIGN[data]
+    hit = np.zeros(n, bool)
+    hit[:-1] |= sign[:-1] & letter[1:]
+    hit[:-1] |= letter[:-1] & sign[1:]
+    # Three equal letters: byte by byte for ASCII, from their first bytes for longer ones.
     hit[2:] |= letter[2:] & (data[2:] == data[1:-1]) & (data[1:-1] == data[:-2])
-    if len(data) > 5:
-        pair = data[2:] == data[:-2]
-        hit[5:] |= letter[5:] & pair[3:] & pair[2:-1] & pair[1:-2] & pair[:-3] & (data[5:] >= 128)
-    alone = letter.copy()
-    alone[1:] &= ~letter[:-1]
-    alone[:-1] &= ~letter[1:]
-    if len(data) > 6:
-        hit[6:] |= alone[6:] & alone[4:-2] & alone[2:-4] & alone[:-6]
+    for size, low, high in ((2, 0xC0, 0xDF), (3, 0xE0, 0xEF), (4, 0xF0, 0xF7)):
+        at = np.flatnonzero((data >= low) & (data <= high))
+        at = at[at + 3 * size <= n]
+        for i in range(2 * size):
+            at = at[data[at + i] == data[at + i + size]]
+        hit[at] = True
+    # The middle one of three set apart lies between two gaps.
+    gap = np.flatnonzero(_IS_GAP[data])
+    begin, end = gap[:-1], gap[1:]
+    size = np.searchsorted(_LEADS, data[np.minimum(begin + 1, n - 1)], "right") + 1
+    middle = (end - begin == size + 1) & (begin > 0) & (end < n - 1)
+    begin, end = begin[middle], end[middle]
+    word = np.concatenate([letter | sign, [False]])
+    border = np.zeros(n + 1, bool)
+    border[offsets] = True
+    # Longer letters beside the gaps are looked at by the expression.
+    before = word[begin - 1] & ((data[begin - 1] >= 128) | border[begin - 1] | ~word[begin - 2] | sign[begin - 1])
+    after = word[end + 1] & ((data[end + 1] >= 128) | border[end + 2] | ~word[end + 2])
+    hit[begin[word[begin + 1] & before & after]] = True
     return np.unique(np.searchsorted(offsets, np.flatnonzero(hit), "right") - 1)
 
 

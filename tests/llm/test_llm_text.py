@@ -171,6 +171,27 @@ def test_long_disguised_words_are_restored():
     assert toxicity.restored(pa.array([many]), spelling)[0].as_py() == "idiot" * 20_000
 
 
+def test_signs_behind_letters_and_among_letters_set_apart_are_read():
+    spelling = spelling_of("idiot stupid moron trash worthless pathetic clown loser look at this the green letter book you are né")
+    cases = {"idio7": "idiot", "tra5#": "trash", "worthle$$": "worthless", "m 0 r 0 n": "moron", "s t u p 1 d": "stupid", "y o u": "you", "y-0-u": "you"}
+    cases |= {"1 d 1 0 7": "idiot", "l0s3r": "loser"}
+    rows = [text for disguised in cases for text in (disguised, f"the {disguised}", f"{disguised} book", f"look: {disguised}, letter")]
+    want = [text for word in cases.values() for text in (word, f"the {word}", f"{word} book", f"look: {word}, letter")]
+    # All rows in one array, so that neighbours touch.
+    assert toxicity.restored(pa.array(rows), spelling).to_pylist() == want
+    plain = ["this book!", "look at (the letter", "the green***", "1 2 3 4", "a 1 b 2", "3,5 + 4", "look at 100% of this!!"]
+    assert toxicity.restored(pa.array(plain), spelling).to_pylist() == plain
+
+
+def test_every_row_the_expression_would_read_is_found():
+    generator = random.Random(8)
+    rows = ["".join(generator.choices("aé日𐐀1$!. -,x€", k=generator.randint(0, 9))) for _ in range(20_000)]
+    column = pa.array(rows, pa.large_string())
+    found = {start + row for start, offsets, data in text_slices(column) for row in toxicity.disguised_rows(offsets, data).tolist()}
+    wanted = {i for i, text in enumerate(rows) if any(any(c.isalpha() for c in m[0]) for m in toxicity._DISGUISED.finditer(text))}
+    assert wanted <= found
+
+
 def test_toxicity_generalises_to_disguised_words(spark, documents):
     generator = random.Random(5)
     vocabulary = ["".join(generator.choices("aeioustlr", k=generator.randint(3, 8))) for _ in range(400)]
