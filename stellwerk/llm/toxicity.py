@@ -4,7 +4,7 @@ Disguised words are letters mixed with look-alike digits and signs (in front, in
 more single letters or signs set apart, and letters repeated three times or more. Each is a lattice: a look-alike stands for one of several letters or for
 itself and then separates words, a run for one, two or all of its letters, and a gap between
 letters set apart is left out or the border of two words. A Viterbi search over the lattice picks the spelling
-that channel and character language model (trigrams of words, counted in the learned texts)
+that channel and character language model (all trigrams of words of all learned texts)
 together find likeliest, in time linear in the token's runs, however long it is. One letter again and
 again has no word behind it and stays, as does everything else of a text.
 
@@ -36,10 +36,8 @@ BITS = 22
 SIZES = (4, 5, 6)
 MOST_FEATURES = 2_048
 LEAST_TOXIC = 3
-# Rows of the sample that the weights are fitted on, and of the one that the language model counts.
+# Rows of the sample that the weights are fitted on.
 TRAINING_ROWS = 20_000
-LANGUAGE_ROWS = 4_000
-MOST_TRIGRAMS = 200_000
 # Labels up to this many rows are sent to the tasks; beyond it the texts are shuffled to them.
 BROADCAST_LABELS = 1_000_000
 # Three n-gram sizes at once make many temporary arrays: shorter slices than elsewhere.
@@ -59,6 +57,9 @@ _DISGUISED = re.compile(
     rf"(?<!\w)(?P<apart>(?:{_ANY}[ .\-_]){{2,}}{_ANY})(?!\w)"
     rf"|(?<!{_LETTER})(?<!{_MARK})(?:(?={_LETTER}++{_MARK})|(?={_MARK}++{_LETTER})|(?={_LETTER}*?({_LETTER})\2\2)){_ANY}++"
 )
+_WORD = re.compile(rf"{_LETTER}+")
+# Distinct words and trigrams that a task holds before it passes their counts on.
+_MOST_WORDS, _MOST_GRAMS = 200_000, 500_000
 _HAS_LETTER = re.compile(_LETTER)
 _CLEAN = np.arange(256, dtype=np.uint8)
 _CLEAN[[b for b in range(128) if not chr(b).isalnum()]] = 32
@@ -283,21 +284,36 @@ def _sample(rows: DataFrame, most: int, total: int) -> DataFrame:
 
 
 def count_trigrams(texts: DataFrame) -> dict[str, int]:
-    """The most frequent trigrams of letters of the words of ``text``, with marks for begin and end."""
+    """All trigrams of letters of the words of all rows of ``text``, with marks for begin and end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words: Counter[str] = Counter()
         total: Counter[str] = Counter()
+
+        def spell() -> None:
+            for word, n in words.items():
+                marked = f"^^{word}$"
+                for i in range(len(marked) - 2):
+                    total[marked[i : i + 3]] += n
+            words.clear()
+
+        def emitted() -> pa.RecordBatch:
+            spell()
+            batch = pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["gram", "n"])
+            total.clear()
+            return batch
+
         for batch in batches:
             for text in batch.column("text"):
-                words = Counter(re.findall(r"[^\W\d_]+", (text.as_py() or "").lower()))
-                for word, n in words.items():
-                    marked = f"^^{word}$"
-                    for i in range(len(marked) - 2):
-                        total[marked[i : i + 3]] += n
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["gram", "n"])
+                words.update(_WORD.findall((text.as_py() or "").lower()))
+                if len(words) > _MOST_WORDS:
+                    spell()
+                if len(total) > _MOST_GRAMS:
+                    yield emitted()
+        yield emitted()
 
-    counted = texts.select("text").mapInArrow(run, "gram string, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
-    return {r["gram"]: r["n"] for r in counted.orderBy(F.desc("n"), "gram").limit(MOST_TRIGRAMS).collect()}
+    counted = texts.select("text").mapInArrow(run, "gram string, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
+    return dict(zip(counted.column("gram").to_pylist(), counted.column("n").to_pylist()))
 
 
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, learn: Column | None = None) -> ToxicityModel:
@@ -308,7 +324,7 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, learn: Column
     if learn is not None:
         rows = rows.filter(learn)
     rows = rows.join(F.broadcast(known) if n_labels <= BROADCAST_LABELS else known, "doc_id").filter("text IS NOT NULL")
-    spelling = count_trigrams(_sample(rows, LANGUAGE_ROWS, n_labels))
+    spelling = count_trigrams(rows)
     shared = spark.sparkContext.broadcast(spelling)
 
     def associate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

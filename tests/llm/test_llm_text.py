@@ -192,6 +192,18 @@ def test_every_row_the_expression_would_read_is_found():
     assert wanted <= found
 
 
+def test_the_spelling_model_counts_all_learned_rows(spark, documents):
+    rows = [(i, f"common words {i}") for i in range(9_000)] + [(9_000, "xylograph Ärger"), (9_001, "unlearned"), (9_002, None)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in rows], "doc_id bigint, toxic int")
+    model = toxicity.train(spark, documents(rows), labels, learn=F.col("doc_id") != 9_001)
+    want = Counter()
+    for i, text in rows:
+        if i != 9_001:
+            for word in regex.findall(r"\p{L}+", (text or "").lower()):
+                want.update(f"^^{word}$"[k : k + 3] for k in range(len(word) + 1))
+    assert model.spelling == want and model.spelling["^^x"] == 1
+
+
 def test_toxicity_generalises_to_disguised_words(spark, documents):
     generator = random.Random(5)
     vocabulary = ["".join(generator.choices("aeioustlr", k=generator.randint(3, 8))) for _ in range(400)]
