@@ -13,7 +13,8 @@ the answer must each occur in the passage. Without columns of those names, the l
 item is its answer and the rest its question (one sentence alone is both).
 
 The index is built on the driver for a shard of items at a time; the shards' size is bounded, and
-their number grows with the benchmark. Null or short items (below ``MIN_WORDS`` words) are not indexed: they would
+their number grows with the benchmark. Every distinct row of the benchmark is an item, whatever its id: rows that share
+an id are found one by one, and those without an id are found with a null one. Null or short texts of items (below ``MIN_WORDS`` words) are not indexed: they would
 fit anywhere. Null or empty texts match nothing.
 """
 
@@ -86,26 +87,28 @@ class Lists:
 @dataclass(frozen=True)
 class Index:
     terms: dict[bytes, int]
-    items: list[int]  # item of each entry
-    parts: dict[int, tuple[set, set]]  # n-grams of question and answer
+    items: list[int]  # item of each entry, by its place among the rows
+    ids: list[int | None]  # id of each item, which others may share
+    parts: list[tuple[set, set]]  # n-grams of question and answer
     entries: Lists
     blocks: Lists
     greatest: np.ndarray
     frequent: np.ndarray
 
 
-def build_index(rows: list[tuple[int, str, str, str]]) -> Index:
-    """Index (item, text, question, answer) rows."""
-    entries, items, parts = [], [], {}
+def build_index(rows: list[tuple[int | None, str, str, str]]) -> Index:
+    """Index (item id, text, question, answer) rows; rows with the same id or none are items of their own."""
+    entries, items, ids, parts = [], [], [], []
     for item, text, question, answer in rows:
         words = _words(text)
         if len(words) < MIN_WORDS:
             continue
-        parts[item] = (_grams(_words(question)), _grams(_words(answer)))
+        parts.append((_grams(_words(question)), _grams(_words(answer))))
+        ids.append(item)
         cut = max(1, round(len(words) / STEP))
         for part in np.array_split(np.arange(len(words)), cut):
             entries.append(Counter(words[i] for i in part))
-            items.append(item)
+            items.append(len(ids) - 1)
     terms = {term: i for i, term in enumerate(sorted(set().union(*entries)))} if entries else {}
     df = np.zeros(len(terms))
     for entry in entries:
@@ -114,11 +117,11 @@ def build_index(rows: list[tuple[int, str, str, str]]) -> Index:
     mean = np.mean([sum(e.values()) for e in entries]) if entries else 1.0
     term, place, weight = [], [], []
     for number, entry in enumerate(entries):
-        ids = np.array([terms[t] for t in entry])
+        own_terms = np.array([terms[t] for t in entry])
         tf = np.array(list(entry.values()), float)
-        own = idf[ids] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sum(entry.values()) / mean))
-        term.append(ids)
-        place.append(np.full(len(ids), number))
+        own = idf[own_terms] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sum(entry.values()) / mean))
+        term.append(own_terms)
+        place.append(np.full(len(own_terms), number))
         weight.append(own / own.sum())
     term, place, weight = (np.concatenate(x) if x else np.empty(0) for x in (term, place, weight))
     order = np.lexsort((place, term))
@@ -134,6 +137,7 @@ def build_index(rows: list[tuple[int, str, str, str]]) -> Index:
     return Index(
         terms,
         items,
+        ids,
         parts,
         Lists(np.searchsorted(term, numbers), place, weight),
         Lists(np.searchsorted(block_term, numbers), block, block_max),
@@ -170,8 +174,8 @@ def retrieve(index: Index, passage: np.ndarray, term: np.ndarray, passages: int,
     return key[found] // n_entries, key[found] % n_entries, score[found]
 
 
-def matches(index: Index, texts: pa.Array, threshold: float, overlap: float) -> Iterator[tuple[int, int, float, float, float]]:
-    """(row, item, score, question overlap, answer overlap) for every verified match, by its best passage."""
+def matches(index: Index, texts: pa.Array, threshold: float, overlap: float) -> Iterator[tuple[int, int | None, float, float, float]]:
+    """(row, item id, score, question overlap, answer overlap) for every verified match, by its best passage."""
     if not index.items:
         return
     for start, offsets, data in text_slices(pc.utf8_lower(texts)):
@@ -203,7 +207,7 @@ def matches(index: Index, texts: pa.Array, threshold: float, overlap: float) ->
             if min(shares) >= overlap:
                 best[row, item] = max(best.get((row, item), (0.0, 0.0, 0.0)), (s, *shares))
         for (row, item), found in best.items():
-            yield (start + row, item, *found)
+            yield (start + row, index.ids[item], *found)
 
 
 def indexes(spark: SparkSession, items: DataFrame) -> Iterator[Broadcast]:
@@ -213,8 +217,8 @@ def indexes(spark: SparkSession, items: DataFrame) -> Iterator[Broadcast]:
     given = {"question", "answer"} <= set(items.columns)
     columns = ["item_id", "text", *(["question", "answer"] if given else [])]
     for shard in range(shards):
-        part = items.select(*columns).filter("item_id IS NOT NULL AND text IS NOT NULL")
-        rows = part.filter(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == shard).distinct().orderBy(*columns).collect()
+        part = items.select(*columns).filter("text IS NOT NULL")
+        rows = part.filter(F.pmod(F.xxhash64(*columns), F.lit(shards)) == shard).distinct().orderBy(*columns).collect()
         full = [tuple(r) if given else (r[0], r[1], *question_and_answer(r[1])) for r in rows]
         yield spark.sparkContext.broadcast(build_index([(i, t, q or "", a or "") for i, t, q, a in full]))
 
@@ -224,7 +228,7 @@ def contaminations(
 ) -> DataFrame:
     """``doc_id, item_id, score, question_overlap, answer_overlap``: every document that holds an item.
 
-    A row per document row and item; documents without a match have no row.
+    A row per document row and item (two where two items of one id are held); documents without a match have no row.
     """
     parts = []
     for index in indexes(spark, items):

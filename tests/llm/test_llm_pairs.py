@@ -153,6 +153,18 @@ def test_given_question_and_answer_must_both_overlap(spark, documents):
     assert [r.doc_id for r in decontaminate.contaminations(spark, documents(rows), items).collect()] == [2]
 
 
+@pytest.mark.parametrize("shard_bytes", [decontaminate.SHARD_BYTES, 100])
+def test_items_of_one_id_and_without_id_are_all_found(spark, documents, monkeypatch, shard_bytes):
+    monkeypatch.setattr(decontaminate, "SHARD_BYTES", shard_bytes)
+    texts = ["Who wrote the long red book about stars? Jane Miller the second.", "Which river runs past seven old stone mills? The slow green Oder.", "What do nine grey owls eat at night? Mice and small beetles."]
+    texts.append("When did the last tram leave the harbour? Long before the storm.")
+    items = spark.createDataFrame(list(zip([0, 0, None, None], texts)), "item_id bigint, text string")
+    rows = [(i, f"so they asked {text} and then left") for i, text in enumerate(texts)] + [(4, "nothing of all that"), (5, f"{texts[0]} {texts[1]}")]
+    found = sorted((r.doc_id, r.item_id) for r in decontaminate.contaminations(spark, documents(rows), items).collect())
+    assert found == [(0, 0), (1, 0), (2, None), (3, None), (5, 0), (5, 0)]
+    assert [r.doc_id for r in decontaminate.keep_clean(spark, documents(rows), items).collect()] == [4]
+
+
 # --- urls
 
 
