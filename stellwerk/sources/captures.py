@@ -108,7 +108,8 @@ def latest_details(captures: DataFrame, kind: str, wanted: DataFrame | None = No
 
     Which capture that is, is found on narrow columns: time and a hash of the body, which
     decides between captures of the same time. Bodies are only fetched for the chosen ones, by
-    a hash join whose small side are the keys, so that no body is sorted.
+    a hash join whose small side are the keys, so that no body is sorted. A capture without a time
+    comes before all others, and a null body may be the chosen one.
     """
     pages = captures.filter(F.col("kind") == kind).select("platform", "url", "observed_at", "body")
     keys = ["platform", "url"]
@@ -116,9 +117,12 @@ def latest_details(captures: DataFrame, kind: str, wanted: DataFrame | None = No
     chosen = marked.groupBy(*keys).agg(F.max(F.struct("observed_at", "digest")).alias("c")).select(*keys, "c.*")
     if wanted is not None:
         chosen = chosen.join(wanted.select(*keys).distinct(), keys)
-    found = marked.join(chosen.hint("shuffle_hash"), [*keys, "observed_at", "digest"])
+    parts = [*keys, "observed_at", "digest"]
+    same = chosen.select(*(F.col(c).alias(f"chosen_{c}") for c in parts)).hint("shuffle_hash")
+    on = [F.col(c).eqNullSafe(F.col(f"chosen_{c}")) for c in parts]
     # The same capture kept several times: all have one body.
-    return found.groupBy(*keys, "observed_at").agg(F.collect_set("body")[0].alias("body"))
+    found = marked.join(same, on, "left_semi")
+    return found.groupBy(*keys, "observed_at").agg(F.array_min(F.collect_set("body")).alias("body"))
 
 
 def parse_details(captures: DataFrame, wanted: DataFrame | None = None) -> DataFrame:

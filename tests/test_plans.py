@@ -1,6 +1,7 @@
 """What the physical plans must look like."""
 
 import re
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -108,6 +109,18 @@ def test_only_chosen_bodies_are_fetched_and_none_is_sorted(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
 
 
+def test_captures_without_time_or_body_are_found(spark):
+    schema = "platform string, url string, kind string, observed_at timestamp, body string"
+    early, late = datetime(2024, 1, 1), datetime(2024, 1, 2)
+    rows = [("Xing", "a", "detail", None, "x"), ("Xing", "b", "detail", late, None), ("Xing", "b", "detail", early, "old"), ("Xing", "c", "detail", None, None)]
+    rows += [("Xing", "d", "detail", None, "none"), ("Xing", "d", "detail", early, "timed"), ("Xing", None, "detail", early, "y")]
+    frame = spark.createDataFrame(rows + rows, schema)
+    found = {(r.url, r.observed_at, r.body) for r in captures.latest_details(frame, "detail").collect()}
+    assert found == {("a", None, "x"), ("b", late, None), ("c", None, None), ("d", early, "timed"), (None, early, "y")}
+    wanted = frame.filter("url IN ('a', 'b')").select("platform", "url")
+    assert {(r.url, r.body) for r in captures.latest_details(frame, "detail", wanted).collect()} == {("a", "x"), ("b", None)}
+
+
 @pytest.mark.parametrize("step", ["anti_ledger", "join_detail", "join_responses"])
 def test_hot_key_is_split(spark, step):
     """A third of all postings share one id and one link; the join splits their partition."""
