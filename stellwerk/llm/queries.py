@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stellwerk.llm import ann, bpe, chat, ctw, decontaminate, jaccard, langid, quality, toxicity, url_filter, warc
+from stellwerk.llm import ann, bpe, chat, ctw, decontaminate, jaccard, langid, quality, spelling, toxicity, url_filter, warc
 from stellwerk.llm.batches import remainder, stored, table
 from stellwerk.session import new_run_dir
 
@@ -159,3 +159,51 @@ def op12_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     formatted = stored(chat.format_conversations(talks.unionByName(planted.toDF(*columns))), "formatted")
     return chat.read_back(formatted)
+
+
+@query(
+    "op13_spelling",
+    r"""
+WITH RECURSIVE crc_table AS (
+  SELECT list(v ORDER BY i) AS crc FROM (
+    SELECT i, list_reduce([i] || range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS v
+    FROM (SELECT unnest(range(256)) AS i)
+  )
+),
+runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS run FROM documents
+),
+counted AS (
+  SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS c FROM runs GROUP BY ALL
+),
+coded AS (
+  SELECT run, c, list_transform(range(0, strlen(doc_id || ':' || run)),
+      lambda i: ('0x' || substr(hex(encode(doc_id || ':' || run)), 2 * i + 1, 2))::BIGINT) AS bytes FROM counted
+),
+hashed AS (
+  SELECT run, c, xor(list_reduce([4294967295::BIGINT] || bytes, lambda a, b: xor(crc[(xor(a, b) & 255) + 1], a // 256)), 4294967295::BIGINT) AS h
+  FROM coded, crc_table
+),
+words AS (
+  SELECT CASE WHEN h % 97 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, sum(c)::BIGINT AS n
+  FROM hashed GROUP BY 1 HAVING length(word) >= 5 AND sum(c) >= 3
+),
+shorter AS (
+  SELECT word, n, i, left(word, i) || substr(word, i + 2) AS rest FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)
+),
+pairs AS (
+  SELECT a.word, b.word AS near, b.n AS near_n FROM shorter a JOIN shorter b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM shorter a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM shorter a JOIN words b ON a.rest = b.word
+),
+best AS (SELECT word, count(*) AS n_near, min({'less': -near_n, 'near': near}) AS m FROM pairs GROUP BY word),
+formed AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN -m.less >= 2 * n THEN m.near END AS form, CASE WHEN -m.less >= 2 * n THEN -m.less END AS form_n
+  FROM words w LEFT JOIN best b ON w.word = b.word
+),
+walk AS (SELECT word, word AS at FROM formed UNION SELECT w.word, f.form FROM walk w JOIN formed f ON w.at = f.word WHERE f.form IS NOT NULL)
+SELECT f.word, f.n, f.n_near, f.form, f.form_n, w.at AS root
+FROM formed f JOIN walk w ON w.word = f.word JOIN formed e ON e.word = w.at WHERE e.form IS NULL""",
+)
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
