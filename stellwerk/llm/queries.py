@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stellwerk.llm import ann, bpe, chat, ctw, decontaminate, jaccard, langid, quality, spelling, toxicity, url_filter, warc
+from stellwerk.llm import align, ann, bpe, chat, ctw, decontaminate, jaccard, langid, quality, spelling, toxicity, url_filter, warc
 from stellwerk.llm.batches import remainder, stored, table
 from stellwerk.session import new_run_dir
 
@@ -207,3 +207,12 @@ FROM formed f JOIN walk w ON w.word = f.word JOIN formed e ON e.word = w.at WHER
 )
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+@query("op11_align")
+def op11_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.corpus_digests(
+        table(spark, sf_dir, "documents"),
+        (align.ByteLevel, public_tokenizers.path("byte_bpe_50k.json")),
+        (align.Pieces, public_tokenizers.path("piece_bpe_32k.model")),
+    )
