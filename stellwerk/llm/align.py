@@ -25,6 +25,7 @@ from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cached_property, lru_cache
+from itertools import chain, count
 
 import numpy as np
 import pandas as pd
@@ -35,7 +36,10 @@ from pyspark.sql import DataFrame, functions as F
 from stellwerk.llm.batches import stored
 
 # A block of documents ends at so many stretches, or so many different ones.
-BLOCK_STRETCHES, BLOCK_DISTINCT = 1 << 21, 1 << 18
+BLOCK_STRETCHES, BLOCK_DISTINCT = 1 << 20, 1 << 18
+
+# Texts that are encoded and merged at once.
+_AT_ONCE = 1 << 14
 
 _UNCLEAN = re.compile(r"\s | \s|\A \s|\s\Z")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -53,10 +57,14 @@ class Tokenizer:
     def sizes(self) -> np.ndarray:
         return np.array([len(x) for x in self.token_bytes], np.int64)
 
+    @cached_property
+    def names(self) -> list[str]:
+        return [str(i) for i in range(len(self.token_bytes))]
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ids = self._ids(texts)
-        ends = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int64)
-        return np.fromiter((i for x in ids for i in x), np.int64, ends[-1]), ends
+        ends = np.concatenate(([0], np.cumsum(list(map(len, ids)), dtype=np.int64)))
+        return np.fromiter(chain.from_iterable(ids), np.int64, ends[-1]), ends
 
 
 def _byte_of_letter() -> dict[str, int]:
@@ -147,22 +155,39 @@ def overlapping(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         return met.dropna(subset=["place_other"]).rename(columns=columns)[["a", "b", "end_a", "end_b"]].astype(np.int64)
 
     both = pd.concat([covering(a, b, ("a", "b")), covering(b, a, ("b", "a"))], ignore_index=True)
-    return both.drop_duplicates(["a", "b"]).sort_values(["a", "b"], ignore_index=True)
+    # Found from both sides where both tokens start together.
+    _, first = np.unique((both["a"] * max(len(b), 1) + both["b"]).to_numpy(), return_index=True)
+    return both.iloc[first]
 
 
 def align(texts: list[str], a: Tokenizer, b: Tokenizer) -> Aligned:
-    """Align the tokens of ``texts`` (each with its leading space)."""
+    """Align the tokens of ``texts`` (each with its leading space), some of them at a time."""
+    parts, text, groups, tokens = [], 0, 0, (0, 0)
+    for start in range(0, max(len(texts), 1), _AT_ONCE):
+        part = _align(texts[start : start + _AT_ONCE], a, b)
+        moved = part.overlaps + np.array(tokens)
+        parts.append(Aligned(part.intact, part.ids, tuple(x + text for x in part.text_of), moved, tuple(x + groups for x in part.group_of), part.group_text + text))
+        text, groups, tokens = text + len(part.intact), groups + len(part.group_text), tuple(n + len(x) for n, x in zip(tokens, part.ids))
+    if len(parts) == 1:
+        return parts[0]
+    both = lambda name: tuple(np.concatenate([getattr(part, name)[side] for part in parts]) for side in (0, 1))
+    one = lambda name: np.concatenate([getattr(part, name) for part in parts])
+    return Aligned(one("intact"), both("ids"), both("text_of"), pd.concat([part.overlaps for part in parts], ignore_index=True), both("group_of"), one("group_text"))
+
+
+def _align(texts: list[str], a: Tokenizer, b: Tokenizer) -> Aligned:
     plain = [text.encode() for text in texts]
     intact = np.array([text != " " for text in texts], bool)
     encoded = []
+    base = np.concatenate(([0], np.cumsum(list(map(len, plain)), dtype=np.int64)))
     for side in (a, b):
         ids, ends = side.encode(texts)
-        bytes_of = side.token_bytes
-        for i, text in enumerate(plain):
-            if b"".join([bytes_of[n] for n in ids[ends[i] : ends[i + 1]].tolist()]) != text:
-                intact[i] = False
+        joined = b"".join(map(side.token_bytes.__getitem__, ids.tolist()))
+        begin = np.concatenate(([0], np.cumsum(side.sizes[ids])))[ends]
+        if not np.array_equal(begin, base) or joined != b"".join(plain):
+            bounds = begin.tolist()
+            intact &= [joined[i:j] == text for i, j, text in zip(bounds, bounds[1:], plain)]
         encoded.append((ids, ends))
-    base = np.concatenate(([0], np.cumsum([len(text) for text in plain])))[:-1].astype(np.int64)
     frames, kept = [], []
     for side, (ids, ends) in zip((a, b), encoded):
         text = np.repeat(np.arange(len(texts)), np.diff(ends))
@@ -178,11 +203,11 @@ def align(texts: list[str], a: Tokenizer, b: Tokenizer) -> Aligned:
     return Aligned(intact, (kept[0][0], kept[1][0]), (kept[0][1], kept[1][1]), overlaps[["a", "b"]], groups, group_text)
 
 
-def group_texts(found: Aligned) -> list[str]:
+def group_texts(found: Aligned, *tokenizers: Tokenizer) -> list[str]:
     """``a1,a2|b1`` for each group."""
     sides = []
-    for ids, group in zip(found.ids, found.group_of):
-        names = list(map(str, ids.tolist()))
+    for ids, group, tokenizer in zip(found.ids, found.group_of, tokenizers):
+        names = list(map(tokenizer.names.__getitem__, ids.tolist()))
         ends = np.searchsorted(group, np.arange(len(found.group_text) + 1)).tolist()
         sides.append([names[i] if j == i + 1 else ",".join(names[i:j]) for i, j in zip(ends, ends[1:])])
     return [f"{x}|{y}" for x, y in zip(*sides)]
@@ -247,7 +272,7 @@ _BLOCK = (
 )
 
 
-def _pairs_of(found: Aligned, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _pairs_of(found: Aligned, texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(pairs, ends, pair, times): distinct id pairs (A id in the upper half) of all groups, and each text's with
     the number of its links. Equal ids of a group are counted before both sides meet."""
     groups = len(found.group_text)
@@ -267,7 +292,7 @@ def _pairs_of(found: Aligned, count: int) -> tuple[np.ndarray, np.ndarray, np.nd
     first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.empty(0, np.int64)
     text, pair = key[first] // max(len(pairs), 1), key[first] % max(len(pairs), 1)
     summed = np.add.reduceat(times, first) if len(first) else times
-    return pairs, np.searchsorted(text, np.arange(count + 1)), pair, summed
+    return pairs, np.searchsorted(text, np.arange(texts + 1)), pair, summed
 
 
 def _block(number: int, doc_ids: list, docs: list[np.ndarray], texts: list[str], a: Tokenizer, b: Tokenizer) -> dict:
@@ -276,7 +301,7 @@ def _block(number: int, doc_ids: list, docs: list[np.ndarray], texts: list[str],
     found = align(texts, a, b)
     count = len(texts)
     pairs, stretch_ends, stretch_pair, stretch_times = _pairs_of(found, count)
-    named = group_texts(found)
+    named = group_texts(found, a, b)
     group_ends = np.searchsorted(found.group_text, np.arange(count + 1))
     digests = [";".join(named[i:j]) for i, j in zip(group_ends.tolist(), group_ends[1:].tolist())]
     over_ends = np.searchsorted(found.overlaps["a"].to_numpy(), np.searchsorted(found.text_of[0], np.arange(count + 1)))
@@ -298,7 +323,8 @@ def _block(number: int, doc_ids: list, docs: list[np.ndarray], texts: list[str],
     # Each document's distinct pairs, to count the documents of a pair.
     met = np.diff(stretch_ends)[stretch]
     at = np.repeat(stretch_ends[stretch], met) + np.arange(met.sum()) - np.repeat(np.cumsum(met) - met, met)
-    held = np.unique(np.repeat(owner, met) * max(len(pairs), 1) + stretch_pair[at]) % max(len(pairs), 1)
+    held = np.sort(np.repeat(owner, met) * max(len(pairs), 1) + stretch_pair[at])
+    held = held[np.concatenate(([True], held[1:] != held[:-1]))[: len(held)]] % max(len(pairs), 1)
     row["docs"] = np.bincount(held, minlength=len(pairs)).astype(np.int32)
     row["pair"] = pairs
     row["sizes"] = [len(docs), len(stretch), count, len(stretch_pair)]
@@ -322,8 +348,7 @@ def blocks(docs: DataFrame, a: Load, b: Load, most: tuple[int, int] = (BLOCK_STR
         number = TaskContext.get().partitionId() << 32
 
         def fresh() -> tuple[list, list, defaultdict]:
-            numbers: defaultdict[str, int] = defaultdict(lambda: len(numbers))
-            return [], [], numbers
+            return [], [], defaultdict(count().__next__)
 
         doc_ids, held, numbers = fresh()
         length = 0

@@ -90,7 +90,7 @@ def test_stretches_are_tokenised_like_the_whole(text):
 @given(st.lists(odd, min_size=1, max_size=6))
 def test_overlaps_and_groups_of_a_batch(texts):
     found = align.align([" " + t for t in texts], align.loaded(*A), align.loaded(*B))
-    named = align.group_texts(found)
+    named = align.group_texts(found, align.loaded(*A), align.loaded(*B))
     for i, text in enumerate(texts):
         expected = [f"{','.join(map(str, a))}|{','.join(map(str, b))}" for a, b in brute_groups(text)]
         assert [named[g] for g in range(len(named)) if found.group_text[g] == i] == expected
