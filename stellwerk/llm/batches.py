@@ -72,6 +72,16 @@ def map_batches(df: DataFrame, make: Callable[[pa.RecordBatch], Iterator[pa.Reco
     return df.mapInArrow(run, schema)
 
 
+def kept_rows(docs: DataFrame, keep: Callable[[pa.Array], np.ndarray]) -> DataFrame:
+    """The rows of ``docs`` whose text ``keep`` says yes to. Only texts go to Python, only booleans come back."""
+
+    def flags(texts: pa.Array) -> pa.Array:
+        return pa.array(np.asarray(keep(texts), bool))
+
+    flags.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    return docs.filter(F.arrow_udf(flags, "boolean")(F.col("text")))
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write a table to a fresh folder all executors share and read it back.
 

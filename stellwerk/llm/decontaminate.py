@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stellwerk.llm.batches import text_slices
+from stellwerk.llm.batches import kept_rows, text_slices
 
 THRESHOLD = 0.5
 OVERLAP = 0.5
@@ -258,11 +258,10 @@ def keep_clean(spark: SparkSession, docs: DataFrame, items: DataFrame, threshold
     """The rows of ``docs`` that hold no item, with all their columns."""
     for index in indexes(spark, items):
 
-        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                keep = np.ones(len(batch), bool)
-                keep[[m[0] for m in matches(index.value, batch.column("text"), threshold, overlap)]] = False
-                yield batch.filter(pa.array(keep))
+        def clean(texts: pa.Array, index=index) -> np.ndarray:
+            keep = np.ones(len(texts), bool)
+            keep[[m[0] for m in matches(index.value, texts, threshold, overlap)]] = False
+            return keep
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = kept_rows(docs, clean)
     return docs

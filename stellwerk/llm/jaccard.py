@@ -40,7 +40,6 @@ BLOCK = 1 << 20
 RANGE = 1 << 20
 # Longs of parity bits that a class is compared by before its pairs are gathered.
 PARITY = 8
-_REST_BITS = 40
 
 
 def _class_keys(ends: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -64,26 +63,45 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n bigint, key bigint")
 
 
+def _narrow(steps: np.ndarray) -> tuple[int, bytes]:
+    """(bytes a number, the numbers in so many bytes each)."""
+    width = max((int(steps.max(initial=0)).bit_length() + 7) // 8, 1)
+    return width, np.ascontiguousarray(steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+
+
+def _widened(width: int, data: bytes) -> np.ndarray:
+    full = np.zeros((len(data) // width, 8), np.uint8)
+    full[:, :width] = np.frombuffer(data, np.uint8).reshape(-1, width)
+    return full.view("<u8").ravel()
+
+
 def _pack(entries: list[tuple[np.ndarray, np.ndarray]], keys: list[int], bits: int) -> pa.RecordBatch:
-    """One row per range: sorted hashes as differences, each entry's place in ``keys``, and the keys."""
+    """One row per range: sorted hashes as differences, each entry's place among the row's keys, and the keys.
+
+    A row has the keys of its own entries only, so that what a range gets grows with its shingles.
+    """
     hashes, place = (np.concatenate(x) for x in zip(*entries))
     order = np.argsort(hashes)
-    hashes, place = hashes[order], place[order].astype(np.uint16)
-    ranges = (hashes >> np.uint64(64 - bits)).astype(np.int64)
-    rest = (hashes << np.uint64(bits)) >> np.uint64(64 - _REST_BITS)
-    found, first = np.unique(ranges, return_index=True)
+    hashes, place = hashes[order], place[order]
+    found, first = np.unique((hashes >> np.uint64(64 - bits)).astype(np.int64), return_index=True)
     rows: list[tuple] = []
-    packed_keys = np.array(keys, np.int64).tobytes()
+    every = np.array(keys, np.int64)
     for number, a, b in zip(found, first, [*first[1:], len(hashes)]):
-        steps = np.diff(rest[a:b])
-        wide = bool(len(steps)) and int(steps.max()) >= 1 << 32
-        rows.append((number, int(rest[a]), wide, steps.astype(np.uint64 if wide else np.uint32).tobytes(), place[a:b].tobytes(), packed_keys))
-    kinds = (pa.int32(), pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.binary())
+        width, steps = _narrow(np.diff(hashes[a:b]))
+        met, local = np.unique(place[a:b], return_inverse=True)
+        rows.append((number, int(hashes[a].view(np.int64)), width, steps, local.astype(np.uint16).tobytes(), every[met].tobytes()))
+    kinds = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
     return pa.RecordBatch.from_arrays(
-        [pa.array(column, kind) for column, kind in zip(zip(*rows), kinds)], ["range", "first", "wide", "steps", "place", "keys"]
+        [pa.array(column, kind) for column, kind in zip(zip(*rows), kinds)], ["range", "first", "width", "steps", "place", "keys"]
     )
 
 
+def _unpack(first: int, width: int, steps: bytes, place: bytes, keys: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, class keys) of a row that ``_pack`` made; every hash is whole."""
+    hashes = np.concatenate(([np.int64(first).view(np.uint64)], _widened(width, steps)))
+    return np.cumsum(hashes, dtype=np.uint64).view(np.int64), np.frombuffer(keys, np.int64)[np.frombuffer(place, np.uint16)]
+
+
 def shared_shingles(docs: DataFrame, words: int, bits: int) -> DataFrame:
     """``key, token, df`` for each shingle that at least two classes have; ``df`` counts the classes."""
 
@@ -106,12 +124,8 @@ def shared_shingles(docs: DataFrame, words: int, bits: int) -> DataFrame:
             yield _pack(entries, keys, bits)
 
     def count(group: pa.Table) -> pa.Table:
-        tokens, classes = [], []
-        for number, first, wide, steps, place, keys in zip(*(group.column(c).to_pylist() for c in group.column_names)):
-            deltas = np.frombuffer(steps, np.uint64 if wide else np.uint32).astype(np.int64)
-            tokens.append((number << _REST_BITS) + first + np.concatenate(([0], np.cumsum(deltas))))
-            classes.append(np.frombuffer(keys, np.int64)[np.frombuffer(place, np.uint16)])
-        token, key = np.concatenate(tokens), np.concatenate(classes)
+        parts = [_unpack(*row) for row in zip(*(group.column(c).to_pylist() for c in group.column_names[1:]))]
+        token, key = (np.concatenate(x) for x in zip(*parts))
         order = np.argsort(token, kind="stable")
         token, key = token[order], key[order]
         # Only shingles seen more than once need their classes told apart.
@@ -126,7 +140,7 @@ def shared_shingles(docs: DataFrame, words: int, bits: int) -> DataFrame:
         return pa.table({"key": pairs[keep, 1], "token": pairs[keep, 0], "df": df[keep].astype(np.int64)})
 
     blocks = docs.select("text").mapInArrow(
-        pack, "range int, first bigint, wide boolean, steps binary, place binary, keys binary"
+        pack, "range int, first bigint, width int, steps binary, place binary, keys binary"
     )
     return blocks.groupBy("range").applyInArrow(count, "key bigint, token bigint, df bigint")
 
@@ -162,11 +176,12 @@ def prefixes(shared: DataFrame, sizes: DataFrame, similar: tuple[int, int]) -> D
         return F.struct((met + met / length * F.col("n") / 16).alias("cost"), F.lit(length).alias("need"))
 
     tokens = F.transform("ordered", lambda x: x["token"])
-    bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.floor(t / PARITY) % 64).cast("int"))
+    # Tokens are signed: the places come from their lowest bits.
+    bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftrightunsigned(t, 3).bitwiseAND(63).cast("int"))
     # For each of 64 * PARITY places, whether an odd number of the shared shingles falls on it.
     parity = [
         F.aggregate(
-            F.filter(tokens, lambda t: t % PARITY == k), F.lit(0).cast("bigint"), lambda bits, t: bits.bitwiseXOR(bit(t))
+            F.filter(tokens, lambda t: t.bitwiseAND(PARITY - 1) == k), F.lit(0).cast("bigint"), lambda bits, t: bits.bitwiseXOR(bit(t))
         )
         for k in range(PARITY)
     ]
@@ -219,11 +234,11 @@ def _hub_pairs(classes: DataFrame, entries: DataFrame, similar: tuple[int, int])
     return met.groupBy("u").agg(F.max(F.struct("count", "v"))["v"].alias("v"))
 
 
-def _open_pairs(entries: DataFrame, similar: tuple[int, int]) -> DataFrame:
-    """Pairs of classes of different components that meet as often as the shorter prefix asks for."""
+def _open_pairs(entries: DataFrame, similar: tuple[int, int], every: bool = False) -> DataFrame:
+    """Pairs of classes that meet as often as the shorter prefix asks for; unless ``every``, of different components."""
     a, b = entries.alias("a"), entries.alias("b")
     need = F.expr("least(a.need, b.need)")
-    met = a.join(b, F.expr("a.token = b.token AND a.key < b.key AND a.root <> b.root"))
+    met = a.join(b, F.expr("a.token = b.token AND a.key < b.key" + ("" if every else " AND a.root <> b.root")))
     met = met.filter(_could_link("a", "b", similar) & (F.expr("greatest(a.level, b.level)") <= need))
     return (
         met.groupBy(F.col("a.key").alias("u"), F.col("b.key").alias("v"))
@@ -233,10 +248,34 @@ def _open_pairs(entries: DataFrame, similar: tuple[int, int]) -> DataFrame:
     )
 
 
+def _range_bits(shingles: int) -> int:
+    return min(max(int(np.ceil(np.log2(max(shingles, 1) / RANGE))), 4), 20)
+
+
+def every_link(docs: DataFrame, words: int = WORDS, similar: tuple[int, int] = SIMILAR) -> tuple[DataFrame, DataFrame]:
+    """All links: (``u, v``) pairs of classes of different texts, and ``doc_id, key, n_shingles, n_links`` per row.
+
+    ``n_links`` counts the other rows that a row links with, copies of itself included; equal texts are never expanded
+    into pairs. Rows with empty sets have no links. The pairs of a group of near copies are its square: use
+    ``near_duplicates`` where only the groups are asked for.
+    """
+    signed = stored(signatures(docs, words), "signatures")
+    sizes = stored(signed.filter("n > 0").groupBy("key").agg(F.max("n").alias("n"), F.count("*").alias("rows")), "class-sizes")
+    shingles = signed.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    classes = stored(prefixes(shared_shingles(docs, words, _range_bits(shingles)), sizes.select("key", "n"), similar), "classes")
+    about = ("key", "n", "own", "need", "parity")
+    entries = classes.select(*about, F.explode("entries").alias("e")).select(*about, "e.token", "e.level")
+    links = stored(verify(_open_pairs(entries, similar, every=True), classes, similar), "every-link")
+    sides = links.select(F.col("u").alias("key"), F.col("v").alias("other")).unionByName(links.select(F.col("v").alias("key"), F.col("u").alias("other")))
+    met = sides.join(sizes.select(F.col("key").alias("other"), "rows"), "other").groupBy("key").agg(F.sum("rows").alias("met"))
+    counted = sizes.join(met, "key", "left").select("key", (F.col("rows") - 1 + F.coalesce("met", F.lit(0))).alias("n_links"))
+    joined = signed.withColumn("key", F.when(F.col("n") > 0, F.col("key"))).join(counted, "key", "left")
+    return links, joined.select("doc_id", "key", F.col("n").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
+
+
 def class_links(docs: DataFrame, sizes: DataFrame, shingles: int, words: int, similar: tuple[int, int]) -> DataFrame:
     """``u, v`` (class keys): links that connect the same classes as all links would."""
-    bits = min(max(int(np.ceil(np.log2(max(shingles, 1) / RANGE))), 4), 20)
-    classes = stored(prefixes(shared_shingles(docs, words, bits), sizes, similar), "classes")
+    classes = stored(prefixes(shared_shingles(docs, words, _range_bits(shingles)), sizes, similar), "classes")
     about = ("key", "n", "own", "need", "parity")
     entries = classes.select(*about, F.explode("entries").alias("e")).select(*about, "e.token", "e.level")
     hub_pairs = stored(_hub_pairs(classes, entries, similar), "hub-pairs")
@@ -273,12 +312,15 @@ def keep_one(spark: SparkSession, docs: DataFrame, words: int = WORDS, similar:
 
     Rows with empty sets or without an id are kept. Of repeated rows with that id one stays.
     """
-    found = near_duplicates(spark, docs, words, similar)
-    stay = found.filter("doc_id = component_id AND n_shingles > 0").select(F.col("doc_id").alias("stay")).distinct()
-    linked = found.filter("n_shingles > 0 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("linked")).distinct()
-    # Whole rows in one column, apart from the columns joined to them.
+    found = near_duplicates(spark, docs, words, similar).filter("doc_id IS NOT NULL")
+    by_id = found.groupBy(F.col("doc_id").alias("id")).agg(
+        F.max(F.col("n_shingles") > 0).alias("linked"), F.max(F.expr("n_shingles > 0 AND doc_id = component_id")).alias("stays"), F.count("*").alias("rows")
+    )
+    # Only ids decide: those whose rows go, and the few whose rows must be looked at together.
+    marked = stored(by_id.filter("linked AND (NOT stays OR rows > 1)").select("id", "stays"), "marked")
     rows = docs.select(F.struct("*").alias("doc"))
-    rows = rows.join(stay, F.col("doc.doc_id") == F.col("stay"), "left").join(linked, F.col("doc.doc_id") == F.col("linked"), "left")
-    copy = F.row_number().over(Window.partitionBy("stay").orderBy(F.xxhash64("doc.text")))
-    single = rows.filter("stay IS NOT NULL").withColumn("copy", copy).filter("copy = 1").select("doc.*")
-    return single.unionByName(rows.filter("stay IS NULL AND linked IS NULL").select("doc.*"))
+    on = F.col("doc.doc_id") == F.col("id")
+    single = rows.join(marked, on, "left_anti").select("doc.*")
+    copy = F.row_number().over(Window.partitionBy("id").orderBy(F.xxhash64("doc.text")))
+    repeated = rows.join(marked.filter("stays"), on).withColumn("copy", copy).filter("copy = 1").select("doc.*")
+    return single.unionByName(repeated)

@@ -21,7 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from stellwerk.llm.batches import text_slices
+from stellwerk.llm.batches import kept_rows, text_slices
 from stellwerk.llm.linear import counted, ngram_buckets
 
 UNKNOWN = "und"
@@ -207,9 +207,4 @@ def identify(spark: SparkSession, docs: DataFrame, model: LanguageModel) -> Data
 def keep_accepted(spark: SparkSession, docs: DataFrame, model: LanguageModel) -> DataFrame:
     """The rows of ``docs`` whose language was accepted, with all their columns."""
     shared = spark.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(predict(batch.column("text"), shared.value)[2]))
-
-    return docs.mapInArrow(run, docs.schema)
+    return kept_rows(docs, lambda texts: predict(texts, shared.value)[2])

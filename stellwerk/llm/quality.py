@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stellwerk.llm.batches import text_slices
+from stellwerk.llm.batches import kept_rows, text_slices
 from stellwerk.llm.linear import counted, fit_logistic, ngram_buckets, sigmoid, unit_rows
 
 BITS = 16
@@ -251,9 +251,4 @@ def classify(spark: SparkSession, docs: DataFrame, model: QualityModel) -> DataF
 def keep_accepted(spark: SparkSession, docs: DataFrame, model: QualityModel) -> DataFrame:
     """The rows of ``docs`` that the scorer accepts, with all their columns."""
     shared = spark.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(rate(batch.column("text"), shared.value)[2]))
-
-    return docs.mapInArrow(run, docs.schema)
+    return kept_rows(docs, lambda texts: rate(texts, shared.value)[2])

@@ -19,12 +19,14 @@ SF_DIR = "/root/testdata/sf0.001"
 # --- near duplicates
 
 
+def brute_set(text, words):
+    w = (text or "").encode().lower().split()
+    return {tuple(w[i : i + words]) for i in range(max(len(w) - words + 1, 1))} if w else set()
+
+
 def brute_components(rows, words, similar):
     num, den = similar
-    sets = []
-    for doc_id, text in rows:
-        w = (text or "").encode().lower().split()
-        sets.append({tuple(w[i : i + words]) for i in range(max(len(w) - words + 1, 1))} if w else set())
+    sets = [brute_set(text, words) for _, text in rows]
     root = list(range(len(rows)))
 
     def find(i):
@@ -79,6 +81,31 @@ def test_components_against_all_pairs(spark, documents, seed, words, similar):
     assert Counter(map(tuple, found)) == brute_components(rows, words, similar)
 
 
+def test_packed_hashes_are_whole():
+    low = np.uint64(0x7A5B) << np.uint64(48) | np.arange(2000, dtype=np.uint64)
+    far = np.array([0, 1, (1 << 64) - 1, 1 << 63], np.uint64)
+    hashes = np.sort(np.unique(np.concatenate((low, far))))
+    batch = jaccard._pack([(hashes, np.zeros(len(hashes), np.uint16)), (hashes[:5], np.ones(5, np.uint16)), (hashes[-1:], np.full(1, 2, np.uint16))], [11, -22, 33], 4)
+    back = []
+    for row in batch.to_pylist():
+        token, key = jaccard._unpack(*list(row.values())[1:])
+        assert len(row["keys"]) == 8 * len(set(key.tolist()))
+        back += zip(token.view(np.uint64).tolist(), key.tolist())
+    assert sorted(back) == sorted([(h, 11) for h in hashes.tolist()] + [(h, -22) for h in hashes[:5].tolist()] + [(hashes[-1].item(), 33)])
+
+
+@pytest.mark.parametrize("seed, words, similar", [(4, 3, (90, 100)), (5, 5, (80, 100))])
+def test_every_link_against_all_pairs(spark, documents, seed, words, similar):
+    rows = duplicate_rows(seed, 90)
+    sets = [brute_set(text, words) for _, text in rows]
+    num, den = similar
+    linked = [[i != j and a and b and den * len(a & b) >= num * len(a | b) for j, b in enumerate(sets)] for i, a in enumerate(sets)]
+    links, counted = jaccard.every_link(documents(rows), words, similar)
+    assert Counter((r.doc_id, r.n_shingles, r.n_links) for r in counted.collect()) == Counter((d, len(s), sum(map(bool, row))) for (d, _), s, row in zip(rows, sets, linked))
+    different = {frozenset((frozenset(sets[i]), frozenset(sets[j]))) for i, row in enumerate(linked) for j, yes in enumerate(row) if yes and sets[i] != sets[j]}
+    assert links.count() == links.distinct().count() == len(different)
+
+
 def test_one_of_each_group_stays(spark, documents):
     rows = duplicate_rows(3, 120)
     frame = documents(rows)
