@@ -72,6 +72,21 @@ def map_batches(df: DataFrame, make: Callable[[pa.RecordBatch], Iterator[pa.Reco
     return df.mapInArrow(run, schema)
 
 
+# Spark's defaults count rows, which for long texts makes batches of many megabytes on either side.
+_BOUNDS = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "500"),
+    "spark.sql.parquet.columnarReaderBatchSize": ("4096", "512"),
+}
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's batch sizes for texts, where they are still Spark's defaults. They stay so, since plans
+    read them when they run."""
+    for key, (default, bound) in _BOUNDS.items():
+        if spark.conf.get(key) == default:
+            spark.conf.set(key, bound)
+
+
 def kept_rows(docs: DataFrame, keep: Callable[[pa.Array], np.ndarray]) -> DataFrame:
     """The rows of ``docs`` whose text ``keep`` says yes to. Only texts go to Python, only booleans come back."""
 
