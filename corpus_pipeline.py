@@ -12,6 +12,9 @@ stages but the last return the columns of ``documents`` and only drop rows:
 4. decontamination: rows that hold a test item of ``benchmark`` go.
 5. token_ids: the rest is encoded, a row per document with ids and digests.
 
+Each stage keeps the session's batches small (``bound_batches``), since several stages share an executor's memory
+with the workers of the stages before.
+
 Null texts have no language and go at the first stage; an empty table gives an empty table.
 """
 
@@ -21,26 +24,31 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stellwerk.llm import bpe, decontaminate, jaccard, langid, quality
-from stellwerk.llm.batches import remainder, stored, table
+from stellwerk.llm.batches import bound_batches, remainder, stored, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     return langid.keep_accepted(spark, docs, langid.train(docs, learn=remainder(F.col("doc_id"), 4) != 2))
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     return quality.keep_accepted(spark, docs, quality.train(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     return jaccard.keep_one(spark, docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     return decontaminate.keep_clean(spark, docs, table(spark, sf_dir, "benchmark"))
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     return bpe.encode_documents(
         spark, docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     )
