@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -79,6 +80,14 @@ _BOUNDS = {
 }
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system: workers live on, and each stage would keep the most it ever held."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def bound_batches(spark: SparkSession) -> None:
     """Lower the session's batch sizes for texts, where they are still Spark's defaults. They stay so, since plans
     read them when they run."""
@@ -91,7 +100,9 @@ def kept_rows(docs: DataFrame, keep: Callable[[pa.Array], np.ndarray]) -> DataFr
     """The rows of ``docs`` whose text ``keep`` says yes to. Only texts go to Python, only booleans come back."""
 
     def flags(texts: pa.Array) -> pa.Array:
-        return pa.array(np.asarray(keep(texts), bool))
+        kept = pa.array(np.asarray(keep(texts), bool))
+        release_memory()
+        return kept
 
     flags.__annotations__ = {"texts": pa.Array, "return": pa.Array}
     return docs.filter(F.arrow_udf(flags, "boolean")(F.col("text")))

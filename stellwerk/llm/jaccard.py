@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from stellwerk.llm.batches import mix, stored, text_slices
+from stellwerk.llm.batches import mix, release_memory, stored, text_slices
 from stellwerk.llm.components import components
 from stellwerk.llm.shingles import shingle_sets
 
@@ -59,6 +59,7 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
                 n[start : start + len(offsets) - 1] = np.diff(ends)
                 key[start : start + len(offsets) - 1] = _class_keys(ends, hashes)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(key)], ["doc_id", "n", "key"])
+        release_memory()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n bigint, key bigint")
 
@@ -120,14 +121,19 @@ def shared_shingles(docs: DataFrame, words: int, bits: int) -> DataFrame:
                     if held >= BLOCK or len(keys) == 1 << 16:
                         yield _pack(entries, keys, bits)
                         entries, keys, seen, held = [], [], set(), 0
+                        release_memory()
         if keys:
             yield _pack(entries, keys, bits)
+        release_memory()
 
     def count(group: pa.Table) -> pa.Table:
-        parts = [_unpack(*row) for row in zip(*(group.column(c).to_pylist() for c in group.column_names[1:]))]
+        parts = [_unpack(*(value.as_py() for value in row)) for row in zip(*(group.column(c) for c in group.column_names[1:]))]
         token, key = (np.concatenate(x) for x in zip(*parts))
+        del parts
+        release_memory()
         order = np.argsort(token, kind="stable")
         token, key = token[order], key[order]
+        del order
         # Only shingles seen more than once need their classes told apart.
         same = token[1:] == token[:-1]
         often = np.zeros(len(token), bool)
