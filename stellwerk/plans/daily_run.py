@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -35,12 +36,17 @@ def acquire(
     disabled: list[str] | None = None,
     wait: bool = False,
     waited: DataFrame | None = None,
+    early: DataFrame | None = None,
+    now: Column | None = None,
+    patience: timedelta = timedelta(0),
+    keep_early: timedelta = timedelta(days=14),
 ) -> DataFrame:
     """Postings of one run's captures, written to ``run_dir/postings``.
 
-    With ``wait``, candidates without a detail page are left out and written to
-    ``run_dir/waiting``. Given to the next run as ``waited`` they go on there: with their detail
-    page if it has come by then, without it if not.
+    With ``wait``, candidates without a detail page are left out and written to ``run_dir/waiting``, and detail pages
+    that no candidate asks for to ``run_dir/early``. Both are given to the next run. There a waiting candidate goes
+    on as soon as its page has come, and without it once it has waited for ``patience``, but never in the run it
+    came in. Unasked pages are kept for ``keep_early``. ``now`` is the run's time.
 
     Only boards that serve the country and are not ``disabled`` are read. All captured pages
     and candidates count, unless ``pages_per_query`` or ``details_per_query`` set a limit.
@@ -58,19 +64,50 @@ def acquire(
     if details_per_query is not None:
         candidates = funnel.cap_details(candidates, details_per_query)
     capped = materialise(candidates, f"{run_dir}/candidates")
-    wanted = capped if waited is None else capped.unionByName(waited)
-    details = materialise(pages.parse_details(captures, wanted=wanted), f"{run_dir}/details")
     if wait:
-        page = ["platform", "url"]
-        materialise(capped.join(details.select(*page), page, "left_anti"), f"{run_dir}/waiting")
-        ready = capped.join(details.select(*page), page, "left_semi")
-        wanted = ready if waited is None else ready.unionByName(waited)
+        now = F.current_timestamp() if now is None else now
+        wanted, details = _ready(captures, capped, waited, early, run_dir, now, patience, keep_early)
+    else:
+        wanted, details = capped, materialise(pages.parse_details(captures, wanted=capped), f"{run_dir}/details")
     rows = funnel.join_detail(wanted, details)
     rows = funnel.late_fresh_check(rows, F.col("observed_at"), hours)
     postings = funnel.as_postings(funnel.nonempty_description(rows))
     return materialise(identity.first_per_platform(postings), f"{run_dir}/postings")
 
 
+def _ready(
+    captures: DataFrame,
+    fresh: DataFrame,
+    waited: DataFrame | None,
+    early: DataFrame | None,
+    run_dir: str,
+    now: Column,
+    patience: timedelta,
+    keep_early: timedelta,
+) -> tuple[DataFrame, DataFrame]:
+    """The candidates that go on, and the details that are there; what stays behind is written."""
+    page = ["platform", "url"]
+    asked = fresh.withColumns({"waiting_since": now, "waits": F.lit(False)})
+    if waited is not None:
+        asked = asked.unionByName(waited.withColumn("waits", F.lit(True)))
+    # Written, since the time differs from one query to the next.
+    asked = materialise(asked, f"{run_dir}/asked")
+    arrived = captures.filter(F.col("kind") != "search").withColumn("arrived", now)
+    if early is not None:
+        arrived, captures = pages.stacked(arrived, early), pages.stacked(captures, early.drop("arrived"))
+    details = materialise(pages.parse_details(captures, wanted=asked), f"{run_dir}/details")
+    found = details.select(*page)
+    missing = asked.join(found, page, "left_anti")
+    overdue = F.col("waits") & F.coalesce(F.col("waiting_since") <= now - F.lit(patience), F.lit(True))
+    state = ["waiting_since", "waits"]
+    materialise(missing.filter(~overdue).drop("waits"), f"{run_dir}/waiting")
+    # A page that was asked for is used in this run; others are kept until they are too old.
+    unasked = arrived.filter(F.col("arrived") > now - F.lit(keep_early)).join(asked.select(*page).distinct(), page, "left_anti")
+    materialise(unasked.drop("_file", "_row"), f"{run_dir}/early")
+    go = asked.join(found, page, "left_semi").unionByName(materialise(missing.filter(overdue), f"{run_dir}/overdue"))
+    return go.drop(*state), details
+
+
 def deliver(
     postings: DataFrame,
     score: Callable[[DataFrame], DataFrame],

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from stellwerk import schema, vocab
@@ -9,6 +10,8 @@ from stellwerk.functions import embedded, listing_api, page_fields
 from stellwerk.functions.predicates import is_search_link
 from stellwerk.functions.text import is_blank, platform_rank
 from stellwerk.functions.urls import canonical_url
+from stellwerk.session import new_run_dir
+from stellwerk.sources.files import materialise
 
 PAGE_KEYS = ["platform", "query_idx", "page_no"]
 
@@ -103,17 +106,80 @@ def explode_cards(pages: DataFrame) -> DataFrame:
     )
 
 
-def latest_details(captures: DataFrame, kind: str, wanted: DataFrame | None = None) -> DataFrame:
+# Places of chosen captures that are sent to tasks at once; more are fetched in several rounds of files.
+MOST_PLACES = 1_000_000
+
+
+def with_place(captures: DataFrame) -> DataFrame | None:
+    """Add ``_file`` and ``_row``, where a capture stands, unless it has them; None if its rows have no place in files."""
+    if {"_file", "_row"} <= set(captures.columns):
+        return captures
+    try:
+        return captures.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    except AnalysisException:
+        return None
+
+
+def stacked(captures: DataFrame, others: DataFrame) -> DataFrame:
+    """Both tables' rows, with their places in files where both have them."""
+    first, second = with_place(captures), with_place(others.drop("_file", "_row"))
+    if first is None or second is None:
+        first, second = captures, others
+    return first.unionByName(second.select(first.columns))
+
+
+def latest_details(
+    captures: DataFrame, kind: str, wanted: DataFrame | None = None, most_places: int = MOST_PLACES
+) -> DataFrame:
     """The latest capture of every detail page, of the wanted (platform, url) pairs if given.
 
-    Which capture that is, is found on narrow columns: time and a hash of the body, which
-    decides between captures of the same time. Bodies are only fetched for the chosen ones, by
-    a hash join whose small side are the keys, so that no body is sorted. A capture without a time
-    comes before all others, and a null body may be the chosen one.
+    Captures in files are chosen by time on narrow columns, without their bodies; then the rows at the chosen places
+    are read, which sends places to the scans and no body anywhere. Rounds of files keep what is sent within
+    ``most_places``, unless one file alone has more. Among captures of the same time a hash of the body decides.
+    A capture without a time comes before all others, and a null body may be the chosen one.
     """
-    pages = captures.filter(F.col("kind") == kind).select("platform", "url", "observed_at", "body")
+    pages = captures.filter(F.col("kind") == kind)
+    placed = with_place(pages)
+    if placed is None:
+        return _latest_by_join(pages, wanted)
+    keys = ["platform", "url"]
+    narrow = placed.select(*keys, "observed_at", "_file", "_row")
+    if wanted is not None:
+        narrow = narrow.join(wanted.select(*keys).distinct(), keys, "left_semi")
+    newest = narrow.groupBy(*(F.col(c).alias(f"_{c}") for c in keys)).agg(F.max("observed_at").alias("_newest"))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys] + [F.col("observed_at").eqNullSafe(F.col("_newest"))]
+    path = new_run_dir(captures.sparkSession, "places")
+    chosen = materialise(narrow.join(newest, same, "left_semi"), path)
+    # One row per file that holds a chosen capture.
+    counts = chosen.groupBy("_file").count().orderBy("_file").collect()
+    rounds, held = [[]], 0
+    for file, count in counts:
+        if rounds[-1] and held + count > most_places:
+            rounds.append([])
+            held = 0
+        rounds[-1].append(file)
+        held += count
+
+    def fetched(files: list[str]) -> DataFrame:
+        places = F.broadcast(chosen.filter(F.col("_file").isin(files)))
+        bodies = placed.filter(F.col("_file").isin(files)).select("_file", "_row", "body")
+        return bodies.join(places, ["_file", "_row"]).select(*keys, "observed_at", "body")
+
+    if len(rounds) == 1:
+        rows = fetched(rounds[0])
+    else:
+        for number, files in enumerate(rounds):
+            fetched(files).write.parquet(f"{path}-rows/round={number}")
+        rows = captures.sparkSession.read.parquet(f"{path}-rows")
+    digested = F.max(F.struct(F.xxhash64("body").alias("digest"), "body"))["body"]
+    return rows.groupBy(*keys, "observed_at").agg(digested.alias("body"))
+
+
+def _latest_by_join(pages: DataFrame, wanted: DataFrame | None) -> DataFrame:
+    """For captures that stand in no files. Bodies of the chosen ones are found by a hash join whose small side are
+    the keys, so that no body is sorted."""
     keys = ["platform", "url"]
-    marked = pages.withColumn("digest", F.xxhash64("body"))
+    marked = pages.select(*keys, "observed_at", "body").withColumn("digest", F.xxhash64("body"))
     chosen = marked.groupBy(*keys).agg(F.max(F.struct("observed_at", "digest")).alias("c")).select(*keys, "c.*")
     if wanted is not None:
         chosen = chosen.join(wanted.select(*keys).distinct(), keys)

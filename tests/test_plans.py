@@ -109,18 +109,40 @@ def test_only_chosen_bodies_are_fetched_and_none_is_sorted(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
 
 
-def test_captures_without_time_or_body_are_found(spark):
+def test_captures_without_time_or_body_are_found(spark, tmp_path):
     schema = "platform string, url string, kind string, observed_at timestamp, body string"
     early, late = datetime(2024, 1, 1), datetime(2024, 1, 2)
     rows = [("Xing", "a", "detail", None, "x"), ("Xing", "b", "detail", late, None), ("Xing", "b", "detail", early, "old"), ("Xing", "c", "detail", None, None)]
     rows += [("Xing", "d", "detail", None, "none"), ("Xing", "d", "detail", early, "timed"), ("Xing", None, "detail", early, "y")]
     frame = spark.createDataFrame(rows + rows, schema)
     found = {(r.url, r.observed_at, r.body) for r in captures.latest_details(frame, "detail").collect()}
+    frame.write.parquet(str(tmp_path / "odd"))
+    in_files = spark.read.parquet(str(tmp_path / "odd"))
+    assert {(r.url, r.observed_at, r.body) for r in captures.latest_details(in_files, "detail").collect()} == found
+    assert captures.latest_details(in_files.filter("url = 'no'"), "detail").count() == 0
     assert found == {("a", None, "x"), ("b", late, None), ("c", None, None), ("d", early, "timed"), (None, early, "y")}
     wanted = frame.filter("url IN ('a', 'b')").select("platform", "url")
     assert {(r.url, r.body) for r in captures.latest_details(frame, "detail", wanted).collect()} == {("a", "x"), ("b", None)}
 
 
+def test_no_body_of_an_unwanted_page_is_exchanged(spark, tmp_path):
+    """With default settings: above the scan, bodies only pass the join with the chosen places."""
+    rows = spark.range(0, 2000, 1, 4).selectExpr(
+        "'Xing' platform", "cast(id % 900 as string) url", "'detail' kind", "0 query_idx", "0 page_no",
+        "concat('<main>', id, '</main>') body", "timestamp_seconds(id) observed_at",
+    )
+    rows.write.parquet(str(tmp_path / "captures"))
+    wanted = spark.range(5).selectExpr("'Xing' platform", "cast(id as string) url")
+    latest = captures.latest_details(captures.read_captures(spark, str(tmp_path / "captures")), "detail", wanted)
+    lines = plan(latest).splitlines()
+    join = next(n for n, line in enumerate(lines) if "BroadcastHashJoin" in line)
+    below = [line for line in lines[join:] if "Exchange" in line]
+    assert below and all("BroadcastExchange" in line for line in below)
+    assert {(r.url, r.body) for r in latest.collect()} == {(str(i), f"<main>{i + 1800 if i < 200 else i + 900}</main>") for i in range(5)}
+    in_rounds = captures.latest_details(captures.read_captures(spark, str(tmp_path / "captures")), "detail", None, most_places=300)
+    assert {(r.url, r.body) for r in in_rounds.collect()} == {(str(i), f"<main>{i + 1800 if i < 200 else i + 900}</main>") for i in range(900)}
+
+
 @pytest.mark.parametrize("step", ["anti_ledger", "join_detail", "join_responses"])
 def test_hot_key_is_split(spark, step):
     """A third of all postings share one id and one link; the join splits their partition."""
