@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from stellwerk import schema, vocab
 from stellwerk.checks.base import (
+    ORACLES,
     LEDGER_SQL,
     POSTINGS_SQL,
     SCORED_SQL,
@@ -333,6 +334,21 @@ def score_with(spark, sf):
     return scored.select("doc_id", "llm_score", "match", "llm_reason")
 
 
+def _quota_scorer(message):
+    """Answers like the length scorer until its quota ends; the first refusal of a message is only for its rate."""
+    if len(message) % 5 == 0:
+        raise scoring.RateLimited("Limit reached: tokens per day (TPD)")
+    return _length_scorer(message)
+
+
+@query("score_waves", ORACLES["score_with"])
+def score_waves(spark, sf):
+    """The first scorer runs out of quota half way; the ones behind it answer for it, so that no score is lost."""
+    scorers = {"first": _quota_scorer, "second": _length_scorer, "spare": _spare_scorer}
+    scored = scoring.score_in_waves(postings(spark, sf), scorers, new_run_dir(spark, "waves"), waves=4)
+    return scored.select("doc_id", "llm_score", "match", "llm_reason")
+
+
 @query("bypass_scoring", f"WITH {POSTINGS_SQL} SELECT doc_id, 0 AS llm_score, TRUE AS match FROM postings")
 def bypass_scoring(spark, sf):
     """The scoring stage breaks down while it runs; with the option set every posting passes."""

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import logging
+import threading
+import time
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
@@ -174,6 +176,116 @@ def score_with(
     return with_fallback(rows.select(*postings.columns, "verdict.*"))
 
 
+class RateLimited(Exception):
+    """Raised by a scorer that was refused for its rate or quota; the message says which."""
+
+
+class Pace:
+    """Calls spread evenly over time: each waits until its share of a minute has passed."""
+
+    def __init__(self, per_minute: float, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep):
+        self._seconds, self._clock, self._sleep = 60 / per_minute, clock, sleep
+        self._next, self._lock = float("-inf"), threading.Lock()
+
+    def wait(self, amount: float = 1) -> None:
+        with self._lock:
+            now = self._clock()
+            start = max(now, self._next)
+            self._next = start + amount * self._seconds
+        if start > now:
+            self._sleep(start - now)
+
+
+def ask(scorer: Callable[[str], str | dict], message: str, retry_seconds: float, before_call: Callable[[str], None]) -> tuple[str | None, str | None]:
+    """(reply, error) of one message, with one retry after a rate limit that isn't a quota for the whole run."""
+    for last in (False, True):
+        before_call(message)
+        try:
+            reply = scorer(message)
+            return (json.dumps(reply, ensure_ascii=False) if isinstance(reply, dict) else reply), None
+        except RateLimited as error:
+            if last or any(marker in str(error).lower() for marker in vocab.RUN_BLOCKING_MARKERS):
+                return None, f"{error}"
+            time.sleep(retry_seconds)
+        except Exception as error:
+            return None, f"{type(error).__name__}: {error}"
+    return None, None
+
+
+def _wave_caller(scorer, at_once: int, retry_seconds: float, requests: float | None, tokens: float | None, chars_per_token: float):
+    held: list = []
+
+    @F.pandas_udf("struct<raw:string,error:string>")
+    def call(messages: pd.Series) -> pd.DataFrame:
+        if not held:
+            # One pace for all batches of a task.
+            held.append([Pace(requests) if requests else None, Pace(tokens) if tokens else None])
+
+        def before_call(message: str) -> None:
+            if held[0][0]:
+                held[0][0].wait()
+            if held[0][1]:
+                held[0][1].wait(len(message) / chars_per_token)
+
+        used_up = threading.Event()
+
+        def one(message):
+            if message is None or used_up.is_set():
+                return None, None
+            raw, error = ask(scorer, message, retry_seconds, before_call)
+            if error and any(marker in error.lower() for marker in vocab.RUN_BLOCKING_MARKERS):
+                used_up.set()
+            return raw, error
+
+        with ThreadPoolExecutor(at_once) as pool:
+            return pd.DataFrame(list(pool.map(one, messages)), columns=["raw", "error"], dtype=object)
+
+    return call.asNondeterministic()
+
+
+def score_in_waves(
+    postings: DataFrame,
+    scorers: dict[str, Callable[[str], str | dict]],
+    run_dir: str,
+    waves: int = 8,
+    tasks: int = 8,
+    threshold: int = vocab.MATCH_THRESHOLD,
+    calls_per_task: int = CALLS_PER_TASK,
+    retry_seconds: float = 5.0,
+    requests_per_minute: float | None = None,
+    tokens_per_minute: float | None = None,
+    chars_per_token: float = 4.0,
+) -> DataFrame:
+    """Score postings with named scorers, tried in order, in ``waves`` that are written one after the other.
+
+    A scorer that raises ``RateLimited`` is asked once more; if its quota for the run is used up, its name is taken out for the
+    next waves, and the rest of the batch goes to the next scorer at once. So after such an answer only tasks of the same
+    wave still ask it. The rates hold for each scorer over all ``tasks`` of a wave, which share them evenly. Every posting
+    is in exactly one wave; one without a readable reply gets the fallback.
+    """
+    parts = [F.xxhash64(*[F.col(c).cast("string") for c in ("title", "company", "location", "url")])]
+    rows = materialise(with_message(postings).withColumn("wave", F.pmod(parts[0], F.lit(waves)).cast("int")), f"{run_dir}/messages")
+    left, written = dict(scorers), None
+    for number in range(waves):
+        wave = rows.filter(F.col("wave") == number).repartition(tasks)
+        wave = wave.withColumns({"verdict": F.lit(None).cast("struct<match:boolean,score:int,reason:string>"), "spent": F.array().cast("array<string>")})
+        for name, scorer in left.items():
+            rates = [rate / tasks if rate else None for rate in (requests_per_minute, tokens_per_minute)]
+            caller = _wave_caller(scorer, calls_per_task, retry_seconds, *rates, chars_per_token)
+            wave = wave.withColumn("answer", caller(F.when(F.col("verdict").isNull(), F.col("message"))))
+            over = run_blocking_quota(F.col("answer.error"))
+            wave = wave.withColumn("spent", F.when(over, F.array_append("spent", F.lit(name))).otherwise(F.col("spent")))
+            wave = with_verdict(wave.withColumn("raw", F.col("answer.raw")), "raw", "_new", threshold)
+            wave = wave.withColumn("verdict", F.coalesce("verdict", "_new")).drop("_new", "raw", "answer")
+        done = materialise(wave, f"{run_dir}/wave-{number}")
+        # At most a name for each scorer.
+        for row in done.select(F.explode("spent").alias("name")).distinct().collect():
+            log.warning("scorer %s is used up after wave %d", row.name, number)
+            left.pop(row.name, None)
+        written = done if written is None else written.unionByName(done)
+    return with_fallback(written.select(*postings.columns, "verdict.*"))
+
+
 def pass_all(postings: DataFrame) -> DataFrame:
     """Every posting counts as a match, unscored."""
     return postings.withColumns(

@@ -23,7 +23,7 @@ USES_PYTHON = {
 WRITES = {
     "src_pages", "snapshot_read", "source_registry", "ledger_read", "ledger_append", "ledger_lookup", "digest_sink",
     "report_sink", "bypass_scoring", "acquire_run", "daily_run", "incremental_run", "source_check",
-    "source_check_unfiltered", "country_run", "cache_replay", "incremental_captures",
+    "source_check_unfiltered", "country_run", "cache_replay", "incremental_captures", "score_waves",
 }
 
 
