@@ -60,7 +60,7 @@ FROM p LEFT JOIN shared USING (payload)""",
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_run_dir(spark, "warc")
     warc.write_archives(table(spark, sf_dir, "pages"), path)
-    return warc.page_digests(warc.read_payloads(spark, path))
+    return warc.page_digests(warc.revisits_checked(warc.read_payloads(spark, path)))
 
 
 @query("op5_language")

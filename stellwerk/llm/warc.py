@@ -10,7 +10,12 @@ separator is the end of a WARC record. Reading takes whole archive files, whose
 ``records_per_file`` and the segment length.
 
 Nulls and repeats: a null html is an empty payload, a null url an empty one. Pages with a null id are
-always responses and nobody refers to them. Each of several rows with the smallest id is a response.
+always responses and nobody refers to them. Each of several rows with the smallest id is a response, and
+revisits refer to one of them. An empty table gives no archive records.
+
+A revisit's ``WARC-Refers-To`` is the id of a response in the archives. Reading takes what is whole: where an
+archive is damaged, a row of type ``damaged`` names the archive and the place, and reading goes on at the next
+record or gzip member that can be found.
 """
 
 from __future__ import annotations
@@ -21,7 +26,9 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+from stellwerk.llm.batches import stored
 
 MIN_BYTES = 100
 SEGMENT_CHARS = 65_536
@@ -35,6 +42,8 @@ _END_OF_RECORD = "\r\n\r\n"
 _REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _HTTP_TYPE = "application/http; msgtype=response"
 
+DAMAGED = "damaged"
+
 _RECORD_FIELDS = (
     "record_id string, record_type string, target_uri string, payload_digest string, refers_to string, "
     "origin_id string, segment int, total_length bigint, block binary"
@@ -42,24 +51,35 @@ _RECORD_FIELDS = (
 
 
 def with_roles(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
-    """``page_id, url, payload, digest, refers_to``: what each page's record is to hold.
+    """``page_id, url, payload, digest, leads, refers_to``: what each page's record is to hold.
 
-    Only ids and digests are grouped. The join's many-sided key, the digest of a payload that very
-    many pages share, is split by adaptive execution, for the other side has one row per digest.
+    ``leads`` holds for one response of each payload that revisits refer to. Only ids and digests are grouped.
+    The join's many-sided key, the digest of a payload that very many pages share, is split by adaptive
+    execution, for the other side has one row per digest.
     """
     payload = F.coalesce("html", F.lit(""))
     rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), payload.alias("payload")).withColumn(
         "digest", F.sha2(F.col("payload"), 256)
     )
-    shared = (
+    shared = stored(
         pages.filter((F.octet_length(payload) >= min_bytes) & F.col("page_id").isNotNull())
-        .groupBy(F.sha2(payload, 256).alias("digest"))
-        .agg(F.min("page_id").alias("first"), F.count("*").alias("pages"))
+        .groupBy(F.sha2(payload, 256).alias("digest"), "page_id")
+        .agg(F.count("*").alias("copies"))
+        .groupBy("digest")
+        .agg(F.min(F.struct("page_id", "copies")).alias("first"), F.sum("copies").alias("pages"))
         .filter("pages > 1")
-        .select("digest", "first")
+        .select("digest", F.col("first.page_id").alias("first"), F.col("first.copies").alias("copies")),
+        "warc-shared",
     )
-    return rows.join(shared, "digest", "left").select(
-        "page_id", "url", "payload", "digest", F.when(F.col("first") != F.col("page_id"), F.col("first")).alias("refers_to")
+    is_first = F.coalesce(F.col("first") == F.col("page_id"), F.lit(False))
+    roles = rows.join(shared, "digest", "left").withColumn("leads", is_first)
+    if not shared.filter("copies > 1").isEmpty():
+        # Rows that repeat a smallest id: one of them leads.
+        repeated = is_first & (F.col("copies") > 1)
+        place = F.row_number().over(Window.partitionBy("digest", "page_id").orderBy("url"))
+        roles = roles.filter(~F.coalesce(repeated, F.lit(False))).unionByName(roles.filter(repeated).withColumn("leads", place == 1))
+    return roles.select(
+        "page_id", "url", "payload", "digest", "leads", F.when(F.col("first") != F.col("page_id"), F.col("first")).alias("refers_to")
     )
 
 
@@ -131,13 +151,14 @@ def write_archives(
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out, held = [], 0
-            columns = (batch.column(c) for c in ("page_id", "copy", "url", "payload", "digest", "refers_to"))
-            for page_id, copy, url, payload, digest, refers_to in zip(*columns, strict=True):
-                refers_to, page_id = refers_to.as_py(), page_id.as_py()
-                name = f"urn:page:{'' if page_id is None else page_id}:{copy.as_py()}"
-                target = None if refers_to is None else f"urn:page:{refers_to}"
+            columns = (batch.column(c) for c in ("page_id", "copy", "url", "payload", "digest", "leads", "refers_to"))
+            for page_id, copy, url, payload, digest, leads, refers_to in zip(*columns, strict=True):
+                refers_to, page_id, digest = refers_to.as_py(), page_id.as_py(), digest.as_py()
+                # A record that others refer to is named by its payload, so that they know its name.
+                name = f"urn:page:{'' if page_id is None else page_id}:{digest if leads.as_py() else copy.as_py()}"
+                target = None if refers_to is None else f"urn:page:{refers_to}:{digest}"
                 text = payload.as_py()
-                out += page_records(name, url.as_py(), text, digest.as_py(), target, date, segment_chars)
+                out += page_records(name, url.as_py(), text, digest, target, date, segment_chars)
                 held += len(text)
                 if held > _BATCH_BYTES:
                     yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
@@ -149,33 +170,66 @@ def write_archives(
     ).option("maxRecordsPerFile", records_per_file).text(path)
 
 
-def parse_archive(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header fields (names in lower case) and block of each record of one archive."""
+def parse_archive(data: bytes) -> Iterator[tuple[int, dict[str, str] | None, bytes]]:
+    """Place, header fields (names in lower case) and block of each record of one archive.
+
+    A record that is cut off or has no right length comes as its place with None for the fields; what follows
+    is read from where an empty line and the begin of a record come next, be it in a broken record's block.
+    """
     at = 0
-    while (at := data.find(b"WARC/", at)) >= 0:
-        head_end = data.index(_END_OF_RECORD.encode(), at)
-        lines = data[at:head_end].decode("utf-8", "replace").split("\r\n")[1:]
-        fields = {name.strip().lower(): value.strip() for name, _, value in (line.partition(":") for line in lines)}
-        start = head_end + 4
-        end = start + int(fields["content-length"])
-        if end > len(data):
-            raise ValueError("the archive ends inside a record")
-        yield fields, data[start:end]
-        at = end
+    while at < len(data):
+        fields = None
+        if data.startswith(b"WARC/", at) and (head_end := data.find(_END_OF_RECORD.encode(), at)) >= 0:
+            lines = data[at:head_end].decode("utf-8", "replace").split("\r\n")[1:]
+            fields = {name.strip().lower(): value.strip() for name, _, value in (line.partition(":") for line in lines)}
+            start, length = head_end + 4, fields.get("content-length", "")
+            end = start + int(length) if length.isascii() and length.isdigit() else len(data) + 1
+            # A block is followed by empty lines, unless it ends the archive.
+            if end > len(data) or not _END_OF_RECORD.encode().startswith(data[end : end + 4]):
+                fields = None
+        if fields is not None:
+            yield at, fields, data[start:end]
+            at = end
+            while data[at : at + 1] in (b"\r", b"\n"):
+                at += 1
+        else:
+            yield at, None, b""
+            following = data.find(b"\r\n\r\nWARC/", at + 1)
+            at = len(data) if following < 0 else following + 4
+
+
+_MEMBER = b"\x1f\x8b\x08"
 
 
 def _gunzip(data: bytes) -> bytes:
-    """All members of a gzip file; data that isn't gzip is returned as it is."""
-    parts = []
-    while data[:2] == b"\x1f\x8b":
-        stream = zlib.decompressobj(31)
-        parts.append(stream.decompress(data) + stream.flush())
-        data = stream.unused_data
-    return b"".join(parts) + data if parts else data
+    """All members of a gzip file, of a damaged one what can be read; data that isn't gzip is returned as it is."""
+    if data[:2] != _MEMBER[:2]:
+        return data
+    parts, at = [], 0
+    while at >= 0:
+        stream, begin = zlib.decompressobj(31), at
+        try:
+            while at < len(data) and not stream.eof:
+                parts.append(stream.decompress(data[at : at + 65_536]))
+                at += 65_536
+            parts.append(stream.flush())
+            at = min(at, len(data)) - len(stream.unused_data)
+        except zlib.error:
+            at = begin + 1
+        at = data.find(_MEMBER, at)
+    return b"".join(parts)
+
+
+def _number(text: str | None) -> int | None:
+    return int(text) if text and text.isascii() and text.isdigit() and len(text) < 10 else None
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """Every record of every archive below ``path``, continuation records by themselves."""
+    """Every record of every archive below ``path``, continuation records by themselves.
+
+    Damage is a row of type ``damaged`` whose ``target_uri`` is the archive, and ``total_length`` the place in its
+    unpacked bytes.
+    """
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema(
@@ -183,9 +237,12 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
             + [("segment", pa.int32()), ("total_length", pa.int64()), ("block", pa.binary())]
         )
         for batch in batches:
-            for content in batch.column("content"):
+            for archive, content in zip(batch.column("path").to_pylist(), batch.column("content")):
                 out, held = [], 0
-                for fields, block in parse_archive(_gunzip(content.as_py())):
+                for at, fields, block in parse_archive(_gunzip(content.as_py())):
+                    if fields is None:
+                        out.append((None, DAMAGED, archive, None, None, None, None, at, block))
+                        continue
                     get = fields.get
                     number, total = get("warc-segment-number"), get("warc-segment-total-length")
                     out.append(
@@ -193,8 +250,8 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
                             *(get(f, "").strip("<>") or None for f in ("warc-record-id", "warc-type", "warc-target-uri")),
                             get("warc-payload-digest"),
                             *(get(f, "").strip("<>") or None for f in ("warc-refers-to", "warc-segment-origin-id")),
-                            int(number) if number else None,
-                            int(total) if total else None,
+                            _number(number),
+                            _number(total),
                             block,
                         )
                     )
@@ -205,7 +262,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
     return files.mapInArrow(records, _RECORD_FIELDS)
 
 
@@ -215,7 +272,7 @@ def reassembled(records: DataFrame) -> DataFrame:
     Only segmented records are shuffled; a group holds the segments of one record.
     """
     whole = records.filter("segment IS NULL").select(
-        "record_id", "record_type", "target_uri", "payload_digest", "refers_to", "block", F.lit(True).alias("complete")
+        "record_id", "record_type", "target_uri", "payload_digest", "refers_to", "block", (~F.col("record_type").eqNullSafe(DAMAGED)).alias("complete")
     )
     head = F.col("segment") == 1
     parts = F.array_sort(F.collect_list(F.struct("segment", "block")))
@@ -243,7 +300,8 @@ def read_payloads(spark: SparkSession, path: str) -> DataFrame:
     """``record_id, record_type, target_uri, refers_to, payload, payload_bytes, payload_digest, intact``.
 
     A revisit has no payload; length and digest are those of the payload it stands for. ``intact`` is
-    false where segments are missing, the framing is broken or the payload differs from its digest.
+    false where segments are missing, the framing is broken or the payload differs from its digest. Whether a
+    revisit's response is there, ``revisits_checked`` says. Damage in an archive is a row of type ``damaged``.
     """
 
     def payloads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,6 +315,9 @@ def read_payloads(spark: SparkSession, path: str) -> DataFrame:
                     length = re.search(rb"(?im)^content-length:\s*(\d+)", head)
                     out.append((None, int(length[1]) if length else None, stated, complete))
                     continue
+                if kind == DAMAGED:
+                    out.append((None, None, None, False))
+                    continue
                 is_chunked = re.search(rb"(?im)^transfer-encoding:.*\bchunked\b", head)
                 payload = unchunked(body) if is_chunked else body
                 if payload is None:
@@ -278,10 +339,28 @@ def read_payloads(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def revisits_checked(payloads: DataFrame) -> DataFrame:
+    """``payloads`` without the payloads themselves; a revisit is ``intact`` only if its response is, with the length
+    and digest that the revisit states.
+
+    The rows without payloads are written once. A response that very many revisits name is one row of the join's
+    other side, so adaptive execution splits its revisits.
+    """
+    rows = stored(payloads.drop("payload"), "warc-digests")
+    is_revisit = F.col("record_type").eqNullSafe("revisit") & F.col("refers_to").isNotNull()
+    known = rows.filter((F.col("record_type") == "response") & F.col("record_id").isNotNull())
+    known = known.groupBy(F.col("record_id").alias("refers_to")).agg(
+        F.max(F.when(F.col("intact"), F.struct("payload_bytes", "payload_digest"))).alias("stands_for")
+    )
+    stated = F.coalesce(F.struct("payload_bytes", "payload_digest") == F.col("stands_for"), F.lit(False))
+    revisits = rows.filter(is_revisit).join(known, "refers_to", "left").withColumn("intact", F.col("intact") & stated)
+    return rows.filter(~is_revisit).unionByName(revisits.select(*rows.columns))
+
+
 def page_digests(payloads: DataFrame) -> DataFrame:
-    """``page_id, payload_bytes, payload_digest, record_type, refers_to, intact`` of archived pages."""
+    """``page_id, payload_bytes, payload_digest, record_type, refers_to, intact`` of archived pages, without damage."""
     number = lambda name: F.expr(f"try_cast(split({name}, ':')[2] AS bigint)")
-    return payloads.select(
+    return payloads.filter(~F.col("record_type").eqNullSafe(DAMAGED)).select(
         number("record_id").alias("page_id"),
         "payload_bytes",
         "payload_digest",

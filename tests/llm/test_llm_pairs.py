@@ -1,5 +1,6 @@
 """Operators that compare or look up: duplicates, decontamination, urls, archives, neighbours, components."""
 
+import gzip
 import hashlib
 import random
 from collections import Counter
@@ -281,8 +282,52 @@ def test_no_pages(spark, tmp_path):
 def test_broken_framing_is_noticed():
     assert warc.unchunked(warc.chunked("a" * 20_000).encode()) == b"a" * 20_000
     assert warc.unchunked(b"5\r\nab") is None and warc.unchunked(b"") is None and warc.unchunked(b"2\r\nabc\r\n0\r\n\r\n") is None
-    with pytest.raises(ValueError):
-        list(warc.parse_archive(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nabc"))
+
+
+def test_damage_costs_damaged_records_only():
+    assert list(warc.parse_archive(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nabc")) == [(0, None, b"")]
+    record = lambda length: b"WARC/1.1\r\nContent-Length: %s\r\n\r\nabc\r\n\r\n" % length
+    for broken in (b"x", b"", b"2", b"400", b"-1"):
+        read = list(warc.parse_archive(record(b"3") + record(broken) + record(b"3")))
+        assert [(f is None, block) for _, f, block in read] == [(False, b"abc"), (True, b""), (False, b"abc")]
+        assert read[1][0] == len(record(b"3"))
+    whole = gzip.compress(record(b"3")) + gzip.compress(record(b"3"))
+    assert warc._gunzip(whole) == record(b"3") * 2 and warc._gunzip(b"plain") == b"plain" and warc._gunzip(b"") == b""
+    bad = bytearray(gzip.compress(random.Random(1).randbytes(200_000)))
+    bad[150_000:150_100] = bytes(100)
+    assert warc._gunzip(bytes(bad) + gzip.compress(record(b"3"))).endswith(record(b"3"))
+
+
+def test_a_damaged_archive_stops_nothing(spark, tmp_path):
+    pages = spark.createDataFrame([(i, "u", f"page {i} " * 9) for i in range(40)], "page_id bigint, url string, html string")
+    path = str(tmp_path / "warc")
+    warc.write_archives(pages.coalesce(1), path, records_per_file=10)
+    cut = sorted((tmp_path / "warc").glob("*.gz"))[0]
+    cut.write_bytes(gzip.compress(gzip.decompress(cut.read_bytes())[:-30]))
+    (cut.parent / f".{cut.name}.crc").unlink()
+    records = warc.read_records(spark, path)
+    damage = records.filter("record_type = 'damaged'").collect()
+    assert len(damage) == 1 and damage[0].target_uri.endswith(cut.name) and damage[0].total_length > 0
+    found = warc.page_digests(warc.revisits_checked(warc.read_payloads(spark, path)))
+    assert found.count() == 39 and found.filter("intact").count() == 39
+
+
+def test_revisits_name_records(spark, tmp_path):
+    pages = spark.createDataFrame(page_rows(), "page_id bigint, url string, html string").union(
+        spark.createDataFrame([(1, "http://a/1", "x" * 200)] * 2 + [(1, "", "y" * 300), (20, "", "y" * 300)])
+    )
+    path = str(tmp_path / "warc")
+    warc.write_archives(pages, path, segment_chars=1000, records_per_file=7)
+    records = warc.read_records(spark, path)
+    ids = [r.record_id for r in records.collect()]
+    assert len(ids) == len(set(ids))
+    named = {r.refers_to for r in records.filter("record_type = 'revisit'").collect()}
+    assert named and named <= {r.record_id for r in records.filter("record_type = 'response'").collect()}
+    payloads = warc.read_payloads(spark, path)
+    assert warc.revisits_checked(payloads).filter("NOT intact").count() == 0
+    gone = sorted(named)[0]
+    lost = warc.revisits_checked(payloads.filter(F.col("record_id") != gone)).filter("NOT intact").collect()
+    assert lost and {r.refers_to for r in lost} == {gone}
 
 
 # --- neighbours
