@@ -10,10 +10,12 @@ again has no word behind it and stays, as does everything else of a text.
 
 The restored text is scored by a logistic regression on hashed character n-grams (present or not).
 Which n-grams count is decided over all labelled rows, by the association of their presence with the
-label; the regression's weights are fitted on a bounded sample.
+label: an n-gram must stand in ``LEAST_TOXIC`` toxic rows, and the ``MOST_FEATURES`` most associated ones
+count. The regression's weights are fitted on a bounded sample of ``TRAINING_ROWS``.
 
 A null or empty text has no n-gram and gets the regression's bias as its score. Rows without a label,
-or with a null one, are not learned from; of repeated labels of a document the greatest counts.
+or with a null one, are not learned from; of repeated labels of a document the greatest counts. A null
+``doc_id`` has no label and a null ``held_out``.
 """
 
 from __future__ import annotations
@@ -243,7 +245,7 @@ def disguised_rows(offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
     before = word[begin - 1] & ((data[begin - 1] >= 128) | border[begin - 1] | ~word[begin - 2] | sign[begin - 1])
     after = word[end + 1] & ((data[end + 1] >= 128) | border[end + 2] | ~word[end + 2])
     hit[begin[word[begin + 1] & before & after]] = True
-    return np.unique(np.searchsorted(offsets, np.flatnonzero(hit), "right") - 1)
+    return np.flatnonzero(np.bincount(np.searchsorted(offsets, np.flatnonzero(hit), "right") - 1))
 
 
 def restored(texts: pa.Array, spelling: SpellingModel) -> pa.Array:
@@ -270,6 +272,20 @@ def _present(texts: pa.Array, spelling: SpellingModel) -> Iterator[tuple[int, in
         yield start, len(offsets) - 1, *ngram_buckets(offsets, _CLEAN[data], SIZES, BITS)
 
 
+def distinct_by_row(n: int, row: np.ndarray, bucket: np.ndarray, last: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, its distinct buckets) for each row, without sorting: of equal buckets in a row the last one stays.
+
+    ``row`` is made of ascending runs, one per n-gram size. ``last`` is room for one number per bucket.
+    """
+    bounds = np.flatnonzero(np.diff(row) < 0) + 1
+    runs = [(part, np.searchsorted(of, np.arange(n + 1))) for of, part in zip(np.split(row, bounds), np.split(bucket, bounds))]
+    for i in range(n):
+        own = np.concatenate([part[ends[i] : ends[i + 1]] for part, ends in runs])
+        place = np.arange(len(own), dtype=np.int32)
+        last[own] = place
+        yield i, own[last[own] == place]
+
+
 @dataclass(frozen=True)
 class ToxicityModel:
     spelling: dict[str, int]
@@ -329,16 +345,14 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, learn: Column
 
     def associate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, seen, docs_of = SpellingModel(shared.value), np.zeros((2, 1 << BITS), np.int32), np.zeros(2, np.int64)
+        last = np.zeros(1 << BITS, np.int32)
         for batch in batches:
             toxic = batch.column("toxic").to_numpy(zero_copy_only=False).astype(np.int64)
             for start, n, row, bucket in _present(batch.column("text"), model):
-                present = np.unique((row.astype(np.int64) << BITS) | bucket)
                 label = toxic[start : start + n]
-                at = label[present >> BITS]
-                present &= (1 << BITS) - 1
-                for kind in (0, 1):
-                    np.add.at(seen[kind], present[at == kind], 1)
-                    docs_of[kind] += (label == kind).sum()
+                docs_of += np.bincount(label, minlength=2)
+                for at, present in distinct_by_row(n, row, bucket, last):
+                    seen[label[at], present] += 1
         names = ["bucket", "clean", "toxic"]
         yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), *(pa.array(docs_of[k : k + 1]) for k in (0, 1))], names)
         for first in range(0, 1 << BITS, _EMITTED):

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import itertools
 import math
 import random
 import zlib
@@ -299,3 +300,63 @@ def test_estimates_are_the_same_in_columns_and_arrays(spark):
     exact = [math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi) for a, b in pairs]
     assert np.allclose(sorted(r.v for r in column.collect()), sorted(exact), atol=1e-7)
     assert np.allclose(ctw.log_kt(*np.array(pairs).T), exact, atol=1e-7)
+
+
+def spellings(model, word):
+    """Every path through a token's lattice, written out, with its log probability."""
+    runs = [(m[1], len(m[0])) for m in regex.finditer(r"(.)\1*", word)]
+    tail = max((i + 1 for i, (c, _) in enumerate(runs) if c not in toxicity.LOOK_ALIKES), default=0)
+    options = []
+    for i, (char, size) in enumerate(runs):
+        lengths = [(size, 0.0)] + ([(1, toxicity._SHORTEN), (2, toxicity._SHORTEN)] if size > 2 else [])
+        sign = char in toxicity.LOOK_ALIKES
+        option = [(letter * n, cost + (toxicity._REPLACE if sign else 0.0)) for letter in (toxicity.LOOK_ALIKES[char] if sign else char) for n, cost in lengths]
+        edge = toxicity._keep(char, size) if i == 0 or i >= tail else toxicity._KEEP_SIGN
+        options.append(option + ([(char * size, ("kept", edge))] if sign else []))
+    for path in itertools.product(*options):
+        score, letters, text, behind_sign = 0.0, "", "", False
+        for piece, cost in path:
+            if isinstance(cost, tuple):
+                score += word_score(model, letters) + (toxicity._KEEP_NEXT if behind_sign else cost[1])
+                letters, behind_sign = "", True
+            else:
+                score, letters, behind_sign = score + cost, letters + piece, False
+            text += piece
+        yield score + word_score(model, letters), text
+
+
+def word_score(model, letters):
+    marked = f"^^{letters}$"
+    return sum(model.log(marked[i : i + 2], marked[i + 2]) for i in range(len(marked) - 2)) if letters else 0.0
+
+
+def test_viterbi_finds_the_likeliest_of_all_spellings():
+    grams = Counter()
+    for word, n in {"idiot": 30, "moron": 20, "hello": 60, "good": 80, "too": 50, "trash": 9, "ass": 5, "lost": 40, "oil": 7}.items():
+        grams.update({f"^^{word}$"[i : i + 3]: n for i in range(len(word) + 1)})
+    model = toxicity.SpellingModel(dict(grams))
+    generator = random.Random(4)
+    words_ = ["1d10t", "m0r0n!!", "hellooo", "g00d", "7ra5h", "@$$", "$a", "l0$7", "too", "!oil!", "tooo0", "+++a"]
+    words_ += ["".join(generator.choice("aot01$!lli") for _ in range(generator.randint(2, 6))) for _ in range(150)]
+    for word in words_:
+        if len(set(word)) < 2 or not any(c.isalpha() for c in word) or regex.search(r"([a-z])\1{3}", word):
+            continue
+        every = dict((text, max(s for s, t in found if t == text)) for found in [list(spellings(model, word))] for text in {t for _, t in found})
+        assert every[model.restore(word)] == pytest.approx(max(every.values())), word
+
+
+def test_distinct_buckets_by_row():
+    generator = np.random.default_rng(2)
+    last = np.zeros(1 << 8, np.int32)
+    for n in (1, 2, 7):
+        row = np.concatenate([np.sort(generator.integers(0, n, size)) for size in (60, 40, 0, 1)]).astype(np.int32)
+        bucket = generator.integers(0, 1 << 8, len(row)).astype(np.int32)
+        found = {i: sorted(b.tolist()) for i, b in toxicity.distinct_by_row(n, row, bucket, last)}
+        assert found == {i: sorted(set(bucket[row == i].tolist())) for i in range(n)}
+    assert [len(b) for _, b in toxicity.distinct_by_row(3, np.empty(0, np.int32), np.empty(0, np.int32), last)] == [0, 0, 0]
+
+
+def test_every_language_is_learned(spark):
+    rows = [(i * 3 + j, f"{chr(0x4E00 + 7 * i) * 3} {chr(0x4E03 + 7 * i) * 2}", f"l{i}") for i in range(450) for j in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    assert len(langid.train(docs, epochs=1).languages) == 450
