@@ -7,7 +7,8 @@ counted in the tasks, so the driver sees bucket counts and never texts). A part
 kept back to set the temperature of the softmax and the confidence below which a text is rejected.
 
 A null text, or one without a letter, is ``und`` with score 0 and not accepted. Without labelled rows
-every text is ``und``.
+every text is ``und``. Repeated rows are learned from as often as they come, and a null ``doc_id`` is scored
+like any other (its ``held_out`` is null).
 """
 
 from __future__ import annotations
@@ -28,9 +29,8 @@ UNKNOWN = "und"
 BITS = 13
 SIZES = (2, 3, 4)
 DIMENSIONS = 16
-# Bounds of the training sample: rows for each language, and languages.
+# Bound of the training sample: rows for each language. Every language in the labelled rows is learned.
 ROWS_PER_LANGUAGE = 1_000
-MOST_LANGUAGES = 400
 BATCH = 32
 LEAST_STEPS = 1_500
 # The rejection threshold loses at most this share of rightly labelled texts.
@@ -59,13 +59,15 @@ def _ngrams(texts: pa.Array) -> Iterator[tuple[int, int, list[tuple[np.ndarray,
 
 
 def _sample(labelled: DataFrame, rows_per_language: int) -> DataFrame:
-    """About so many rows of each language, picked by a hash of the id; all of a rarer one."""
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    """About so many rows of each language, picked by a hash of the id; all of a rarer one.
+
+    The languages' counts are collected, a row each, as the model has a column of floats for each anyway.
+    """
+    counts = labelled.groupBy("lang").count().collect()
+    shares = [(row["lang"], int((1 << 30) * min(1.0, rows_per_language / row["count"]))) for row in counts]
+    below = labelled.sparkSession.createDataFrame(shares, "lang string, below bigint")
     place = F.xxhash64("doc_id", "text").bitwiseAND(F.lit((1 << 30) - 1))
-    wanted = F.lit(False)
-    for row in counts:
-        wanted = wanted | ((F.col("lang") == row["lang"]) & (place < int((1 << 30) * min(1.0, rows_per_language / row["count"]))))
-    return labelled.filter(wanted)
+    return labelled.join(F.broadcast(below), "lang").filter(place < F.col("below")).drop("below")
 
 
 def _bucket_counts(labelled: DataFrame) -> DataFrame:
