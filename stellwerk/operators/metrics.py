@@ -63,6 +63,15 @@ def match_rate(scored: DataFrame) -> DataFrame:
     return scored.agg(F.count_if("match").alias("matched"), F.count("*").alias("evaluated"))
 
 
+def run_summary_of_counts(runs: DataFrame, delivered: DataFrame) -> DataFrame:
+    """The same from the counts that the runs before committed, without their rows. The delivered
+    postings hold each id once and none that was delivered before."""
+    before = runs.agg(F.coalesce(F.sum("new_ids"), F.lit(0)).alias("ledger_before"))
+    new = delivered.agg(F.count("job_id").alias("new_jobs"))
+    counts = new.withColumn("ledger_before", before.scalar())
+    return counts.withColumn("ledger_after", F.col("ledger_before") + F.col("new_jobs"))
+
+
 def run_summary(ledger_before: DataFrame, delivered: DataFrame) -> DataFrame:
     """New postings, and the ledger's size before and after them: one aggregate."""
     marks = ledger_before.select("job_id", F.lit(True).alias("old")).unionByName(

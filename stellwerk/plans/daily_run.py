@@ -145,7 +145,11 @@ def deliver(
         write_digest(parts.withColumn("subject", title), f"{run_dir}/{folder}")
     delivered = send is None or send(*(spark.read.parquet(f"{run_dir}/{f}") for f in ("digest", "digest-html")))
     # Written before the ledger grows, since it reports the ledger's size before the run.
-    summary = materialise(metrics.run_summary(ledger, matched), f"{run_dir}/summary")
+    runs = ledgers.run_counts(spark, ledger_path, except_run=run_id)
+    # Runs that were recorded without a count may share ids with others.
+    counted = runs.filter("new_ids IS NULL").isEmpty()
+    summary = metrics.run_summary_of_counts(runs, matched) if counted else metrics.run_summary(ledger, matched)
+    summary = materialise(summary, f"{run_dir}/summary")
     if delivered:
-        ledgers.append_ledger(matched, ledger_path, run_id, sent_at)
+        ledgers.append_ledger(matched, ledger_path, run_id, sent_at, counted=True)
     return summary

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from stellwerk import schema
 from stellwerk.functions.text import platform_rank
@@ -38,15 +38,21 @@ def read_indented_json(spark: SparkSession, path: str, record: str, order: list[
     string, so the file is split there and read in parallel. A record that does not parse
     is an error.
 
-    ``order`` names two columns to add, whose values give the records' order in the file:
-    where the block of the file begins that a record was read from, and its place in there.
+    ``order`` names three columns to add, whose values give the records' order in the file: where the block
+    of the file begins that a record was read from, its place in there, and the file's own place among
+    all files by path.
     """
     pieces = spark.read.option("lineSep", "\n  },").text(path)
     if order:
         # Blocks of one file are read by one task each, or by one after the other.
         place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).cast("int")
         block = (F.col("_metadata.file_block_start") / 4096).cast("int")
-        pieces = pieces.select("value", block.alias(order[0]), place.alias(order[1]))
+        file = F.col("_metadata.file_path").alias("_file")
+        pieces = pieces.select("value", block.alias(order[0]), place.alias(order[1]), file)
+        # A row per file, from the listing that the driver holds anyway.
+        files = spark.read.format("binaryFile").load(path).select(file).distinct()
+        number = F.row_number().over(Window.orderBy("_file")) - 1
+        pieces = pieces.join(F.broadcast(files.select("_file", number.alias(order[2]))), "_file").drop("_file")
     body = F.regexp_extract("value", r'(?s)^\s*[\[{]?\s*(?:"(?:[^"\\]|\\.)*+":\s*)?(\{.*)$', 1)
     # The last piece still has the closing brackets of the record and of the file.
     body = F.regexp_replace(body, r"\s*\}\s*[\]}]\s*\z", "")
@@ -59,14 +65,13 @@ def read_indented_json(spark: SparkSession, path: str, record: str, order: list[
 def read_scrape_cache(spark: SparkSession, path: str) -> DataFrame:
     """A JSON scrape cache as postings in file order, ready to be delivered.
 
-    The order columns: the board's rank, and the place of a record in the file as page and
-    card. ``observed_at`` is the time of reading.
+    The order columns: the board's rank, the file's place among several ordered by their paths, and the place
+    of a record in the file as page and card. ``observed_at`` is the time of reading.
     """
-    rows = read_indented_json(spark, path, schema.CACHED_POSTING, ["page_no", "card_pos"])
+    rows = read_indented_json(spark, path, schema.CACHED_POSTING, ["page_no", "card_pos", "query_idx"])
     return rows.withColumns(
         {
             "platform_rank": platform_rank(F.col("platform")),
-            "query_idx": F.lit(0),
             "observed_at": F.current_timestamp(),
         }
     )

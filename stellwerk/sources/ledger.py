@@ -9,6 +9,9 @@ from stellwerk import schema
 from stellwerk.sources.files import path_missing, read_indented_json
 
 
+_COUNT = "_count"
+
+
 def read_ledger(spark: SparkSession, path: str, except_run: str | None = None) -> DataFrame:
     """All ledger rows; no ledger yet means none. An unreadable ledger is an error, since
     taking it for empty would deliver everything again.
@@ -42,10 +45,41 @@ def ledger_rows(postings: DataFrame, sent_at: Column) -> DataFrame:
     )
 
 
-def append_ledger(postings: DataFrame, path: str, run_id: str, sent_at: Column) -> None:
+def append_ledger(postings: DataFrame, path: str, run_id: str, sent_at: Column, counted: bool = False) -> None:
     """Record a run's deliveries. Each run owns a subfolder, so a repeated run replaces its
-    rows and never doubles them."""
-    ledger_rows(postings, sent_at).write.mode("overwrite").parquet(f"{path}/run_id={run_id}")
+    rows and never doubles them.
+
+    ``counted`` says that the postings hold each id once and none that another run delivered. Their
+    number is then committed beside the rows, after them: replacing a run's rows takes its count away
+    first, so a count never stands beside rows it wasn't taken from.
+    """
+    folder = f"{path}/run_id={run_id}"
+    ledger_rows(postings, sent_at).write.mode("overwrite").parquet(folder)
+    if counted:
+        written = postings.sparkSession.read.schema("job_id string").parquet(folder)
+        written.agg(F.count("*").alias("new_ids")).write.parquet(f"{folder}/{_COUNT}")
+
+
+def run_counts(spark: SparkSession, path: str, except_run: str | None = None) -> DataFrame:
+    """``run_id, new_ids`` of each run in the ledger; ``new_ids`` is null where a run has no committed
+    count. Folders are listed and counts read, no ledger rows."""
+    name = F.regexp_extract("_metadata.file_path", rf"/run_id=([^/]+)(?:/{_COUNT})?/[^/]+$", 1)
+    run = F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))).alias("run_id")
+    try:
+        files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path)
+        runs = files.select(run).distinct()
+    except AnalysisException as error:
+        if not path_missing(error):
+            raise
+        runs = spark.createDataFrame([], "run_id string")
+    try:
+        counts = spark.read.schema("new_ids bigint").parquet(f"{path}/run_id=*/{_COUNT}").select(run, "new_ids")
+    except AnalysisException as error:
+        if not path_missing(error):
+            raise
+        counts = spark.createDataFrame([], "run_id string, new_ids bigint")
+    found = runs.join(counts, "run_id", "left")
+    return found if except_run is None else found.filter(F.col("run_id") != except_run)
 
 
 def save_bucketed(ledger: DataFrame, table: str, buckets: int, path: str | None = None) -> None:
