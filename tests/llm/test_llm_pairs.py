@@ -3,9 +3,11 @@
 import gzip
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from compare import difference, duck
 from pyspark.sql import functions as F
@@ -147,7 +149,9 @@ def test_items_are_found_and_nothing_else(spark, documents):
             body = " ".join([*body.split()[:cut], passage, *body.split()[cut:]])
             want.add((i, item[0]))
         rows.append((i, body))
-    rows += [(900, None), (901, ""), (902, "v1 v2")]
+    rows += [(900, None), (901, ""), (902, "v1 v2"), (903, "v2 v1"), (904, "so V1, v2!")]
+    # A short item is held where its words stand in a row.
+    want |= {(i, 502) for i, body in rows if re.search(r"\bv1 v2\b", " ".join(re.findall(r"\w+", (body or "").lower())))}
     frame, benchmark = documents(rows), spark.createDataFrame(items, "item_id bigint, text string")
     found = {(r.doc_id, r.item_id) for r in decontaminate.contaminations(spark, frame, benchmark).collect()}
     assert found == want
@@ -193,6 +197,53 @@ def test_items_of_one_id_and_without_id_are_all_found(spark, documents, monkeypa
     assert [r.doc_id for r in decontaminate.keep_clean(spark, documents(rows), items).collect()] == [4]
 
 
+BOOKS = ["Who wrote the long red book about stars? Jane Miller the second.", "Which river runs past seven old stone mills? The slow green Oder.", "What do nine grey owls eat at night? Mice and small beetles.", "When did the last tram leave the harbour? Long before the storm.", "Which of the mills by the river burned down first? The third one.", "seven red owls", "Oder", "Who wrote the book about the harbour? The second owl.", "!!", ""]
+
+
+def test_rows_do_not_depend_on_the_shards(spark, documents, monkeypatch):
+    items = spark.createDataFrame([(i % 7, t) for i, t in enumerate(BOOKS)], "item_id bigint, text string")
+    rows = [(i, f"they asked {a} and then {b.lower()} of it") for i, (a, b) in enumerate((a, b) for a in BOOKS for b in BOOKS[::3])]
+    results = {}
+    for shard_bytes in (1 << 20, 60, 1):
+        monkeypatch.setattr(decontaminate, "SHARD_BYTES", shard_bytes)
+        results[shard_bytes] = sorted(tuple(r) for r in decontaminate.contaminations(spark, documents(rows), items).collect())
+    assert len(results[1]) > 50
+    assert results[1 << 20] == results[60] == results[1]
+
+
+def test_scripts_without_spaces(spark, documents):
+    chinese, japanese, thai = "哪条河流经过七座古老的石头磨坊？缓慢的绿色奥得河。", "九羽の灰色のフクロウは夜に何を食べますか。ネズミと小さな甲虫です。", "แม่น้ำใดไหลผ่านโรงสีหินเก่าเจ็ดแห่ง"
+    items = spark.createDataFrame([(1, chinese), (2, japanese), (3, thai), (4, "奥得")], "item_id bigint, text string")
+    rows = [(1, f"昨天他问我{chinese}我不知道。"), (2, "むかし" + japanese), (3, f"เมื่อวาน{thai}ครับ"), (4, "河流经过很多城市，奥地利也得到了。"), (5, "river 奥得 mills"), (6, "ไม่มีอะไร")]
+    found = {(r.doc_id, r.item_id) for r in decontaminate.contaminations(spark, documents(rows), items).collect()}
+    assert found == {(1, 1), (1, 4), (2, 2), (3, 3), (5, 4)}
+
+
+def test_a_long_text_is_read_in_stretches(monkeypatch):
+    monkeypatch.setattr(decontaminate, "SLICE_BYTES", 200)
+    index = decontaminate.build_index([(i, t, *decontaminate.question_and_answer(t)) for i, t in enumerate(BOOKS)])
+    texts = pa.array([" ".join(["filler words go on"] * 300 + [BOOKS[0]] + ["and on"] * 500 + [BOOKS[5], "x" * 900, BOOKS[3]]), None])
+    assert {(m[0], m[1]) for m in decontaminate.matches(index, texts, 0.5, 0.5)} == {(0, 0), (0, 5), (0, 3)}
+
+
+def test_matching_within_a_full_shard_is_bounded(monkeypatch):
+    """Passages that share their words with most of many short items, in pieces: the same as at once."""
+    generator = np.random.default_rng(4)
+    names = np.array([f"t{i}" for i in range(60)])
+    rows = [(i, " ".join(generator.choice(names, 7)), "", "") for i in range(3000)]
+    index = decontaminate.build_index(rows)
+    passages = [np.unique(generator.choice(60, 25)) for _ in range(40)]
+    owner, terms = np.repeat(np.arange(40), [len(p) for p in passages]), np.concatenate(passages)
+    at_once = decontaminate.retrieve(index, owner, terms, 40, 0.6)
+    monkeypatch.setattr(decontaminate, "OPENED", 500)
+    monkeypatch.setattr(decontaminate, "PAIRS", 37)
+    pieces = decontaminate.retrieve(index, owner, terms, 40, 0.6)
+    key = lambda found: sorted(zip(*(x.tolist() for x in found)))
+    assert len(at_once[0]) > 100 and key(pieces) == key(at_once)
+    want = {(p, e) for p, own in enumerate(passages) for e in np.flatnonzero(np.bincount(index.entries.open(own)[1], index.entries.open(own)[2], len(index.items)) >= 0.6 - 1e-9)}
+    assert set(zip(at_once[0].tolist(), at_once[1].tolist())) == want
+
+
 # --- urls
 
 
