@@ -50,12 +50,13 @@ SHARD_BYTES = 8 << 20
 K1, B = 1.2, 0.75
 # Bounds err on the safe side by this much; scores are compared as they are.
 SAFE = 1e-6
-# Postings opened at once, and pairs of passage and block looked into at once.
+# Postings and bounds of blocks held at once, and pairs of passage and block scored at once.
 OPENED, PAIRS = 1 << 20, 1 << 13
 
 # Of lower-cased texts, letters and digits stay; other ASCII bytes separate words.
 _CLEAN = np.arange(256, dtype=np.uint8)
 _CLEAN[[b for b in range(128) if not chr(b).isalnum()]] = 32
+_WORD = re.compile(r"[0-9A-Za-z]|[^\x00-\x7f]")
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 SPACELESS = ("Han", "Hiragana", "Katakana", "Bopomofo", "Yi", "Thai", "Lao", "Khmer", "Myanmar", "Tibetan", "Javanese", "Balinese")
@@ -120,7 +121,7 @@ def _entries(code: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def question_and_answer(text: str) -> tuple[str, str]:
-    sentences = [s for s in re.split(r"(?<=[.!?])\s+|(?<=[\u3002\uff01\uff1f])", text.strip()) if len(_words_of([s])[0])]
+    sentences = [s for s in re.split(r"(?<=[.!?])\s+|(?<=[\u3002\uff01\uff1f])", text.strip()) if _WORD.search(s)]
     if len(sentences) < 2:
         return text, text
     return " ".join(sentences[:-1]), sentences[-1]
@@ -248,17 +249,23 @@ def retrieve(index: Index, passage: np.ndarray, term: np.ndarray, passages: int,
     opening = np.zeros(len(term), bool)
     opening[order] = opens
     ceiling = np.bincount(passage[~opening], index.greatest[term[~opening]], passages)
-    work = np.cumsum(np.bincount(passage[opening], size[opening], passages))
-    # Passages without an opening term have no match; the others go in groups of about OPENED postings.
-    cuts = np.unique(np.searchsorted(work, np.arange(0, work[-1] + OPENED, OPENED) if passages else [])) if len(term) else []
+    # Passages go in groups of about OPENED postings and places for bounds.
+    n_blocks = len(index.items) // BLOCK_ITEMS + 1
+    work = np.cumsum(np.bincount(passage, size, passages) + n_blocks)
+    cuts = np.unique(np.searchsorted(work, np.arange(0, work[-1], OPENED))).tolist() if len(term) else []
     for low, high in zip(cuts, [*cuts[1:], passages]):
         part = slice(starts[low], starts[high])
-        some = opening[part]
-        which, block, weight = index.blocks.open(term[part][some])
-        n_blocks = len(index.items) // BLOCK_ITEMS + 1
-        key, place = np.unique(passage[part][some][which] * n_blocks + block, return_inverse=True)
-        bound = np.bincount(place, weight, len(key)) + ceiling[key // n_blocks]
-        key = key[bound >= threshold - SAFE]
+        own, row, some = term[part], passage[part] - low, opening[part]
+
+        def bounds(chosen: np.ndarray) -> np.ndarray:
+            which, block, weight = index.blocks.open(own[chosen])
+            return np.bincount(row[chosen][which] * n_blocks + block, weight, (high - low) * n_blocks).reshape(-1, n_blocks)
+
+        bound = bounds(some)
+        still = bound + ceiling[low:high, None] >= threshold - SAFE
+        # The other terms' block maxima, only for passages that have an open block.
+        bound += bounds(~some & still.any(axis=1)[row])
+        key = np.flatnonzero(still & (bound >= threshold - SAFE)) + low * n_blocks
         for begin in range(0, len(key), PAIRS):
             found.append(_score(index, key[begin : begin + PAIRS], starts, term, threshold))
     return tuple(np.concatenate(x) for x in zip(*found))
@@ -273,10 +280,6 @@ def _score(index: Index, pairs: np.ndarray, starts: np.ndarray, term: np.ndarray
     listed = np.minimum(np.searchsorted(index.block_keys, key), len(index.block_keys) - 1)
     there = index.block_keys[listed] == key
     pair, listed = pair[there], listed[there]
-    # All block maxima, before any posting is read.
-    bound = np.bincount(pair, index.blocks.weight[listed], len(pairs))
-    still = bound[pair] >= threshold - SAFE
-    pair, listed = pair[still], listed[still]
     which, posting = _ranges(index.block_starts[listed], index.block_starts[listed + 1])
     key, place = np.unique(owner[pair[which]] * n_entries + index.entries.at[posting], return_inverse=True)
     score = np.bincount(place, index.entries.weight[posting], len(key))
