@@ -6,13 +6,13 @@ Where it doesn't, the template has rewritten history: ``kept`` says how much of
 stands. Inside its span a turn's text is found by two probes, the same prefix with the texts "a" and "b":
 what both have in front of the letter is the header, what both have behind it the trailer.
 
-Full prefixes cost the square of a conversation's length. A template therefore states its ``memory``: what
-it writes for a turn depends on the first turn and that many turns before it, and prefixes leave out the
-turns between. ``memory=None`` renders full prefixes; a rewriting template needs that to be seen whole.
+Every prefix is rendered in full, the registered query's too. That costs the square of a conversation's length,
+so the prefixes of one longer than ``BLOCK_TURNS`` are dealt to tasks in blocks; each has the turns up to its own
+last one, which a full prefix asks for. A template may state a ``memory`` instead: what it writes for a turn depends on
+the first turn and that many turns before it, and prefixes leave out the turns between.
 
-A conversation is a stream of rows in one task (its digests are sequential), sorted by Spark. Neither
-rendering nor reading back holds more than a few turns of it. The output is a row per turn, so no
-conversation becomes a single cell.
+The rows of a conversation are sorted by Spark. Reading back is a stream in one task (the digests are sequential)
+that holds no more than a few turns. The output is a row per turn, so no conversation becomes a single cell.
 
 Defined results: rows of one conversation are ordered by turn (null first), then role, then text; rows
 that are repeated are turns of their own. A null text is empty, a null role is ''. Rows without a
@@ -25,16 +25,23 @@ import hashlib
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 from urllib.parse import quote, unquote
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 Turns = list[tuple[str, str]]
 
 # Rows of an output batch end at about this many characters.
 BATCH_CHARS = 1 << 22
 
+# The prefixes of a longer conversation are rendered in several blocks of so many turns.
+BLOCK_TURNS = 1000
+
+# A worker forgets the marked turns it keeps at this many characters.
+KEPT_CHARS = 1 << 24
+
 
 @dataclass(frozen=True)
 class Template:
@@ -84,8 +91,26 @@ def _marked(role: str, text: str) -> str:
     return f"[ROLE {quote(role, safe='')}] {inner} [/ROLE]"
 
 
+class _MarkedTurns(dict):
+    """Turns as they are marked: a prefix shows them again and again."""
+
+    chars = 0
+
+    def __missing__(self, turn: tuple[str, str]) -> str:
+        marked = _marked(*turn)
+        self.chars += len(turn[1]) + len(marked)
+        if self.chars > KEPT_CHARS:
+            self.clear()
+            self.chars = len(turn[1]) + len(marked)
+        self[turn] = marked
+        return marked
+
+
+_marked_turns = _MarkedTurns()
+
+
 def render_marked(turns: Turns) -> str:
-    return BEGIN + "".join(_marked(role, text) for role, text in turns)
+    return BEGIN + "".join(map(_marked_turns.__getitem__, turns))
 
 
 def read_marked(text: str, first: bool) -> tuple[Turns, int]:
@@ -97,7 +122,7 @@ def read_marked(text: str, first: bool) -> tuple[Turns, int]:
     return turns, at
 
 
-MARKED = Template(render_marked, read_marked, unescape, memory=2)
+MARKED = Template(render_marked, read_marked, unescape)
 
 
 # --- rendering by prefixes ---
@@ -114,18 +139,22 @@ def _common_prefix(a: str, b: str) -> int:
     return low
 
 
-def spans(turns: Iterator[tuple[str, str]], template: Template) -> Iterator[tuple[int, str, int | None, int | None]]:
+def spans(
+    turns: Iterator[tuple[str, str]], template: Template, earlier: Turns | None = None
+) -> Iterator[tuple[int, str, int | None, int | None]]:
     """(kept, piece, text start, text stop) per turn; offsets count characters of the whole output.
 
     The output after a turn is the first ``kept`` characters of the output before it, then ``piece``.
     Start and stop are None where the template shows the text other than between header and trailer.
+    ``earlier`` are the turns before, for a template without ``memory``.
     """
-    shown: Turns = []
-    length, before = 0, ""
+    shown: Turns = list(earlier or ())
+    before = template.render(shown) if shown else ""
+    length = len(before)
     for role, text in turns:
         head = shown if template.memory is None else shown[:1] + shown[1:][-template.memory :]
-        if head != shown or length == 0:
-            before = template.render(head) if head else ""
+        if len(head) < len(shown):
+            before = template.render(head)
         now = template.render([*head, (role, text)])
         same = len(before) if now.startswith(before) else _common_prefix(before, now)
         kept = length - (len(before) - same)
@@ -138,7 +167,8 @@ def spans(turns: Iterator[tuple[str, str]], template: Template) -> Iterator[tupl
         )
         yield kept, now[same:], *((offset + start, offset + len(now) - tail) if located else (None, None))
         length, before = offset + len(now), now
-        shown = [*head, (role, text)]
+        shown = head
+        shown.append((role, text))
 
 
 _FORMATTED = (
@@ -152,21 +182,21 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield from batch.slice(start, 500).to_pylist()
 
 
-def _by_conversation(rows: Iterator[dict]) -> Iterator[tuple[int | None, Iterator[dict]]]:
-    """Neighbouring rows with the same conv_id, as streams; each is read to its end before the next one."""
+def _by_conversation(rows: Iterator[dict]) -> Iterator[tuple[tuple[int | None, int], Iterator[dict]]]:
+    """Neighbouring rows with the same conv_id and block, as streams; each is read to its end before the next one."""
     row = next(rows, None)
     while row is not None:
-        conv_id, ended = row["conv_id"], False
+        key, ended = (row["conv_id"], row.get("block", 0)), False
 
         def own() -> Iterator[dict]:
             nonlocal row, ended
-            while row is not None and row["conv_id"] == conv_id:
+            while row is not None and (row["conv_id"], row.get("block", 0)) == key:
                 yield row
                 row = next(rows, None)
             ended = True
 
         stream = own()
-        yield conv_id, stream
+        yield key, stream
         if not ended:
             for _ in stream:
                 pass
@@ -184,7 +214,24 @@ def _batched(rows: Iterator[dict], schema: pa.Schema, size: Callable[[dict], int
         yield pa.RecordBatch.from_pylist(held, schema)
 
 
-def format_conversations(conversations: DataFrame, template: Template = MARKED, learned: tuple[str, ...] = ("assistant",)) -> DataFrame:
+def _in_blocks(rows: DataFrame, block_turns: int) -> DataFrame:
+    """The rows with a ``block``. A conversation of more than ``block_turns`` rows has several: the turns of a block stand in
+    it and in all later ones, whose prefixes begin with them."""
+    counted = rows.groupBy(F.col("conv_id").alias("_conv_id")).agg(F.count("*").alias("_turns")).filter(F.col("_turns") > block_turns)
+    if counted.isEmpty():
+        return rows.withColumn("block", F.lit(0))
+    # At most a row for each ``block_turns`` rows.
+    known = rows.join(F.broadcast(counted), F.col("conv_id").eqNullSafe(F.col("_conv_id")), "left").drop("_conv_id")
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")) - 1
+    block = lambda at: F.floor(at / block_turns).cast("int")
+    dealt = known.filter("_turns IS NOT NULL").withColumn("_place", place)
+    dealt = dealt.withColumn("block", F.explode(F.sequence(block(F.col("_place")), block(F.col("_turns") - 1))))
+    return known.filter("_turns IS NULL").drop("_turns").withColumn("block", F.lit(0)).unionByName(dealt.drop("_turns", "_place"))
+
+
+def format_conversations(
+    conversations: DataFrame, template: Template = MARKED, learned: tuple[str, ...] = ("assistant",), block_turns: int = BLOCK_TURNS
+) -> DataFrame:
     """A row per turn: ``conv_id, place, role, kept, piece, text_start, text_stop, learn, rewrites``.
 
     A conversation's output are its pieces in the order of ``place``, each put behind the first ``kept``
@@ -197,7 +244,9 @@ def format_conversations(conversations: DataFrame, template: Template = MARKED,
     )
 
     def formatted(rows: Iterator[dict]) -> Iterator[dict]:
-        for conv_id, own in _by_conversation(rows):
+        for (conv_id, block), own in _by_conversation(rows):
+            first = block * block_turns
+            earlier = [(row["role"] or "", row["text"] or "") for row in islice(own, first)]
             roles: list[str] = []
 
             def turns() -> Iterator[tuple[str, str]]:
@@ -205,8 +254,8 @@ def format_conversations(conversations: DataFrame, template: Template = MARKED,
                     roles.append(row["role"] or "")
                     yield roles[-1], row["text"] or ""
 
-            length = 0
-            for place, (kept, piece, start, stop) in enumerate(spans(turns(), template)):
+            length = len(template.render(earlier)) if earlier else 0
+            for place, (kept, piece, start, stop) in enumerate(spans(turns(), template, earlier), first):
                 role = roles.pop()
                 yield {
                     "conv_id": conv_id, "place": place, "role": role, "kept": kept, "piece": piece, "text_start": start,
@@ -218,8 +267,10 @@ def format_conversations(conversations: DataFrame, template: Template = MARKED,
         yield from _batched(formatted(_rows(batches)), schema, lambda row: len(row["piece"]))
 
     columns = [F.col("conv_id").cast("bigint").alias("conv_id"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")]
-    ordered = conversations.select(*columns).repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return ordered.select("conv_id", "role", "text").mapInArrow(run, _FORMATTED)
+    rows = conversations.select(*columns)
+    rows = rows.withColumn("block", F.lit(0)) if template.memory is not None else _in_blocks(rows, block_turns)
+    ordered = rows.repartition("conv_id", "block").sortWithinPartitions("conv_id", "block", "turn", "role", "text")
+    return ordered.select("conv_id", "block", "role", "text").mapInArrow(run, _FORMATTED)
 
 
 def read_back(formatted: DataFrame, template: Template = MARKED, whole: bool = False) -> DataFrame:
@@ -237,7 +288,7 @@ def read_back(formatted: DataFrame, template: Template = MARKED, whole: bool = F
     )
 
     def digested(rows: Iterator[dict]) -> Iterator[dict]:
-        for conv_id, own in _by_conversation(rows):
+        for (conv_id, _), own in _by_conversation(rows):
             turns_sha, loss_sha = hashlib.sha256(), hashlib.sha256()
             n_turns = loss_chars = length = 0
             held, first, rewritten, located = "", True, False, True

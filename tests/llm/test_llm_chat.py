@@ -1,5 +1,6 @@
 """Conversations as training text: spans by prefixes, reversible escapes, reading back, rewritten history."""
 
+import dataclasses
 import hashlib
 
 import pytest
@@ -114,6 +115,44 @@ def test_long_conversations_cost_linear_time():
     assert max(calls) == 4
 
 
+def test_query_renders_every_turn_of_every_prefix():
+    calls = set()
+
+    def render(turns):
+        calls.add(len(turns))
+        return chat.render_marked(turns)
+
+    turns = [("user", str(i)) for i in range(30)]
+    assert len(list(chat.spans(iter(turns), dataclasses.replace(chat.MARKED, render=render)))) == 30
+    assert calls == set(range(1, 31))
+
+
+def counting():
+    """Shows the number of turns in front of them, and of the fourth turn only its length once there are seven."""
+
+    def render(turns):
+        shown = [(role, str(len(text)) if i == 3 and len(turns) > 6 else text) for i, (role, text) in enumerate(turns)]
+        return "".join(f"<{role} {i}>{text}</{role}>" for i, (role, text) in enumerate(shown))
+
+    return render
+
+
+@pytest.mark.parametrize("conv_id", [5, None])
+def test_blocks_of_a_long_conversation_show_full_prefixes(spark, conv_id):
+    template = chat.Template(counting(), lambda text, first: ([], len(text)))
+    turns = [(("user", "assistant")[i % 2], f"text {i}") for i in range(11)]
+    rows = [(conv_id, i, *turn) for i, turn in enumerate(turns)] + [(6, 0, "user", "short")]
+    frame = spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string").repartition(3)
+    whole = chat.format_conversations(frame, template).collect()
+    for block_turns in (1, 3, 4, 7):
+        assert sorted(map(repr, chat.format_conversations(frame, template, block_turns=block_turns).collect())) == sorted(map(repr, whole))
+    assert [r.place for r in whole if r.rewrites] == [6]
+    output = ""
+    for r in sorted((r for r in whole if r.conv_id == conv_id), key=lambda r: r.place):
+        output = output[: r.kept] + r.piece
+    assert output == template.render(turns)
+
+
 @pytest.mark.parametrize("sf", ["sf0.001"])
 def test_query_holds_the_contract(spark, sf):
     frame = QUERIES["op12_chat"](spark, f"/root/testdata/{sf}")
