@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from stellwerk.session import new_run_dir
+from stellwerk.session import new_run_dir, release_memory
 
 # Texts are worked on in slices of about this many bytes, so that a batch of long texts does not
 # multiply its size in temporary arrays. A longer single text is a slice of its own.
@@ -80,14 +79,6 @@ _BOUNDS = {
 }
 
 
-def release_memory() -> None:
-    """Give freed memory back to the system: workers live on, and each stage would keep the most it ever held."""
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim is not None:
-        trim(0)
-
-
 def bound_batches(spark: SparkSession) -> None:
     """Lower the session's batch sizes for texts, where they are still Spark's defaults. They stay so, since plans
     read them when they run."""

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import SparkSession
 
 # Applied only when the caller builds a session here; a cluster's own settings are left alone
@@ -23,6 +25,31 @@ _DEFAULTS = {
 }
 
 
+# Spark's own values allow 10,000 rows or 64 MB in a batch, of which a worker holds several copies while it reads pages.
+_PAGE_BATCHES = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "500"),
+    "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "2m"),
+}
+
+
+def bound_page_batches(spark: SparkSession | None) -> None:
+    """Lower the Arrow batch sizes of a session that reads pages in Python, where they are still Spark's defaults. They stay
+    so, since plans read them when they run; no result depends on them."""
+    if spark is None:
+        return
+    for key, (default, bound) in _PAGE_BATCHES.items():
+        if spark.conf.get(key) == default:
+            spark.conf.set(key, bound)
+
+
+def release_memory() -> None:
+    """Give freed memory back to the system: workers live on, and each stage would keep the most it ever held."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def build_session(app: str = "stellwerk", master: str | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     if master:
