@@ -119,6 +119,10 @@ def loaded(kind: Callable[[str], Tokenizer], path: str) -> Tokenizer:
 
 def stretches(text: str) -> list[str]:
     """``text`` cut in front of each single space that stands between characters that are no white space."""
+    parts = text.split(" ")
+    # A space in front, and no other white space beside a space or at the end.
+    if not parts[0] and parts.count("") == 1 and list(map(str.strip, parts)) == parts:
+        return [" " + part for part in parts[1:]]
     if _UNCLEAN.search(text):
         parts = _CUT.split(text)
         return [parts[0], *(" " + part for part in parts[1:])]

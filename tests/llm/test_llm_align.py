@@ -132,3 +132,15 @@ def test_query_holds_the_contract(spark):
     for doc_id, text in small:
         groups = brute_groups(text)
         assert (got[doc_id].n_groups, got[doc_id].n_a) == (len(groups), sum(len(a) for a, _ in groups))
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.text(alphabet=" \n\t\u2003\x1cab", max_size=12))
+def test_texts_are_cut_between_characters_that_are_no_white_space(text):
+    cuts = [i for i in range(1, len(text) - 1) if text[i] == " " and not text[i - 1].isspace() and not text[i + 1].isspace()]
+    assert align.stretches(text) == [text[i:j] for i, j in zip([0, *cuts], [*cuts, len(text)])]
+
+
+def test_texts_with_plain_spaces_are_not_searched_by_pattern(monkeypatch):
+    monkeypatch.setattr(align, "_UNCLEAN", None)
+    assert align.stretches(" some words\nand lines") == [" some", " words\nand", " lines"]
