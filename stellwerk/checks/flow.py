@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from stellwerk import schema, vocab
 from stellwerk.checks.base import (
@@ -11,6 +11,7 @@ from stellwerk.checks.base import (
     POSTINGS_SQL,
     SCORED_SQL,
     any_of_sql,
+    as_postings,
     board_of,
     board_sql,
     postings,
@@ -834,15 +835,22 @@ def digest_html(spark, sf):
     return counted.withColumn("subject", digest.subject("Germany", F.lit("2024-01-31")))
 
 
-def _as_cache(rows, path):
-    """Postings as indented JSON files, a file for each thousand, in the order of their ids."""
+def _as_cache(documents, path):
+    """Documents' postings as indented JSON files, a file for each thousand, in the order of their ids. Each line is
+    an entry: rows are dealt and sorted as documents, which hold their text once, and no file becomes a single row. An entry
+    shows its text twice, so the files are written compressed."""
+    order = ["doc_id", "text", "lang", "source", "n_chars"]
+    whole = Window.partitionBy("thousand")
+    placed = documents.select(*order, F.floor(F.col("doc_id") / 1000).alias("thousand")).repartition("thousand").withColumns(
+        {"place": F.row_number().over(whole.orderBy(*order)), "last": F.count("*").over(whole)}
+    )
+    rows = as_postings(placed.sortWithinPartitions("thousand", "place"), "thousand", "place", "last")
     names = ["title", "company", "location", "url", "posting_date", "platform", "experience_level", "description", "job_id"]
     fields = [F.concat(F.lit(f'    "{n}": '), F.expr(f"substring(to_json(array({n})), 2, length(to_json(array({n}))) - 2)")) for n in names]
     entry = F.concat(F.lit("  {\n"), F.concat_ws(",\n", *fields), F.lit("\n  }"))
-    entries = F.sort_array(F.collect_list(F.struct("doc_id", entry.alias("entry"))))
-    whole = F.concat(F.lit("[\n"), F.array_join(F.transform("entries", lambda e: e["entry"]), ",\n"), F.lit("\n]"))
-    files_ = rows.groupBy(F.floor(F.col("doc_id") / 1000).alias("thousand")).agg(entries.alias("entries"))
-    files_.select("thousand", whole.alias("value")).repartition("thousand").write.partitionBy("thousand").text(path)
+    opening = F.when(F.col("place") == 1, F.lit("[\n")).otherwise(F.lit(""))
+    closing = F.when(F.col("place") == F.col("last"), F.lit("\n]")).otherwise(F.lit(","))
+    rows.select("thousand", F.concat(opening, entry, closing).alias("value")).write.partitionBy("thousand").text(path, compression="lz4")
 
 
 @query(
@@ -854,7 +862,7 @@ def _as_cache(rows, path):
 def cache_replay(spark, sf):
     """A JSON cache of all postings, read back and delivered."""
     run_dir = new_run_dir(spark, "replay")
-    _as_cache(postings(spark, sf), f"{run_dir}/cache")
+    _as_cache(table(spark, sf, "documents"), f"{run_dir}/cache")
     found = files.materialise(files.read_scrape_cache(spark, f"{run_dir}/cache"), f"{run_dir}/postings")
     summary = daily_run.deliver(found, _by_length, f"{run_dir}/ledger", run_dir, "today", _as_of())
     sent = ledger.read_ledger(spark, f"{run_dir}/ledger").select("job_id", "platform")

@@ -134,9 +134,9 @@ def deliver(
     matched = materialise(
         identity.first_global(scoring.matched_only(scored)), f"{run_dir}/matched"
     )
-    numbered = materialise(
-        digest.digest_number(matched.withColumn("digest_id", F.lit(run_id))), f"{run_dir}/numbered"
-    )
+    # No digest shows the whole description, so it isn't sent along.
+    shown = matched.drop("description", "summary").withColumn("digest_id", F.lit(run_id))
+    numbered = materialise(digest.digest_number(shown), f"{run_dir}/numbered")
     wanted = spark.createDataFrame([(run_id,)], "digest_id string")
     date = F.date_format(sent_at, "yyyy-MM-dd")
     title = digest.subject(country, date)

@@ -10,8 +10,9 @@ from stellwerk.functions.text import platform_rank
 
 
 def write_snapshot(df: DataFrame, path: str) -> None:
-    """Persist a stage right after it was computed, so later stages can be run again."""
-    df.write.mode("overwrite").parquet(path)
+    """Persist a stage right after it was computed, so later stages can be run again. Stages carry whole texts, of which
+    zstd leaves much less than Spark's default."""
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
 
 
 def read_snapshot(spark: SparkSession, path: str, ddl: str | None = None) -> DataFrame:

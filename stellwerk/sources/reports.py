@@ -27,4 +27,4 @@ def write_report(report: DataFrame, postings: DataFrame, path: str) -> None:
 def write_digest(parts: DataFrame, path: str) -> None:
     """Digest parts as a table, range-sorted so that reading the files in order gives each
     digest's text."""
-    parts.orderBy("digest_id", "part_no").write.mode("overwrite").parquet(path)
+    parts.orderBy("digest_id", "part_no").write.mode("overwrite").option("compression", "zstd").parquet(path)

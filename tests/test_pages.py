@@ -1,13 +1,14 @@
 """Captured pages and payloads to cards, details and postings."""
 
 import datetime
+import gc
 import json
 
 import pytest
 from pyspark.sql import functions as F
 
 from stellwerk import schema, vocab
-from stellwerk.functions import listing_api
+from stellwerk.functions import listing_api, page_fields
 from stellwerk.functions.page_fields import page_cards, page_detail
 from stellwerk.plans import daily_run
 from stellwerk.sources import captures
@@ -236,3 +237,36 @@ def test_words_are_found_inside_an_element_only():
     assert found("p:has-text('full time')") == ["p"] and found("p:has-text('time job')") == ["p"]
     assert found("i:has-text('job')") == ["i"] and found("b:has-text('time')") == [] and found("script:has-text('full')") == []
     assert len(found("p:has-text('time')")) == 2 and len(found("p:has-text('job')")) == 2
+
+
+def test_batches_of_a_session_with_defaults_are_bounded(spark):
+    keys = {"spark.sql.execution.arrow.maxRecordsPerBatch": "500", "spark.sql.execution.arrow.maxBytesPerBatch": "2m"}
+    before = {key: spark.conf.get(key) for key in keys}
+    try:
+        for build in (page_fields.detail_of, page_fields.cards_of, lambda _, page: page_fields.unescape_html(page)):
+            for key in keys:
+                spark.conf.unset(key)
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+            spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b")
+            build(F.lit("x"), F.lit("y"))
+            assert {key: spark.conf.get(key) for key in keys} == keys
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "77")
+        page_fields.unescape_html(F.lit("y"))
+        assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "77"
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
+def test_a_read_page_leaves_nothing_to_the_collector():
+    board = vocab.DETAIL_SELECTORS[vocab.XING]
+    page = "<main><p>a<b>c</b></p><ul><li>x</li><li>Berufserfahrung: y</li></ul></main>"
+    gc.collect()
+    gc.disable()
+    try:
+        read = page_fields.page_detail(page, board)
+        page_fields.page_cards(page, vocab.CARD_SELECTORS[vocab.XING])
+        left = [o for o in gc.get_objects() if isinstance(o, page_fields._Element)]
+    finally:
+        gc.enable()
+    assert read["description"].startswith("a") and not left

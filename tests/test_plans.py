@@ -1,5 +1,6 @@
 """What the physical plans must look like."""
 
+import json
 import re
 from datetime import datetime
 
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from stellwerk.checks import QUERIES
+from stellwerk.checks import QUERIES, flow
 from stellwerk.operators import funnel, identity, scoring
 from stellwerk.sources import captures, files, ledger
 
@@ -175,3 +176,32 @@ def test_hot_key_is_split(spark, step):
     finally:
         for key, value in before.items():
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def test_the_first_run_compares_nothing_with_a_missing_ledger(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "t"), ("", "u"), (None, "v")], "job_id string, title string")
+    first = ledger.read_ledger(spark, f"{tmp_path}/none")
+    assert first.schema.simpleString() == "struct<job_id:string,url:string,platform:string,date_sent:timestamp,run_id:string>"
+    fresh = identity.anti_ledger(rows, first)
+    assert [r.title for r in fresh.collect()] == ["t"]
+    assert "Join" not in fresh._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_cache_files_hold_a_thousand_entries_in_order(spark, tmp_path):
+    rows = [(i, f"text {i}\n\"x\"", "en", "src3", 7) for i in (2001, 5, 1999, 3, 1000, 2, 3)] + [(None, "no id", "de", "src1", None), (7, None, None, None, 1)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(3)
+    flow._as_cache(docs, f"{tmp_path}/cache")
+    written = {}
+    for row in spark.read.text(f"{tmp_path}/cache", wholetext=True).collect():
+        assert row.thousand not in written
+        assert row.value.startswith('[\n  {\n    "title": ') and row.value.endswith("\n  }\n]\n")
+        written[row.thousand] = [(e["url"] or "").rsplit("/", 1)[-1] for e in json.loads(row.value)]
+    assert written == {0: ["2", "3", "3", "5", "7"], 1: ["1000", "1999"], 2: ["2001"], None: [""]}
+    found = files.read_scrape_cache(spark, f"{tmp_path}/cache").orderBy("query_idx", "page_no", "card_pos").collect()
+    assert len(found) == len(rows)
+    assert [r.description for r in found if r.url and r.url.endswith("/3")] == ['text 3\n"x"'] * 2
+
+
+def test_stages_with_whole_texts_are_written_small(spark, tmp_path):
+    files.write_snapshot(spark.createDataFrame([("a",)], "text string"), f"{tmp_path}/stage")
+    assert all(".zstd." in f.name for f in (tmp_path / "stage").glob("*.parquet"))
