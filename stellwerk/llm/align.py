@@ -25,11 +25,12 @@ from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cached_property, lru_cache
-from itertools import chain, count
+from itertools import chain, count, pairwise
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
@@ -41,6 +42,9 @@ BLOCK_STRETCHES, BLOCK_DISTINCT = 1 << 20, 1 << 18
 # Texts that are encoded and merged at once.
 _AT_ONCE = 1 << 14
 
+# Stretches that are encoded as one text, which spares most of what a call costs.
+_TOGETHER = 64
+
 _UNCLEAN = re.compile(r"\s | \s|\A \s|\s\Z")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
@@ -58,14 +62,49 @@ class Tokenizer:
         return np.array([len(x) for x in self.token_bytes], np.int64)
 
     @cached_property
-    def names(self) -> list[str]:
-        return [str(i) for i in range(len(self.token_bytes))]
+    def names(self) -> pa.Array:
+        return pa.array(map(str, range(len(self.token_bytes))), pa.large_string())
+
+    @cached_property
+    def _all_bytes(self) -> pa.Array:
+        return pa.array(self.token_bytes, pa.large_binary())
+
+    def joined(self, ids: np.ndarray) -> bytes:
+        """The bytes of all ``ids``, one after the other."""
+        data = self._all_bytes.take(pa.array(ids, pa.int64())).buffers()[2] if len(ids) else None
+        return b"" if data is None else data.slice(0, int(self.sizes[ids].sum())).to_pybytes()
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ids = self._ids(texts)
         ends = np.concatenate(([0], np.cumsum(list(map(len, ids)), dtype=np.int64)))
         return np.fromiter(chain.from_iterable(ids), np.int64, ends[-1]), ends
 
+    def encode_joined(self, texts: list[str], bounds: list[int], base: np.ndarray, plain: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """As ``encode``, but each run of texts between neighbouring ``bounds`` is encoded as one text, and its ids dealt
+        out by their bytes. Runs whose bytes or bounds of texts the tokens don't keep are encoded text by text."""
+        ids, run_ends = self.encode(["".join(texts[i:j]) for i, j in pairwise(bounds)])
+        total, data = np.concatenate(([0], np.cumsum(self.sizes[ids]))), self.joined(ids)
+        if data == plain:
+            ends = np.searchsorted(total, base)
+            if np.array_equal(total[ends], base):
+                return ids, ends
+        parts, counts, alone = [], [], []
+        for (i, j), (low, high) in zip(pairwise(bounds), pairwise(run_ends.tolist())):
+            own, wanted = total[low : high + 1] - total[low], base[i : j + 1] - base[i]
+            ends = np.array([0, high - low]) if j == i + 1 else np.searchsorted(own, wanted)
+            kept = data[total[low] : total[high]] == plain[base[i] : base[j]] and np.array_equal(own[ends], wanted)
+            if j > i + 1 and not kept:
+                alone.append((len(parts), i, j))
+            parts.append(ids[low:high])
+            counts.append(np.diff(ends))
+        again, again_ends = self.encode([text for _, i, j in alone for text in texts[i:j]])
+        done = 0
+        for place, i, j in alone:
+            ends = again_ends[done : done + j - i + 1]
+            parts[place], counts[place] = again[ends[0] : ends[-1]], np.diff(ends)
+            done += j - i
+        return np.concatenate(parts), np.concatenate(([0], np.cumsum(np.concatenate(counts))))
+
 
 def _byte_of_letter() -> dict[str, int]:
     """The byte-level alphabet: printable Latin-1 bytes stand for themselves, the others for letters from U+0100 on."""
@@ -130,6 +169,15 @@ def stretches(text: str) -> list[str]:
     return [" " + part for part in parts[1:]] if not parts[0] else [parts[0], *(" " + part for part in parts[1:])]
 
 
+def _runs(texts: list[str]) -> list[int]:
+    """Bounds of runs of ``texts`` that ``stretches`` cuts out of them again; the other texts are alone."""
+    bounds = [0]
+    for i in range(0, len(texts), _TOGETHER):
+        run = texts[i : i + _TOGETHER]
+        bounds.extend([i + len(run)] if stretches("".join(run)) == run else range(i + 1, i + len(run) + 1))
+    return bounds
+
+
 @dataclass
 class Aligned:
     """Tokens, overlaps and groups of some texts. Groups are numbered through all texts, as are tokens."""
@@ -164,11 +212,11 @@ def overlapping(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
     return both.iloc[first]
 
 
-def align(texts: list[str], a: Tokenizer, b: Tokenizer) -> Aligned:
-    """Align the tokens of ``texts`` (each with its leading space), some of them at a time."""
+def align(texts: list[str], a: Tokenizer, b: Tokenizer, cut: bool = False) -> Aligned:
+    """Align the tokens of ``texts`` (each with its leading space; ``cut``: they are ``stretches``), some of them at a time."""
     parts, text, groups, tokens = [], 0, 0, (0, 0)
     for start in range(0, max(len(texts), 1), _AT_ONCE):
-        part = _align(texts[start : start + _AT_ONCE], a, b)
+        part = _align(texts[start : start + _AT_ONCE], a, b, cut)
         moved = part.overlaps + np.array(tokens)
         parts.append(Aligned(part.intact, part.ids, tuple(x + text for x in part.text_of), moved, tuple(x + groups for x in part.group_of), part.group_text + text))
         text, groups, tokens = text + len(part.intact), groups + len(part.group_text), tuple(n + len(x) for n, x in zip(tokens, part.ids))
@@ -179,16 +227,17 @@ def align(texts: list[str], a: Tokenizer, b: Tokenizer) -> Aligned:
     return Aligned(one("intact"), both("ids"), both("text_of"), pd.concat([part.overlaps for part in parts], ignore_index=True), both("group_of"), one("group_text"))
 
 
-def _align(texts: list[str], a: Tokenizer, b: Tokenizer) -> Aligned:
+def _align(texts: list[str], a: Tokenizer, b: Tokenizer, cut: bool) -> Aligned:
     plain = [text.encode() for text in texts]
     intact = np.array([text != " " for text in texts], bool)
     encoded = []
     base = np.concatenate(([0], np.cumsum(list(map(len, plain)), dtype=np.int64)))
+    whole, bounds = b"".join(plain), _runs(texts) if cut else None
     for side in (a, b):
-        ids, ends = side.encode(texts)
-        joined = b"".join(map(side.token_bytes.__getitem__, ids.tolist()))
+        ids, ends = side.encode_joined(texts, bounds, base, whole) if cut else side.encode(texts)
+        joined = side.joined(ids)
         begin = np.concatenate(([0], np.cumsum(side.sizes[ids])))[ends]
-        if not np.array_equal(begin, base) or joined != b"".join(plain):
+        if not np.array_equal(begin, base) or joined != whole:
             bounds = begin.tolist()
             intact &= [joined[i:j] == text for i, j, text in zip(bounds, bounds[1:], plain)]
         encoded.append((ids, ends))
@@ -207,14 +256,22 @@ def _align(texts: list[str], a: Tokenizer, b: Tokenizer) -> Aligned:
     return Aligned(intact, (kept[0][0], kept[1][0]), (kept[0][1], kept[1][1]), overlaps[["a", "b"]], groups, group_text)
 
 
-def group_texts(found: Aligned, *tokenizers: Tokenizer) -> list[str]:
-    """``a1,a2|b1`` for each group."""
+def _put_together(parts: pa.Array, ends: np.ndarray, sign: str) -> pa.Array:
+    """``parts`` between neighbouring ends as one text each, with ``sign`` between them."""
+    return pc.binary_join(pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), parts), pa.scalar(sign, parts.type))
+
+
+def _group_texts(found: Aligned, *tokenizers: Tokenizer) -> pa.Array:
     sides = []
     for ids, group, tokenizer in zip(found.ids, found.group_of, tokenizers):
-        names = list(map(tokenizer.names.__getitem__, ids.tolist()))
-        ends = np.searchsorted(group, np.arange(len(found.group_text) + 1)).tolist()
-        sides.append([names[i] if j == i + 1 else ",".join(names[i:j]) for i, j in zip(ends, ends[1:])])
-    return [f"{x}|{y}" for x, y in zip(*sides)]
+        ends = np.searchsorted(group, np.arange(len(found.group_text) + 1))
+        sides.append(_put_together(tokenizer.names.take(pa.array(ids, pa.int64())), ends, ","))
+    return pc.binary_join_element_wise(*sides, pa.scalar("|", pa.large_string()))
+
+
+def group_texts(found: Aligned, *tokenizers: Tokenizer) -> list[str]:
+    """``a1,a2|b1`` for each group."""
+    return _group_texts(found, *tokenizers).to_pylist()
 
 
 def alignments(docs: DataFrame, a: Load, b: Load) -> DataFrame:
@@ -302,12 +359,11 @@ def _pairs_of(found: Aligned, texts: int) -> tuple[np.ndarray, np.ndarray, np.nd
 def _block(number: int, doc_ids: list, docs: list[np.ndarray], texts: list[str], a: Tokenizer, b: Tokenizer) -> dict:
     """One row for a block: its documents as counted stretches, its stretches as counted pairs, its pairs with the
     number of its documents that hold them."""
-    found = align(texts, a, b)
+    found = align(texts, a, b, cut=True)
     count = len(texts)
     pairs, stretch_ends, stretch_pair, stretch_times = _pairs_of(found, count)
-    named = group_texts(found, a, b)
     group_ends = np.searchsorted(found.group_text, np.arange(count + 1))
-    digests = [";".join(named[i:j]) for i, j in zip(group_ends.tolist(), group_ends[1:].tolist())]
+    named = _put_together(_group_texts(found, a, b), group_ends, ";")
     over_ends = np.searchsorted(found.overlaps["a"].to_numpy(), np.searchsorted(found.text_of[0], np.arange(count + 1)))
     each = {
         "n_a": np.bincount(found.text_of[0], minlength=count), "n_b": np.bincount(found.text_of[1], minlength=count),
@@ -319,7 +375,8 @@ def _block(number: int, doc_ids: list, docs: list[np.ndarray], texts: list[str],
     flat = np.concatenate([*docs, np.empty(0, np.int64)]).astype(np.int64)
     row = {"block": number, "doc_id": doc_ids} | {name: _sums(values[flat], ends) for name, values in each.items()}
     row["groups_sha256"] = [
-        hashlib.sha256(";".join([digests[i] for i in doc.tolist()]).encode()).hexdigest() if len(doc) else "" for doc in docs
+        hashlib.sha256(_put_together(named.take(pa.array(doc, pa.int64())), [0, len(doc)], ";")[0].as_buffer()).hexdigest() if len(doc) else ""
+        for doc in docs
     ]
     owner = np.repeat(np.arange(len(docs)), np.diff(ends))
     both, times = np.unique(owner * max(count, 1) + flat, return_counts=True)

@@ -3,6 +3,7 @@
 import hashlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers as P
 import pytest
 from hypothesis import given, settings, strategies as st
@@ -86,6 +87,28 @@ def test_stretches_are_tokenised_like_the_whole(text):
             assert [i for ids in side._ids(cut) for i in ids] == side._ids([" " + text])[0]
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(odd.filter(bool), max_size=40))
+def test_stretches_encoded_together_have_the_ids_they_have_alone(texts):
+    cut = [part for text in texts for part in align.stretches(" " + text)]
+    plain = [part.encode() for part in cut]
+    base = np.concatenate(([0], np.cumsum(list(map(len, plain)), dtype=np.int64)))
+    for load in (A, B):
+        side = align.loaded(*load)
+        together = side.encode_joined(cut, align._runs(cut), base, b"".join(plain))
+        for got, expected in zip(together, side.encode(cut)):
+            assert got.tolist() == expected.tolist()
+
+
+def test_a_block_encodes_many_stretches_at_once(monkeypatch):
+    words = [f" word{i}" for i in range(2000)] + [" \nﬁ", "  two"]
+    asked = []
+    for kind in (align.ByteLevel, align.Pieces):
+        monkeypatch.setattr(kind, "_ids", lambda self, texts, ids=kind._ids: (asked.append(len(texts)), ids(self, texts))[1])
+    align._block(0, [1], [np.arange(len(words))], words, align.loaded(*A), align.loaded(*B))
+    assert sum(asked) < len(words) / 8
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(odd, min_size=1, max_size=6))
 def test_overlaps_and_groups_of_a_batch(texts):
