@@ -8,6 +8,7 @@ from datetime import timedelta
 from pyspark.sql import Column, DataFrame, functions as F
 
 from stellwerk import vocab
+from stellwerk.functions.text import is_blank, job_id
 from stellwerk.operators import digest, funnel, identity, metrics, scoring
 from stellwerk.operators.frontier import served_boards
 from stellwerk.sources import captures as pages
@@ -69,10 +70,13 @@ def acquire(
         wanted, details = _ready(captures, capped, waited, early, run_dir, now, patience, keep_early)
     else:
         wanted, details = capped, materialise(pages.parse_details(captures, wanted=capped), f"{run_dir}/details")
-    rows = funnel.join_detail(wanted, details)
-    rows = funnel.late_fresh_check(rows, F.col("observed_at"), hours)
-    postings = funnel.as_postings(funnel.nonempty_description(rows))
-    return materialise(identity.first_per_platform(postings), f"{run_dir}/postings")
+    # Which rows stay is found without descriptions; these are joined to them afterwards.
+    described = F.when(is_blank(F.col("description")), F.lit("")).otherwise(F.lit("described"))
+    rows = funnel.join_detail(wanted, details.select("platform", "url", "detail_date", described.alias("description")))
+    rows = funnel.nonempty_description(funnel.late_fresh_check(rows, F.col("observed_at"), hours))
+    named = rows.withColumn("job_id", job_id(F.col("title"), F.col("company"), F.col("location")))
+    first = identity.first_per_platform(named).drop("job_id", "detail_date", "description")
+    return materialise(funnel.as_postings(funnel.join_detail(first, details)), f"{run_dir}/postings")
 
 
 def _ready(

@@ -135,8 +135,8 @@ def latest_details(
 
     Captures in files are chosen by time on narrow columns, without their bodies; then the rows at the chosen places
     are read, which sends places to the scans and no body anywhere. Rounds of files keep what is sent within
-    ``most_places``, unless one file alone has more. Among captures of the same time a hash of the body decides.
-    A capture without a time comes before all others, and a null body may be the chosen one.
+    ``most_places``, unless one file alone has more. Among captures of the same time a hash of the body decides; only
+    the bodies of such captures are exchanged. A capture without a time comes before all others, and a null body may be the chosen one.
     """
     pages = captures.filter(F.col("kind") == kind)
     placed = with_place(pages)
@@ -146,10 +146,11 @@ def latest_details(
     narrow = placed.select(*keys, "observed_at", "_file", "_row")
     if wanted is not None:
         narrow = narrow.join(wanted.select(*keys).distinct(), keys, "left_semi")
-    newest = narrow.groupBy(*(F.col(c).alias(f"_{c}") for c in keys)).agg(F.max("observed_at").alias("_newest"))
-    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys] + [F.col("observed_at").eqNullSafe(F.col("_newest"))]
+    times = narrow.groupBy(*(F.col(c).alias(f"_{c}") for c in keys), "observed_at").agg(F.count("*").alias("_times"))
+    newest = times.groupBy(*(f"_{c}" for c in keys)).agg(F.max(F.struct("observed_at", "_times")).alias("_newest"))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys] + [F.col("observed_at").eqNullSafe(F.col("_newest.observed_at"))]
     path = new_run_dir(captures.sparkSession, "places")
-    chosen = materialise(narrow.join(newest, same, "left_semi"), path)
+    chosen = materialise(narrow.join(newest, same).select(narrow["*"], "_newest._times"), path)
     # One row per file that holds a chosen capture.
     counts = chosen.groupBy("_file").count().orderBy("_file").collect()
     rounds, held = [[]], 0
@@ -163,7 +164,7 @@ def latest_details(
     def fetched(files: list[str]) -> DataFrame:
         places = F.broadcast(chosen.filter(F.col("_file").isin(files)))
         bodies = placed.filter(F.col("_file").isin(files)).select("_file", "_row", "body")
-        return bodies.join(places, ["_file", "_row"]).select(*keys, "observed_at", "body")
+        return bodies.join(places, ["_file", "_row"]).select(*keys, "observed_at", "body", "_times")
 
     if len(rounds) == 1:
         rows = fetched(rounds[0])
@@ -172,7 +173,8 @@ def latest_details(
             fetched(files).write.parquet(f"{path}-rows/round={number}")
         rows = captures.sparkSession.read.parquet(f"{path}-rows")
     digested = F.max(F.struct(F.xxhash64("body").alias("digest"), "body"))["body"]
-    return rows.groupBy(*keys, "observed_at").agg(digested.alias("body"))
+    once, several = rows.filter("_times = 1").select(*keys, "observed_at", "body"), rows.filter("_times > 1")
+    return several.groupBy(*keys, "observed_at").agg(digested.alias("body")).unionByName(once)
 
 
 def _latest_by_join(pages: DataFrame, wanted: DataFrame | None) -> DataFrame:

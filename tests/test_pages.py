@@ -178,6 +178,19 @@ def test_acquire_small_run(spark, tmp_path):
     assert {r.summary for r in found if r.platform == vocab.LINKEDIN} == {"Build things all day long."}
 
 
+def test_first_occurrences_are_found_without_descriptions(spark, tmp_path, monkeypatch):
+    items = [{"refnr": str(n), "titel": f"Engineer {n % 3}"} for n in range(25)]
+    rows = [_search(vocab.BA, 1, _agency(*items))]
+    # The first of a title's postings has no detail page, so the next one stays.
+    texts = {n: json.dumps({"beschreibung": f"long text {n} " * 50, "berufserfahrung": str(n)}) for n in range(3, 25)}
+    rows += [_detail(vocab.BA, vocab.BA_DETAIL_PREFIX + str(n), text) for n, text in texts.items()]
+    seen, choose = [], daily_run.identity.first_per_platform
+    monkeypatch.setattr(daily_run.identity, "first_per_platform", lambda df: (seen.append(df), choose(df))[1])
+    found = daily_run.acquire(spark.createDataFrame(rows, schema.CAPTURES), str(tmp_path)).collect()
+    assert {(r.title, r.description, r.experience_level) for r in found} == {(f"Engineer {n % 3}", ("long text %d " % n * 50).strip(), str(n)) for n in (3, 4, 5)}
+    assert max(len(r.description) for r in seen[0].select("description").collect()) < 20
+
+
 def test_cap_counts_rows_that_are_dropped_later(spark, tmp_path):
     items = [{"refnr": str(n), "titel": f"Engineer {n}"} for n in range(25)]
     rows = [_search(vocab.BA, 1, _agency(*items)), _search(vocab.BA, 2, _agency(*items))]

@@ -144,6 +144,24 @@ def test_no_body_of_an_unwanted_page_is_exchanged(spark, tmp_path):
     assert {(r.url, r.body) for r in in_rounds.collect()} == {(str(i), f"<main>{i + 1800 if i < 200 else i + 900}</main>") for i in range(900)}
 
 
+def test_only_bodies_of_captures_of_the_same_time_are_exchanged(spark, tmp_path):
+    rows = spark.range(0, 2000, 1, 4).selectExpr(
+        "'Xing' platform", "cast(id % 900 as string) url", "'detail' kind", "0 query_idx", "0 page_no",
+        "concat('<main>', id, '</main>') body", "timestamp_seconds(id) observed_at",
+    )
+    expected = {(str(i), f"<main>{i + 1800 if i < 200 else i + 900}</main>") for i in range(900)}
+    rows.write.parquet(str(tmp_path / "captures"))
+    latest = captures.latest_details(captures.read_captures(spark, str(tmp_path / "captures")), "detail")
+    assert {(r.url, r.body) for r in latest.collect()} == expected
+    final = latest._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "BroadcastExchange" in final and "Exchange hashpartitioning" not in final
+    # Captures of the same time: one body for each page, from any of them.
+    rows.filter("id >= 1100 and id < 1300").withColumn("body", F.lit("<main>other</main>")).write.mode("append").parquet(str(tmp_path / "captures"))
+    again = captures.latest_details(captures.read_captures(spark, str(tmp_path / "captures")), "detail").collect()
+    assert len(again) == 900 and {(r.url, r.body) for r in again if r.body != "<main>other</main>"} <= expected
+    assert all(200 <= int(r.url) < 400 for r in again if r.body == "<main>other</main>")
+
+
 @pytest.mark.parametrize("step", ["anti_ledger", "join_detail", "join_responses"])
 def test_hot_key_is_split(spark, step):
     """A third of all postings share one id and one link; the join splits their partition."""
